@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from paperloom.constants import BM25_B, BM25_K1
 from paperloom.functions.text import article_text, tokens
 from paperloom.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from paperloom.session import stored_once
+
+# Stands for "an article of this length"; no token is empty.
+_LENGTH = ""
 
 #: Folders that stored postings are split into, by a hash of the term.
 TERM_BUCKETS = 256
@@ -17,23 +21,30 @@ TERM_BUCKETS = 256
 
 @dataclass(frozen=True)
 class TextIndex:
-    """What keyword search needs of a collection.
+    """What keyword search needs of a collection: either form is enough.
 
-    ``lengths`` has one row per article: ``id, categories, dl`` (``dl`` is the token count).
-    Terms come from ``tokenised`` articles or, once stored, from ``stored_postings``.
+    ``tokenised`` has ``id, categories, terms`` per article, and nothing has been computed.
+    ``postings`` has ``id, categories, dl, term, tf`` (``dl`` is the article's token count)
+    and was stored together with the one-row ``corpus``.
     """
 
-    lengths: DataFrame
     tokenised: DataFrame | None = None
-    stored_postings: DataFrame | None = None
+    postings: DataFrame | None = None
+    corpus: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Matches:
+    """Postings of the wanted terms, and the corpus statistics that weigh them."""
+
+    postings: DataFrame
+    corpus: DataFrame
 
 
 def index_articles(articles: DataFrame) -> TextIndex:
     """Index a collection on the fly: nothing runs until a search does."""
-    tokenised = articles.select(
-        "id", "categories", tokens(article_text(F.col("title"), F.col("abstract"))).alias("terms")
-    ).withColumn("dl", F.size("terms"))
-    return TextIndex(lengths=tokenised.select("id", "categories", "dl"), tokenised=tokenised)
+    text = article_text(F.col("title"), F.col("abstract"))
+    return TextIndex(articles.select("id", "categories", tokens(text).alias("terms")))
 
 
 def save_index(index: TextIndex, path: str) -> None:
@@ -42,7 +53,7 @@ def save_index(index: TextIndex, path: str) -> None:
     Postings are kept in folders by term hash, so that a search reads only the folders of
     its terms. A frequent term makes its folder large, not its files: the writer splits it.
     """
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    corpus_stats(index).write.mode("overwrite").parquet(f"{path}/corpus")
     (
         all_postings(index)
         .withColumn("bucket", term_bucket(F.col("term")))
@@ -56,8 +67,8 @@ def save_index(index: TextIndex, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(
-        lengths=spark.read.parquet(f"{path}/lengths"),
-        stored_postings=spark.read.parquet(f"{path}/postings"),
+        postings=spark.read.parquet(f"{path}/postings"),
+        corpus=spark.read.parquet(f"{path}/corpus"),
     )
 
 
@@ -67,34 +78,43 @@ def term_bucket(term: Column) -> Column:
 
 def all_postings(index: TextIndex) -> DataFrame:
     """``id, categories, dl, term, tf`` for every term of every article."""
-    if index.stored_postings is not None:
-        return index.stored_postings.drop("bucket")
-    return _count_terms(
-        index.tokenised.select("id", "categories", "dl", F.explode("terms").alias("term"))
-    )
+    if index.postings is not None:
+        return index.postings.drop("bucket")
+    return _count_terms(_occurrences(index)).where(F.col("term").isNotNull())
+
 
+def match_terms(index: TextIndex, terms: DataFrame, n_terms: int) -> Matches:
+    """Postings of the given distinct ``term`` rows (at most ``n_terms``), read once.
 
-def match_terms(index: TextIndex, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Postings of the given distinct ``term`` rows, partitioned by article.
+    Postings are used several times by a search (weights, scores, ranks), and the articles
+    must not be tokenised again for each. So the postings that match, a small part of the
+    text, are written to the shared folder.
 
-    All tokens of an article are in one row, so the count per article and term is finished
-    before anything is shuffled, and only matching postings are. The result is then kept
-    by article id: scoring any number of requests from it moves no postings again.
+    The same pass measures the corpus: every article also yields the impossible term ``''``
+    without its id, and these rows collapse to one per article length inside each task.
     """
-    if index.stored_postings is not None:
+    if index.postings is not None:
         wanted = terms.withColumn("bucket", term_bucket(F.col("term")))
-        found = lookup_join(
-            index.stored_postings, wanted, ["bucket", "term"], ["id"], n_terms
-        ).drop("bucket")
+        found = lookup_join(index.postings, wanted, ["bucket", "term"], ["id"], n_terms)
+        return Matches(stored_once(found.drop("bucket"), "matches"), index.corpus)
+
+    marked = terms.unionByName(terms.sparkSession.range(1).select(F.lit(_LENGTH).alias("term")))
+    rows = _occurrences(index, F.array_append("terms", F.lit(_LENGTH)))
+    is_term = F.col("term") != _LENGTH
+    rows = rows.withColumns(
+        {c: F.when(is_term, F.col(c)) for c in ("id", "categories")}
+    )
+    if n_terms <= MAX_BROADCAST_ROWS:
+        found = _count_terms(lookup_join(rows, marked, ["term"], ["id"], n_terms + 1))
     else:
-        occurrences = index.tokenised.select(
-            "id", "categories", "dl", F.explode("terms").alias("term")
-        )
-        if n_terms <= MAX_BROADCAST_ROWS:
-            found = _count_terms(lookup_join(occurrences, terms, ["term"], ["id"], n_terms))
-        else:
-            found = lookup_join(_count_terms(occurrences), terms, ["term"], ["id"], n_terms)
-    return found.repartition("id")
+        found = lookup_join(_count_terms(rows), marked, ["term"], ["id"], n_terms + 1)
+    stored = stored_once(found, "matches")
+    lengths = stored.where(~is_term)
+    corpus = lengths.agg(
+        F.coalesce(F.sum("tf"), F.lit(0)).alias("n_articles"),
+        F.try_divide(F.sum(F.col("tf") * F.col("dl")), F.sum("tf")).alias("mean_length"),
+    )
+    return Matches(stored.where(is_term), corpus)
 
 
 def term_stats(index: TextIndex) -> DataFrame:
@@ -108,23 +128,24 @@ def term_stats(index: TextIndex) -> DataFrame:
 
 def corpus_stats(index: TextIndex) -> DataFrame:
     """One row: number of articles and their mean length."""
-    return index.lengths.agg(
-        F.count("*").alias("n_articles"), F.avg("dl").alias("mean_length")
+    if index.corpus is not None:
+        return index.corpus
+    return index.tokenised.agg(
+        F.count("*").alias("n_articles"), F.avg(F.size("terms")).alias("mean_length")
     )
 
 
-def weights(matched: DataFrame, index: TextIndex) -> DataFrame:
+def weights(matches: Matches) -> DataFrame:
     """``term, idf, mean_length`` of the matched terms: one row per distinct term."""
-    corpus = corpus_stats(index)
-    n = corpus.select("n_articles").scalar()
+    n = matches.corpus.select("n_articles").scalar()
     df = F.col("df")
     return (
-        matched.groupBy("term")
+        matches.postings.groupBy("term")
         .agg(F.count("*").alias("df"))
         .select(
             "term",
             F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)).alias("idf"),
-            corpus.select("mean_length").scalar().alias("mean_length"),
+            matches.corpus.select("mean_length").scalar().alias("mean_length"),
         )
     )
 
@@ -135,5 +156,17 @@ def bm25(tf: Column, dl: Column, idf: Column, mean_length: Column) -> Column:
     return idf * tf * (BM25_K1 + 1) / saturation
 
 
+def _occurrences(index: TextIndex, terms: Column | None = None) -> DataFrame:
+    """One row per token. The outer form keeps the planner from tokenising twice, once to
+    drop articles without tokens and once to explode them."""
+    exploded = F.explode_outer(F.col("terms") if terms is None else terms)
+    return index.tokenised.withColumn("dl", F.size("terms")).select(
+        "id", "categories", "dl", exploded.alias("term")
+    )
+
+
 def _count_terms(occurrences: DataFrame) -> DataFrame:
+    """All tokens of an article are in one row, so tasks finish these counts before the
+    shuffle and no token travels twice."""
     return occurrences.groupBy("id", "categories", "dl", "term").agg(F.count("*").alias("tf"))
+

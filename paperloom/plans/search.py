@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from paperloom.constants import HITS, RRF_K, SCORE_DIGITS, SEARCH_PROFILES, TARGET_HITS
 from paperloom.functions.text import highlight, query_casefold, show_marks, tokens
-from paperloom.operators.filters import category_matches, filter_blank_query
+from paperloom.operators.filters import filter_blank_query, filter_query_category
 from paperloom.operators.joins import MAX_BROADCAST_ROWS, count_up_to, lookup_join
 from paperloom.operators.nearest import nearest
-from paperloom.operators.textindex import TextIndex, bm25, match_terms, weights
+from paperloom.operators.textindex import Matches, TextIndex, bm25, match_terms, weights
 from paperloom.operators.topk import top_k, topk_hits
+from paperloom.session import stored_once
 
 _PAIR = ["query_id", "id"]
 
@@ -47,22 +48,27 @@ def request_terms(requests: DataFrame) -> Terms:
     return Terms(rows, count_up_to(rows, MAX_BROADCAST_ROWS))
 
 
-def postings_for(index: TextIndex, terms: Terms) -> DataFrame:
+def matches_for(index: TextIndex, terms: Terms) -> Matches:
     return match_terms(index, terms.rows.select("term").distinct(), terms.bound)
 
 
-def score_text(
-    index: TextIndex, postings: DataFrame, terms: Terms, by_category: bool = False
-) -> DataFrame:
+def match_requests(matches: Matches, terms: Terms) -> DataFrame:
+    """A row per (request, article, term) that match, with the article's categories."""
+    return lookup_join(matches.postings, terms.rows, ["term"], ["id"], terms.bound)
+
+
+def score_text(matches: Matches, terms: Terms, by_category: bool = False) -> DataFrame:
     """BM25 of every article that holds any term: ``query_id, id, text, n_matched, n_terms``.
 
-    Postings are already kept by article id and the weighted terms are joined to them where
-    they are, so the sum per (request, article) needs no shuffle.
+    Postings are brought together by article, and the weighted terms are joined to them
+    where they are. The sum per (request, article) then needs no shuffle: what travels is
+    a posting per article and term, however many requests ask for it.
     """
-    weighted = terms.rows.join(weights(postings, index), "term")
-    matched = lookup_join(postings, weighted, ["term"], ["id"], terms.bound)
+    weighted = terms.rows.join(weights(matches), "term")
+    by_article = matches.postings.repartition("id")
+    matched = lookup_join(by_article, weighted, ["term"], ["id"], terms.bound)
     if by_category:
-        matched = matched.where(category_matches(F.col("category"), F.col("categories")))
+        matched = filter_query_category(matched)
     contribution = bm25(F.col("tf"), F.col("dl"), F.col("idf"), F.col("mean_length"))
     return matched.groupBy(*_PAIR).agg(
         F.round(F.sum(contribution), SCORE_DIGITS).alias("text"),
@@ -76,12 +82,12 @@ def search_bm25(
     requests: DataFrame,
     hits: int = HITS,
     terms: Terms | None = None,
-    postings: DataFrame | None = None,
+    matches: Matches | None = None,
 ) -> DataFrame:
     """Articles that hold all terms of the request, in its category if it names one."""
     terms = terms or request_terms(requests)
-    postings = postings_for(index, terms) if postings is None else postings
-    scored = score_text(index, postings, terms, by_category=True)
+    matches = matches or matches_for(index, terms)
+    scored = score_text(matches, terms, by_category=True)
     complete = scored.where(F.col("n_matched") == F.col("n_terms"))
     return _ranked(topk_hits(complete.withColumnRenamed("text", "relevance"), hits))
 
@@ -91,13 +97,16 @@ def search_semantic(
     query_vectors: DataFrame,
     hits: int = HITS,
     target_hits: int = TARGET_HITS,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """The nearest articles; no category filter.
 
     Candidates and hits have the same order here, so only ``hits`` of the ``target_hits``
     candidates are ever looked for.
     """
-    found = nearest(vectors, query_vectors, min(hits, target_hits))
+    if near is None:
+        near = nearest(vectors, query_vectors, min(hits, target_hits))
+    found = near.where(F.col("near_rank") <= hits)
     return _ranked(found.withColumnsRenamed({"cosine": "relevance", "near_rank": "rank"}))
 
 
@@ -117,13 +126,14 @@ def search_hybrid(
     hits: int = HITS,
     target_hits: int = TARGET_HITS,
     terms: Terms | None = None,
-    postings: DataFrame | None = None,
+    matches: Matches | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """Articles with any term, or among the nearest, by the sum of both scores."""
     terms = terms or request_terms(requests)
-    postings = postings_for(index, terms) if postings is None else postings
-    near = nearest(vectors, query_vectors, target_hits)
-    scored = score_text(index, postings, terms).select(*_PAIR, "text")
+    matches = matches or matches_for(index, terms)
+    near = _candidates(vectors, query_vectors, target_hits) if near is None else near
+    scored = score_text(matches, terms).select(*_PAIR, "text")
     text = text_candidates(scored, near, terms.bound, hits, target_hits)
     blended = merge_candidates(text, near).withColumn(
         "relevance", F.col("text") + F.col("cosine")
@@ -139,14 +149,17 @@ def search_fusion(
     hits: int = HITS,
     target_hits: int = TARGET_HITS,
     terms: Terms | None = None,
-    postings: DataFrame | None = None,
+    matches: Matches | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
     """The same candidates, by reciprocal rank fusion of their two ranks."""
     terms = terms or request_terms(requests)
-    postings = postings_for(index, terms) if postings is None else postings
-    near = nearest(vectors, query_vectors, target_hits)
-    scored = score_text(index, postings, terms).select(*_PAIR, "text")
-    text = text_candidates(scored, near, terms.bound, hits, target_hits)
+    matches = matches or matches_for(index, terms)
+    near = _candidates(vectors, query_vectors, target_hits) if near is None else near
+    scored = score_text(matches, terms).select(*_PAIR, "text")
+    text = stored_once(
+        text_candidates(scored, near, terms.bound, hits, target_hits), "candidates"
+    )
     placed = text_ranks(scored, text, terms.bound, hits + target_hits)
     fused = merge_candidates(placed, near).withColumn(
         "relevance", _reciprocal(F.col("text_rank")) + _reciprocal(F.col("near_rank"))
@@ -217,8 +230,8 @@ def search_dispatch(
 ) -> DataFrame:
     """Answer each request by its own profile; no profile means bm25, a wrong one fails.
 
-    Profiles without requests add nothing to the plan. The text profiles share one set of
-    postings.
+    Profiles without requests add nothing to the plan. All text profiles share one pass over
+    the articles, and all vector profiles one pass over the vectors.
     """
     asked = filter_blank_query(requests).withColumn(
         "profile", F.coalesce("profile", F.lit(SEARCH_PROFILES[0]))
@@ -229,35 +242,43 @@ def search_dispatch(
     ).first()
     if counts["unknown"]:
         raise ValueError(f"{counts['unknown']} requests have an unknown profile")
-    shared = postings_for(index, request_terms(asked.where("profile <> 'semantic'")))
-
-    def of(profile: str) -> DataFrame:
-        return asked.where(F.col("profile") == profile)
 
-    def vectors_of(profile: str) -> DataFrame:
-        return query_vectors.join(of(profile).select("query_id"), "query_id", "left_semi")
-
-    def blend(search, profile):
-        return search(
+    def of(*profiles: str) -> DataFrame:
+        return asked.where(F.col("profile").isin(*profiles))
+
+    def near_of(*profiles: str) -> DataFrame:
+        return near.join(of(*profiles).select("query_id"), "query_id", "left_semi")
+
+    blends = [p for p in ("hybrid", "fusion") if counts[p]]
+    by_text = [p for p in ("bm25", *blends) if counts[p]]
+    by_vector = [p for p in ("semantic", *blends) if counts[p]]
+    matches = near = None
+    if by_text:
+        matches = matches_for(index, request_terms(of(*by_text)))
+    if by_vector:
+        searched = query_vectors.join(of(*by_vector).select("query_id"), "query_id", "left_semi")
+        near = _candidates(vectors, searched, target_hits if blends else min(hits, target_hits))
+
+    def answer(profile: str) -> DataFrame:
+        if profile == "semantic":
+            return search_semantic(vectors, query_vectors, hits, target_hits, near_of(profile))
+        terms = request_terms(of(profile))
+        if profile == "bm25":
+            return search_bm25(index, of(profile), hits, terms, matches)
+        blend = {"hybrid": search_hybrid, "fusion": search_fusion}[profile]
+        return blend(
             index,
             vectors,
             of(profile),
-            vectors_of(profile),
+            query_vectors,
             hits,
             target_hits,
-            request_terms(of(profile)),
-            shared,
+            terms,
+            matches,
+            near_of(profile),
         )
 
-    branches = {
-        "bm25": lambda p: search_bm25(index, of(p), hits, request_terms(of(p)), shared),
-        "semantic": lambda p: search_semantic(vectors, vectors_of(p), hits, target_hits),
-        "hybrid": lambda p: blend(search_hybrid, p),
-        "fusion": lambda p: blend(search_fusion, p),
-    }
-    answers = [
-        branches[p](p).withColumn("profile", F.lit(p)) for p in SEARCH_PROFILES if counts[p]
-    ]
+    answers = [answer(p).withColumn("profile", F.lit(p)) for p in SEARCH_PROFILES if counts[p]]
     if not answers:
         raise ValueError("there are no requests to answer")
     return reduce(DataFrame.unionByName, answers)
@@ -309,18 +330,21 @@ def _reciprocal(rank: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + rank), F.lit(0.0))
 
 
+def _candidates(vectors: DataFrame, query_vectors: DataFrame, target_hits: int) -> DataFrame:
+    """At most ``target_hits`` rows per request, stored because a blend uses them twice and
+    comparing all vectors is the dear part."""
+    return stored_once(nearest(vectors, query_vectors, target_hits), "near")
+
+
 def _upper_bound(ladder: Column, key: Column, max_size: int) -> Column:
-    """How many of the sorted ``ladder`` come before ``key`` or equal it."""
-
-    def halve(span: Column, _: Column) -> Column:
-        low, high = span["low"], span["high"]
-        middle = F.shiftright(low + high, 1)
-        right = F.coalesce((low < high) & (F.get(ladder, middle) <= key), F.lit(False))
-        return F.struct(
-            F.when(right, middle + 1).otherwise(low).alias("low"),
-            F.when(right | (low >= high), high).otherwise(middle).alias("high"),
-        )
+    """How many of the sorted ``ladder`` come before ``key`` or equal it.
 
-    whole = F.struct(F.lit(0).alias("low"), F.size(ladder).alias("high"))
-    steps = F.sequence(F.lit(0), F.lit(max_size.bit_length()))
-    return F.aggregate(steps, whole, halve, lambda span: span["low"])
+    Halving steps: take each if the entry it leads to is still not after the key. A step
+    past the end finds null and is not taken.
+    """
+    steps = [F.lit(1 << i) for i in reversed(range(max_size.bit_length()))]
+    return F.aggregate(
+        F.array(*steps),
+        F.lit(0),
+        lambda at, step: F.when(F.get(ladder, at + step - 1) <= key, at + step).otherwise(at),
+    )

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "paperloom", **conf: str) -> SparkSession:
@@ -41,6 +41,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored_once(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and continue from it.
+
+    For results that are small, costly and used more than once: they are computed a single
+    time, and losing an executor later does not bring the cost back.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="paperloom-")

@@ -434,9 +434,7 @@ def filter_query_category(spark, sf_dir):
     """Every (request, article) pair of a matching term, before and after the filter."""
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
-    matched = search.lookup_join(
-        search.postings_for(index, terms), terms.rows, ["term"], ["id"], terms.bound
-    )
+    matched = search.match_requests(search.matches_for(index, terms), terms)
     kept = filters.filter_query_category(matched)
     return kept.groupBy("query_id").agg(
         F.count("*").alias("n_matches"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
@@ -528,7 +526,7 @@ def attach_embeddings_positional(spark, sf_dir):
 def match_terms(spark, sf_dir):
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
-    return search.postings_for(index, terms).select("id", "term", "tf", "dl")
+    return search.matches_for(index, terms).postings.select("id", "term", "tf", "dl")
 
 
 @query
@@ -542,7 +540,7 @@ def merge_candidates(spark, sf_dir):
     """The 100 best by text and the 100 nearest of every request, as one list."""
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
-    scored = search.score_text(index, search.postings_for(index, terms), terms)
+    scored = search.score_text(search.matches_for(index, terms), terms)
     text = top_k(scored.select("query_id", "id", "text"), 100, "text", "text_rank")
     near = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), 100)
     return search.merge_candidates(text, near)
@@ -629,9 +627,7 @@ def topk_hits(spark, sf_dir):
     """The ten most frequent uses of a request's terms."""
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
-    matched = search.lookup_join(
-        search.postings_for(index, terms), terms.rows, ["term"], ["id"], terms.bound
-    )
+    matched = search.match_requests(search.matches_for(index, terms), terms)
     scored = matched.groupBy("query_id", "id").agg(
         F.sum("tf").cast("double").alias("relevance")
     )

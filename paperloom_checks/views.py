@@ -24,6 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs up to this size are spread over the cores before work starts.
+SMALL_BYTES = 64 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A file of a few MB in one row group would keep a single task busy, so
+    small inputs are spread; larger ones have enough splits and are read in place."""
+    found = table(spark, sf_dir, "documents")
+    if _size(spark, f"{sf_dir}/documents.parquet") > SMALL_BYTES:
+        return found
+    return found.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
+_sizes: dict[str, int] = {}
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    if path not in _sizes:
+        files = spark.read.format("binaryFile").load(path).select("length")
+        _sizes[path] = files.agg(F.sum("length")).first()[0]
+    return _sizes[path]
+
+
 def raw_id(doc_id: Column) -> Column:
     """``yymm.number`` with a month that depends on the number."""
     month = F.lpad((doc_id % 12 + 1).cast("string"), 2, "0")
@@ -53,7 +76,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.array(text("Doe"), text("J."), text("")),
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         raw_id(doc_id).alias("id"),
         F.col("source").alias("submitter"),
         text("raw author line").alias("authors"),
@@ -89,7 +112,7 @@ def api_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         mins=doc_id.cast("int")
     )
     author = F.struct(F.concat(F.lit("Author "), (doc_id % 7).cast("string")).alias("name"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.expr(f"doc_id div {PAGE_SIZE}").alias("page"),
         (doc_id % PAGE_SIZE).alias("pos"),
         F.concat(
