@@ -34,7 +34,10 @@ class Terms:
 
 
 def request_terms(requests: DataFrame) -> Terms:
-    """Tokenise the requests. Counting them is what later decides what may be broadcast."""
+    """Tokenise the requests, once, and count their terms.
+
+    The count decides later what may be broadcast. It reads no further than the limit.
+    """
     analysed = filter_blank_query(requests).select(
         "query_id",
         "category",
@@ -42,8 +45,14 @@ def request_terms(requests: DataFrame) -> Terms:
             "terms"
         ),
     )
-    rows = analysed.select(
-        "query_id", "category", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
+    rows = stored_once(
+        analysed.select(
+            "query_id",
+            "category",
+            F.size("terms").alias("n_terms"),
+            F.explode_outer("terms").alias("term"),
+        ).where(F.col("term").isNotNull()),
+        "terms",
     )
     return Terms(rows, count_up_to(rows, MAX_BROADCAST_ROWS))
 

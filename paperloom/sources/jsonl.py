@@ -21,9 +21,12 @@ def scan_snapshot(spark: SparkSession, path: str, quarantine: bool = False) -> D
 
 
 def split_corrupt(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows and the text of broken lines, from a scan with ``quarantine``."""
+    """Good rows, and broken lines with what could be read of them and their text.
+
+    Write or use the second as it is: Spark refuses to read only the text column.
+    """
     broken = F.col(CORRUPT).isNotNull()
-    return scanned.where(~broken).drop(CORRUPT), scanned.where(broken).select(CORRUPT)
+    return scanned.where(~broken).drop(CORRUPT), scanned.where(broken)
 
 
 def scan_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -38,7 +38,12 @@ def stream_ingest(
     kept = filter_categories_ci(landed(spark, landing, max_files), subset)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_articles(batch.sparkSession, table, batch, batch_id)
+        # The merge looks at the ids first and at the rows later; the files are parsed once.
+        batch.persist()
+        try:
+            upsert_articles(batch.sparkSession, table, batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         kept.writeStream.foreachBatch(merge)
