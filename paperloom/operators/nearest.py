@@ -97,9 +97,7 @@ def _best_pairs(
     waiting: list[pa.Table] = []
     n_waiting = 0
     floor = np.full(len(query_ids), -np.inf)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _slices(batches, len(query_ids)):
         scores = np.round(_unit_rows(batch) @ matrix.T, SCORE_DIGITS)
         needed = floor
         if batch.num_rows > k:
@@ -120,6 +118,14 @@ def _best_pairs(
     return _reduce([best, *waiting], query_ids, k)[0]
 
 
+def _slices(batches, n_queries):
+    """Batches cut so that a slice has at most four million scores (32 MB)."""
+    size = max(1, 4_000_000 // n_queries)
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def _reduce(tables, query_ids, k):
     pairs = pa.concat_tables(tables)
     order = [("query_id", "ascending"), ("cosine", "descending"), ("id", "ascending")]

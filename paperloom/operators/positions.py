@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import scratch_path
+from paperloom.session import stored_once
 
 _FILE, _BLOCK, _SEQ = "_src_file", "_src_block", "_src_seq"
 
@@ -18,24 +18,21 @@ def stage_in_file_order(scan: DataFrame) -> DataFrame:
     blocks may change from one run to the next with the number of executors; the places
     are therefore written to the shared folder and read back, never worked out twice.
     """
-    spark = scan.sparkSession
-    path = scratch_path(spark, "positions")
     placed = scan.select(
         "*",
         F.col("_metadata.file_path").alias(_FILE),
         F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias(_SEQ),
     )
-    placed.write.parquet(path)
-    return spark.read.schema(placed.schema).parquet(path)
+    return stored_once(placed, "positions")
 
 
 def row_positions(staged: DataFrame, name: str = "pos") -> DataFrame:
     """Number staged rows from 0 in file order: path, then block, then line.
 
     A block is a contiguous run of the running number, so the position is an offset per
-    block plus a difference. Only the block table (one row per input split) is ordered in
-    one task; the rows themselves are not sorted.
+    block plus a difference. Only the block table (one row per input split) is sorted; the
+    rows themselves are not.
     """
     blocks = staged.groupBy(_FILE, _BLOCK).agg(
         F.min(_SEQ).alias("_first"), F.count("*").alias("_rows")
@@ -63,11 +60,34 @@ def parquet_positions(scan: DataFrame, name: str = "pos") -> DataFrame:
 
 
 def _offset_join(rows, sizes, keys, inner_position, name):
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     position = (F.col("_offset") + inner_position).cast("long").alias(name)
     kept = [c for c in rows.columns if c not in (_FILE, _BLOCK, _SEQ)]
-    return rows.join(offsets, keys).select(*kept, position)
+    return rows.join(_offsets(sizes, keys), keys).select(*kept, position)
+
+
+def _offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_offset``: the rows of all files or blocks that come before.
+
+    A running sum in two levels: inside each range of the sorted table, and over the few
+    ranges. The ranges are written down, because a second run may cut them elsewhere.
+    """
+    ranged = stored_once(
+        sizes.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "sizes"
+    )
+
+    def before(window):
+        preceding = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(preceding), F.lit(0))
+
+    ranges = ranged.groupBy("_range").agg(F.sum("_rows").alias("_rows"))
+    starts = ranges.select("_range", before(Window.orderBy("_range")).alias("_start"))
+    inside = before(Window.partitionBy("_range").orderBy(*keys))
+    return (
+        ranged.withColumn("_inside", inside)
+        .join(starts, "_range")
+        .withColumn("_offset", F.col("_start") + F.col("_inside"))
+        .drop("_range", "_rows", "_start", "_inside")
+    )
 
 
 def batch_ranges(numbered: DataFrame, batch_size: int) -> DataFrame:

@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import API_PAGE_SIZE, CURSOR_MARGIN, DEFAULT_CATEGORIES
 from paperloom.functions.articles import api_to_article, terms_of
 from paperloom.operators.filters import in_categories
-from paperloom.operators.paging import filter_full_pages, filter_page_cutoff, filter_page_limit
+from paperloom.operators.paging import (
+    fetch_counter,
+    filter_full_pages,
+    filter_page_cutoff,
+    filter_page_limit,
+)
+from paperloom.sinks.articles import write_dated_overwrite
+from paperloom.sources.atom import scan_atom_pages
+from paperloom.sources.jsonl import scan_dated_partition
+from paperloom.streaming.cursor import advance_cursor, read_cursor
+
+
+def accepted_pages(
+    entries: DataFrame, cursor: Column, subset: Sequence[str] = DEFAULT_CATEGORIES
+) -> DataFrame:
+    """All entries of the pages back to three hours before the cursor, whole pages at a time."""
+    floor = cursor - F.expr(f"interval {CURSOR_MARGIN}")
+    return filter_page_cutoff(entries, floor, F.to_timestamp("updated"), _wanted(subset))
 
 
 def select_pages(
@@ -21,14 +38,10 @@ def select_pages(
 ) -> DataFrame:
     """The wanted entries of the pages that a run since ``cursor`` accepts.
 
-    Only full pages within the page budget count; they are read back to three hours before
-    the cursor, whole pages at a time; the category filter comes last.
+    Only full pages within the page budget count; the category filter comes last.
     """
-    keep = in_categories(terms_of(F.col("category")), subset)
     budget = filter_page_limit(filter_full_pages(entries, page_size))
-    floor = cursor - F.expr(f"interval {CURSOR_MARGIN}")
-    updated = F.to_timestamp("updated")
-    return filter_page_cutoff(budget, floor, updated, keep).where(keep)
+    return accepted_pages(budget, cursor, subset).where(_wanted(subset))
 
 
 def daily_articles(
@@ -40,3 +53,31 @@ def daily_articles(
 ) -> DataFrame:
     """Landed entries to the canonical articles of one run."""
     return api_to_article(select_pages(entries, cursor, page_size, subset), run_date)
+
+
+def run_daily(
+    spark: SparkSession,
+    pages: str,
+    out: str,
+    cursor: str,
+    run_date: str,
+    page_size: int = API_PAGE_SIZE,
+    subset: Sequence[str] = DEFAULT_CATEGORIES,
+) -> int:
+    """One run: landed pages to the run's folder, then the cursor.
+
+    Repeating a run replaces its own folder only. The cursor moves after the articles are
+    stored, from what was stored. Returns the number of entries fetched.
+    """
+    entries = filter_page_limit(filter_full_pages(scan_atom_pages(spark, pages), page_size))
+    since = read_cursor(spark, cursor)
+    write_dated_overwrite(
+        daily_articles(entries, since, run_date, page_size, subset), out, run_date
+    )
+    advance_cursor(spark, cursor, scan_dated_partition(spark, out, run_date))
+    accepted = accepted_pages(entries, since, subset)
+    return fetch_counter(accepted, page_size).first()["fetched"]
+
+
+def _wanted(subset: Sequence[str]) -> Column:
+    return in_categories(terms_of(F.col("category")), subset)

@@ -143,7 +143,7 @@ def search_hybrid(
     matches = matches or matches_for(index, terms)
     near = _candidates(vectors, query_vectors, target_hits) if near is None else near
     scored = score_text(matches, terms).select(*_PAIR, "text")
-    text = text_candidates(scored, near, terms.bound, hits, target_hits)
+    text = text_candidates(scored, near, hits, target_hits)
     blended = merge_candidates(text, near).withColumn(
         "relevance", F.col("text") + F.col("cosine")
     )
@@ -167,7 +167,7 @@ def search_fusion(
     near = _candidates(vectors, query_vectors, target_hits) if near is None else near
     scored = score_text(matches, terms).select(*_PAIR, "text")
     text = stored_once(
-        text_candidates(scored, near, terms.bound, hits, target_hits), "candidates"
+        text_candidates(scored, near, hits, target_hits), "candidates"
     )
     placed = text_ranks(scored, text, terms.bound, hits + target_hits)
     fused = merge_candidates(placed, near).withColumn(
@@ -177,17 +177,18 @@ def search_fusion(
 
 
 def text_candidates(
-    scored: DataFrame, near: DataFrame, n_requests: int, hits: int, target_hits: int
+    scored: DataFrame, near: DataFrame, hits: int, target_hits: int
 ) -> DataFrame:
     """The text matches that can still be among the best ``hits`` of a blend.
 
     A match that is not among the nearest has no vector score, so of those only the best
     ``hits`` by text can win. Matches that are among the nearest are all kept. This is
     exact and leaves ``hits + target_hits`` rows per request, where the matches themselves
-    grow with the collection.
+    grow with the collection. ``near`` is a stored table, so it is counted before it is
+    broadcast; if it is too large, both sides shuffle on the pair, which has no hot keys.
     """
     known = near.select(*_PAIR, F.lit(True).alias("is_near"))
-    if n_requests * target_hits <= MAX_BROADCAST_ROWS:
+    if count_up_to(near, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS:
         known = F.broadcast(known)
     flagged = scored.join(known, _PAIR, "left").withColumn(
         "is_near", F.coalesce("is_near", F.lit(False))

@@ -51,8 +51,8 @@ def scan_dated_partition(spark: SparkSession, path: str, run_date: str) -> DataF
 
 
 def scan_sample(numbered: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The development slice: the first rows in file order."""
-    return numbered.orderBy("pos").limit(rows)
+    """The development slice: the first rows in file order, by position, without a sort."""
+    return numbered.where(F.col("pos") < rows)
 
 
 def _read(spark, path, schema, quarantine):

@@ -363,14 +363,13 @@ def drop_authors_parsed(spark, sf_dir):
 def feed_document(spark, sf_dir):
     kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir))
     document = art.feed_document(kept).select(F.to_json(F.struct("id", "fields")).alias("d"))
+    first_value = F.get_json_object("d", "$.fields.abstract_embedding.values[0]")
     return document.select(
         F.get_json_object("d", "$.id").alias("id"),
         F.get_json_object("d", "$.fields.link").alias("link"),
         F.get_json_object("d", "$.fields.categories[0]").alias("first_category"),
         F.get_json_object("d", "$.fields.abstract").alias("abstract"),
-        F.round(
-            F.get_json_object("d", "$.fields.abstract_embedding.values[0]").cast("double"), 5
-        ).alias("first_value"),
+        F.round(first_value.cast("float").cast("double"), 5).alias("first_value"),
     )
 
 
@@ -396,9 +395,9 @@ def query_prefix(spark, sf_dir):
 
 @query
 def query_casefold(spark, sf_dir):
-    shouted = F.upper("query_text")
+    typed = F.concat(F.lit("Deep LEARNING "), F.col("query_text"))
     return v.requests(spark, sf_dir).select(
-        "query_id", "profile", txt.query_casefold(shouted, F.col("profile")).alias("query_text")
+        "query_id", "profile", txt.query_casefold(typed, F.col("profile")).alias("query_text")
     )
 
 
@@ -786,11 +785,11 @@ def embed_queries(spark, sf_dir):
 
 @query
 def l2_normalize_vectors(spark, sf_dir):
-    doubled = F.transform("embedding", lambda x: x * 3)
+    tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
     unit = v.table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.posexplode(l2_normalize(doubled)).alias("dim", "value")
+        "vec_id", F.posexplode(l2_normalize(tripled)).alias("dim", "value")
     )
-    return unit.withColumn("value", F.round("value", 5))
+    return unit.withColumn("value", F.round("value", 6))
 
 
 QUERIES["l2_normalize"] = QUERIES.pop("l2_normalize_vectors")

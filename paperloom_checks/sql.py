@@ -302,8 +302,8 @@ SELECT query_id, '{QUERY_INSTRUCTION}' || ' ' || query_text AS prefixed, query_t
 FROM requests""",
     "query_casefold": f"""WITH {REQUESTS}
 SELECT query_id, profile,
-  CASE WHEN profile IN ('hybrid', 'fusion') THEN lower(upper(query_text)) ELSE upper(query_text) END
-    AS query_text
+  CASE WHEN profile IN ('hybrid', 'fusion') THEN 'deep learning ' ELSE 'Deep LEARNING ' END
+    || query_text AS query_text
 FROM requests""",
     "result_cards": f"""WITH {MARKED}
 SELECT query_id, rank, id,
@@ -439,8 +439,8 @@ kept AS (SELECT query_id, '{QUERY_INSTRUCTION}' || ' ' || query_text AS text FRO
 {slots('query_id', 'kept')}""",
     "l2_normalize": """
 WITH scaled AS (
-  SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: (x * 3)::DOUBLE * (x * 3)::DOUBLE)))
-    AS length, embedding FROM embeddings)
-SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS dim,
-  round(unnest(embedding)::DOUBLE * 3 / length, 5) AS value FROM scaled""",
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings),
+measured AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM scaled)
+SELECT vec_id, (generate_subscripts(v, 1) - 1)::INT AS dim, round(unnest(v) / n, 6) AS value
+FROM measured""",
 }
