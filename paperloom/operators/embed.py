@@ -67,17 +67,28 @@ def embed_queries(
     )
 
 
+#: Dimensions summed together by ``mean_pool``.
+POOL_CHUNK = 32
+
+
 def mean_pool(
     token_vectors: DataFrame, key: str, vector: str, mask: Column, width: int
 ) -> DataFrame:
     """Masked mean of the token vectors of each ``key``; null where all are masked.
 
-    One partial sum per dimension, so no row is exploded into ``width`` rows, and a key
-    with very many tokens is reduced before the shuffle.
+    A vector is cut into a few chunks, each with one partial sum per dimension. That keeps
+    the sums in generated code, which neither one row per dimension nor hundreds of sums
+    side by side does, and a key with very many tokens is reduced before the shuffle.
     """
-    weight = F.when(mask, 1).otherwise(0)
-    used = F.when(mask, F.col(vector))
-    sums = [F.sum(F.get(used, i).cast("double")).alias(f"_s{i}") for i in range(width)]
-    pooled = token_vectors.groupBy(key).agg(F.sum(weight).alias("_n"), *sums)
-    mean = F.array(*[F.try_divide(F.col(f"_s{i}"), F.col("_n")) for i in range(width)])
-    return pooled.select(key, F.when(F.col("_n") > 0, mean).alias(vector))
+    starts = range(0, width, POOL_CHUNK)
+    cut = F.array(*[F.slice(vector, start + 1, POOL_CHUNK) for start in starts])
+    pieces = token_vectors.select(
+        key, F.when(mask, 1).otherwise(0).alias("_used"), F.posexplode(cut).alias("_chunk", "_part")
+    )
+    used = F.when(F.col("_used") == 1, F.col("_part"))
+    sums = [F.sum(F.get(used, F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(POOL_CHUNK)]
+    summed = pieces.groupBy(key, "_chunk").agg(F.sum("_used").alias("_n"), *sums)
+    means = F.array(*[F.try_divide(F.col(f"_s{i}"), F.col("_n")) for i in range(POOL_CHUNK)])
+    chunks = F.array_sort(F.collect_list(F.struct("_chunk", means.alias("_mean"))))
+    pooled = F.slice(F.flatten(chunks["_mean"]), 1, width)
+    return summed.groupBy(key).agg(F.when(F.max("_n") > 0, pooled).alias(vector))
