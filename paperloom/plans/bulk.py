@@ -28,7 +28,7 @@ from paperloom.operators.filters import (
 )
 from paperloom.operators.positions import row_positions, stage_in_file_order
 from paperloom.sinks.articles import write_embeddings, write_jsonl
-from paperloom.sinks.feed import feed_documents
+from paperloom.sinks.feed import ClientFactory, feed_documents
 from paperloom.sources.jsonl import scan_articles, scan_snapshot
 from paperloom.sources.vectors import scan_embeddings
 from paperloom.streaming.cursor import seed_cursor
@@ -66,7 +66,7 @@ def feed_articles(
     spark: SparkSession,
     articles: str,
     embeddings: str,
-    client: str,
+    client: ClientFactory,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
     restart_from: int = NO_RESTART,
     cap: int = FEED_CAP,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import importlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -18,6 +18,8 @@ from paperloom.schemas import ARTICLE
 
 FORMAT = "paperloom_feed"
 
+ClientFactory = Callable[[dict[str, str]], object]
+
 
 @dataclass
 class Fed(WriterCommitMessage):
@@ -46,13 +48,14 @@ class FileClient:
 
 
 class FeedWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, client: ClientFactory, options: dict[str, str]):
+        self.client = client
         self.options = options
         self.batch_size = int(options.get("batchsize", FEED_BATCH))
         self.flush_size = int(options.get("flushsize", FEED_FLUSH))
 
     def write(self, iterator) -> Fed:
-        client = _client(self.options)
+        client = self.client(self.options)
         partition = TaskContext.get().partitionId()
         waiting: list[str] = []
         documents = batches = 0
@@ -92,6 +95,8 @@ class FeedWriter(DataSourceArrowWriter):
 
 
 class FeedSource(DataSource):
+    client: ClientFactory = FileClient
+
     @classmethod
     def name(cls) -> str:
         return FORMAT
@@ -100,30 +105,26 @@ class FeedSource(DataSource):
         return "document string"
 
     def writer(self, schema, overwrite: bool) -> FeedWriter:
-        return FeedWriter(dict(self.options))
+        return FeedWriter(type(self).client, dict(self.options))
 
 
 def feed_documents(
-    articles: DataFrame, client: str = "paperloom.sinks.feed:FileClient", **options: str
+    articles: DataFrame, client: ClientFactory = FileClient, **options: str
 ) -> None:
     """Feed articles with embeddings.
 
-    ``client`` names a class (``module:Class``) that takes the options and has a
-    ``feed(batch, partition, number)`` method returning the response as text. Documents
+    ``client`` is called with the options once per task; the result needs a
+    ``feed(batch, partition, number)`` method that returns the response as text. Documents
     become JSON inside the JVM; Python only slices and sends. Feeding must be idempotent by
     id, since a task may run twice.
     """
     spark = articles.sparkSession
-    spark.dataSource.register(FeedSource)
+    # The client travels with the source, so executors need not be able to import it.
+    spark.dataSource.register(type("BoundFeedSource", (FeedSource,), {"client": client}))
     documents = feed_document(articles).select(
         F.to_json(F.struct("id", "fields"), {"ignoreNullFields": "false"}).alias("document")
     )
-    (
-        documents.write.format(FORMAT)
-        .mode("append")
-        .options(client=client, **options)
-        .save()
-    )
+    documents.write.format(FORMAT).mode("append").options(**options).save()
 
 
 def read_fed(spark: SparkSession, path: str) -> DataFrame:
@@ -135,11 +136,6 @@ def read_fed(spark: SparkSession, path: str) -> DataFrame:
     ).json(path)
 
 
-def _client(options):
-    module, _, name = options["client"].partition(":")
-    return getattr(importlib.import_module(module), name)(options)
-
-
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:/") and not path.startswith("file://"):
         path = path.removeprefix("file:")

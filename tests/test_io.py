@@ -2,13 +2,18 @@ from __future__ import annotations
 
 import gzip
 import json
+import subprocess
+import sys
 
 import pytest
 from conftest import plan_of, rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from paperloom.functions.encoders import hash_encoder
 from paperloom.operators import attach, positions
 from paperloom.operators.collection import latest_by_id, union_origins
+from paperloom.operators.nearest import _best_pairs
 from paperloom.schemas import ARTICLE
 from paperloom.sinks import articles as sink
 from paperloom.sinks import feed
@@ -188,6 +193,32 @@ def test_feed_batches(spark, tmp_path):
     assert document["fields"]["abstract_embedding"] == {"values": [0.5]}
 
 
+def test_any_client_can_be_handed_in(spark, tmp_path):
+    class Client:
+        def __init__(self, options):
+            self.target = options["target"]
+
+        def feed(self, batch, partition, number):
+            return f"{self.target}: {len(batch)} documents, the first {json.loads(batch[0])['id']}"
+
+    fed = article(spark, "x", "y").withColumn("embedding", F.array(F.lit(0.5))).coalesce(1)
+    feed.feed_documents(fed, Client, target="there", report=str(tmp_path / "r"))
+    assert json.loads((tmp_path / "r").read_text())["last_response"] == "there: 2 documents, the first x"
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """What is sent to Python workers loads where the package cannot be imported."""
+    shipped = tmp_path / "shipped"
+    shipped.write_bytes(cloudpickle.dumps((hash_encoder(), feed.FeedSource, _best_pairs)))
+    script = (
+        "import pickle, sys; encoder, source, _ = pickle.load(open(sys.argv[1], 'rb'));"
+        "print(encoder()(['a b']).shape, source.name(), 'paperloom' in sys.modules)"
+    )
+    run = [sys.executable, "-I", "-c", script, str(shipped)]
+    done = subprocess.run(run, cwd="/", capture_output=True, text=True, timeout=120)
+    assert done.stdout.split("\n")[0] == "(1, 384) paperloom_feed False", done.stderr
+
+
 def test_feed_flush_keeps_batches_whole(spark, tmp_path):
     fed = article(spark, *map(str, range(25))).withColumn("embedding", F.array(F.lit(0.5))).coalesce(1)
     feed.feed_documents(fed, path=str(tmp_path / "f"), report=str(tmp_path / "r"), batchSize="4", flushSize="10")

@@ -11,7 +11,7 @@ from test_filters_and_pages import ENTRY, PAGE
 from paperloom.functions.encoders import hash_encoder
 from paperloom.plans import bulk, daily
 from paperloom.schemas import RAW
-from paperloom.sinks.feed import read_fed
+from paperloom.sinks.feed import FileClient, read_fed
 from paperloom.sources.jsonl import scan_articles, scan_dated_partition
 from paperloom.sources.vectors import scan_embeddings
 from paperloom.streaming.cursor import cursor_history, write_cursor
@@ -31,7 +31,7 @@ def test_bulk_run(spark, tmp_path):
     assert scan_articles(spark, articles).count() == 4
     bulk.embed_articles(spark, articles, vectors, hash_encoder())
     assert rows(scan_embeddings(spark, vectors).select("id", "pos")) == [("2401.00000v2", 0), ("2401.00003v2", 1)]
-    counted = bulk.feed_articles(spark, articles, vectors, "paperloom.sinks.feed:FileClient", path=fed)
+    counted = bulk.feed_articles(spark, articles, vectors, FileClient, path=fed)
     assert tuple(counted) == (4, 3, 1)
     found = {r.id: r.fields.abstract_embedding["values"] for r in read_fed(spark, fed).collect()}
     encoded = hash_encoder()()(["text 0", "text 3"])
@@ -47,7 +47,7 @@ def test_resumed_feed(spark, tmp_path):
     bulk.normalise_snapshot(spark, snapshot, articles)
     bulk.embed_articles(spark, articles, vectors, hash_encoder(), batch_size=4)
     counted = bulk.feed_articles(
-        spark, articles, vectors, "paperloom.sinks.feed:FileClient", restart_from=2, cap=3, path=fed
+        spark, articles, vectors, FileClient, restart_from=2, cap=3, path=fed
     )
     assert tuple(counted) == (2, 2, 0)
     encoded = hash_encoder()()(["text 2", "text 3"])
