@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from paperloom.constants import CURSOR_MARGIN, DEFAULT_CATEGORIES
 from paperloom.operators.filters import filter_categories_ci
 from paperloom.schemas import ARTICLE
-from paperloom.sinks.articles import upsert_articles
+from paperloom.sinks.articles import stored_collection, upsert_articles
 from paperloom.sources.jsonl import with_defaults
 
 
@@ -38,10 +38,14 @@ def stream_ingest(
     kept = filter_categories_ci(landed(spark, landing, max_files), subset)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # The merge looks at the ids first and at the rows later; the files are parsed once.
+        spark = batch.sparkSession
+        if stored_collection(spark, table) is None:
+            upsert_articles(spark, table, batch, batch_id)
+            return
+        # A later merge looks at the ids first and at the rows then; parse the files once.
         batch.persist()
         try:
-            upsert_articles(batch.sparkSession, table, batch, batch_id)
+            upsert_articles(spark, table, batch, batch_id)
         finally:
             batch.unpersist()
 

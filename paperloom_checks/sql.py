@@ -139,7 +139,7 @@ scored AS (
   FROM matches GROUP BY query_id, id),
 bm25 AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS INT) AS rank
     FROM (
       SELECT query_id, id, round(sum(part), 6) AS relevance FROM matches
       WHERE category IS NULL OR list_contains(categories, category)
@@ -154,18 +154,18 @@ blended AS (
   FROM scored FULL JOIN asked_near USING (query_id, id)),
 hybrid AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS INT) AS rank
     FROM (SELECT query_id, id, round(text + cosine, 6) AS relevance FROM blended))
   WHERE rank <= 10),
 fusion AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS INT) AS rank
     FROM (SELECT query_id, id,
             round(coalesce(1e0 / ({RRF_K} + text_rank), 0) + coalesce(1e0 / ({RRF_K} + near_rank), 0), 6)
               AS relevance FROM blended))
   WHERE rank <= 10),
 semantic AS (
-  SELECT query_id, id, cosine AS relevance, near_rank AS rank FROM near WHERE near_rank <= 10)"""
+  SELECT query_id, id, cosine AS relevance, near_rank::INT AS rank FROM near WHERE near_rank <= 10)"""
 
 SEARCH = ",".join([ARTICLES, REQUESTS, VECTORS, POSTINGS, SCORED, BLENDS])
 TEXT_SEARCH = ",".join([ARTICLES, REQUESTS, POSTINGS, SCORED])
@@ -210,7 +210,7 @@ SELECT {key}, slot::INT AS slot,
 FROM pooled"""
 
 
-def dedup_matches(select: str) -> str:
+def over_matches(select: str) -> str:
     return f"WITH {TEXT_SEARCH} {select}"
 
 
@@ -320,7 +320,7 @@ FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) GROU
 SELECT id, array_to_string(categories, '|') AS categories FROM articles WHERE {KEEP}""",
     "filter_categories_ci": f"""WITH {ARTICLES}
 SELECT id, array_to_string(categories, '|') AS categories FROM articles WHERE {KEEP_CI}""",
-    "filter_query_category": dedup_matches("""
+    "filter_query_category": over_matches("""
 SELECT query_id, count(*) AS n_matches, min(id) AS first_id, max(id) AS last_id FROM matches
 WHERE category IS NULL OR list_contains(categories, category) GROUP BY query_id"""),
     "filter_restart": """
@@ -380,9 +380,9 @@ SELECT label, dim::INT AS dim, round(avg(value::DOUBLE), 6) AS value FROM used G
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM postings GROUP BY term""",
     "corpus_stats": f"""WITH {ARTICLES}, {POSTINGS}
 SELECT n_articles, round(mean_length, 6) AS mean_length FROM corpus""",
-    "topk_hits": dedup_matches("""
-SELECT query_id, id, relevance, rank::INT AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank FROM (
+    "topk_hits": over_matches("""
+SELECT query_id, id, relevance, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS INT) AS rank FROM (
     SELECT query_id, id, sum(tf)::DOUBLE AS relevance FROM matches GROUP BY query_id, id))
 WHERE rank <= 10"""),
     "topk_candidates": f"""WITH {REQUESTS}, {VECTORS}
