@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import SEED_MARGIN
+from paperloom.functions.articles import update_epoch
 from paperloom.schemas import CURSOR
 
 NAME = "articles"
@@ -29,7 +30,7 @@ def write_cursor(spark: SparkSession, path: str, last_updated: str | Column, nam
 
     Call this after the data of the run has been committed.
     """
-    value = F.lit(last_updated) if isinstance(last_updated, str) else last_updated
+    value = _instant(last_updated) if isinstance(last_updated, str) else last_updated
     row = spark.range(1).select(
         F.lit(name).alias("name"),
         F.lit(_next_seq(spark, path, name)).cast("long").alias("seq"),
@@ -40,7 +41,7 @@ def write_cursor(spark: SparkSession, path: str, last_updated: str | Column, nam
 
 def seed_cursor(spark: SparkSession, path: str, dataset_updated: str, name: str = NAME) -> None:
     """Start from the bulk snapshot's own date, less three days for its delay."""
-    start = F.lit(dataset_updated).cast("timestamp") - F.expr(f"interval {SEED_MARGIN}")
+    start = _instant(dataset_updated) - F.expr(f"interval {SEED_MARGIN}")
     write_cursor(spark, path, start, name)
 
 
@@ -51,6 +52,11 @@ def advance_cursor(spark: SparkSession, path: str, stored: DataFrame, name: str
         write_cursor(spark, path, F.timestamp_seconds(F.lit(newest)), name)
 
 
+def _instant(date: str) -> Column:
+    """A date without a zone is UTC, as everywhere."""
+    return F.timestamp_seconds(update_epoch(F.lit(date)))
+
+
 def _next_seq(spark: SparkSession, path: str, name: str) -> int:
     try:
         last = cursor_history(spark, path, name).agg(F.max("seq").alias("last")).first()["last"]

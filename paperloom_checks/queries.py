@@ -735,7 +735,7 @@ def incremental_cursor(spark, sf_dir):
     stored = art.api_to_article(kept, v.RUN_DATE)
     cursors.advance_cursor(spark, state, stored)
     return cursors.cursor_history(spark, state).select(
-        "seq", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated")
+        "seq", F.unix_seconds("last_updated").alias("last_updated")
     )
 
 

@@ -420,9 +420,9 @@ newest AS (
 stop AS (
   SELECT min(page) AS page FROM newest
   WHERE newest < TIMESTAMP '{CURSOR}' - INTERVAL 3 HOURS)
-SELECT 0::BIGINT AS seq, strftime(TIMESTAMP '{CURSOR}', '%Y-%m-%d %H:%M:%S') AS last_updated
+SELECT 0::BIGINT AS seq, epoch(TIMESTAMP '{CURSOR}')::BIGINT AS last_updated
 UNION ALL
-SELECT 1, strftime(max(updated), '%Y-%m-%d %H:%M:%S')
+SELECT 1, epoch(max(updated))::BIGINT
 FROM full_pages e, stop s WHERE {KEEP} AND (s.page IS NULL OR e.page <= s.page)""",
     "stream_ingest": f"""WITH {ARTICLES}, {API},
 latest AS (
