@@ -12,11 +12,6 @@ MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
-def count_up_to(df: DataFrame, limit: int) -> int:
-    """The row count, or ``limit + 1`` if there are more; reads no further than that."""
-    return df.limit(limit + 1).count()
-
-
 def lookup_join(
     large: DataFrame,
     small: DataFrame,

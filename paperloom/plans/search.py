@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paperloom.constants import HITS, RRF_K, SCORE_DIGITS, SEARCH_PROFILES, TARGET_HITS
 from paperloom.functions.text import highlight, query_casefold, show_marks, tokens
 from paperloom.operators.filters import filter_blank_query, filter_query_category
-from paperloom.operators.joins import MAX_BROADCAST_ROWS, count_up_to, lookup_join
+from paperloom.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from paperloom.operators.nearest import nearest
 from paperloom.operators.textindex import Matches, TextIndex, bm25, match_terms, weights
 from paperloom.operators.topk import top_k, topk_hits
@@ -27,17 +27,14 @@ _PAIR = ["query_id", "id"]
 
 @dataclass(frozen=True)
 class Terms:
-    """Distinct terms per request (``query_id, category, n_terms, term``), and a row bound."""
+    """Distinct terms per request (``query_id, category, n_terms, term``), and their number."""
 
     rows: DataFrame
     bound: int
 
 
 def request_terms(requests: DataFrame) -> Terms:
-    """Tokenise the requests, once, and count their terms.
-
-    The count decides later what may be broadcast. It reads no further than the limit.
-    """
+    """Tokenise the requests, once, and count their terms: that decides what is broadcast."""
     analysed = filter_blank_query(requests).select(
         "query_id",
         "category",
@@ -54,7 +51,7 @@ def request_terms(requests: DataFrame) -> Terms:
         ).where(F.col("term").isNotNull()),
         "terms",
     )
-    return Terms(rows, count_up_to(rows, MAX_BROADCAST_ROWS))
+    return Terms(rows, rows.count())
 
 
 def matches_for(index: TextIndex, terms: Terms) -> Matches:
@@ -188,7 +185,7 @@ def text_candidates(
     broadcast; if it is too large, both sides shuffle on the pair, which has no hot keys.
     """
     known = near.select(*_PAIR, F.lit(True).alias("is_near"))
-    if count_up_to(near, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS:
+    if near.count() <= MAX_BROADCAST_ROWS:
         known = F.broadcast(known)
     flagged = scored.join(known, _PAIR, "left").withColumn(
         "is_near", F.coalesce("is_near", F.lit(False))
