@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +29,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
     Written tables are used to cut lineage, so they must outlive the executor that wrote
-    them. Only a local session without that setting falls back to a temporary folder.
+    them. Without that setting the folder given to ``setCheckpointDir`` is used, and else one
+    beside the warehouse tables, which the cluster shares as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = _local_root()
+        given = spark.sparkContext.getCheckpointDir()
+        root = given or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -50,8 +48,3 @@ def stored_once(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="paperloom-")
