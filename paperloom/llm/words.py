@@ -15,11 +15,13 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes hashed at a time; a longer document is cut at white space.
+#: Bytes hashed at a time; a longer document is cut between words.
 PIECE = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII other than letters and digits, for words without their punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,9 +51,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(data: np.ndarray, breaks: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word; no word goes over a break."""
-    blank = SPACE[data]
+    blank = blanks[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[breaks] = True
     before = np.concatenate([[True], blank[:-1]]) | first[:-1]
@@ -65,8 +67,8 @@ def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, mix(hashes + (ends - starts).astype(np.uint64))
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of documents, and more of them at white space inside long ones."""
+def _cuts(data: np.ndarray, offsets: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+    """Offsets of documents, and more of them between words inside long ones."""
     long = np.flatnonzero(np.diff(offsets) > PIECE)
     if not len(long):
         return offsets
@@ -74,17 +76,17 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for i in long:
         at, end = int(offsets[i]), int(offsets[i + 1])
         while end - at > PIECE:
-            window = np.flatnonzero(SPACE[data[at + PIECE // 2 : at + PIECE]])
+            window = np.flatnonzero(blanks[data[at + PIECE // 2 : at + PIECE]])
             if len(window):
                 at = at + PIECE // 2 + int(window[-1]) + 1
             else:  # a word longer than a piece stays whole
-                rest = np.flatnonzero(SPACE[data[at + PIECE : end]])
+                rest = np.flatnonzero(blanks[data[at + PIECE : end]])
                 at = at + PIECE + int(rest[0]) + 1 if len(rest) else end
             more.append(at)
     return np.unique(np.concatenate([offsets, more]))
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, blanks: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of documents: the first one's index, word hashes, and each one's first word.
 
     The last array has one entry more than the run has documents. Nulls count as empty.
@@ -97,7 +99,7 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
         own = offsets[i : j + 1]
-        cuts = _cuts(data, own)
+        cuts = _cuts(data, own, blanks)
         parts, places = [], []
         k = 0
         while k < len(cuts) - 1:
@@ -105,7 +107,7 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
             at, end = int(cuts[k]), int(cuts[m])
             if end > at:
                 with np.errstate(over="ignore"):
-                    starts, hashes = _hash_piece(data[at:end], cuts[k : m + 1] - at)
+                    starts, hashes = _hash_piece(data[at:end], cuts[k : m + 1] - at, blanks)
                 parts.append(hashes)
                 places.append(starts + at)
             k = m
