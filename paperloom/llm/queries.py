@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.decontam import leaks
 from paperloom.llm.jaccard import jaccard_components
+from paperloom.llm.mixing import mix_sources
 from paperloom.llm.toxicity import toxicity
 
 
@@ -22,6 +23,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,5 +34,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
 }
