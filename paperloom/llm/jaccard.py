@@ -5,15 +5,18 @@ Distance is one minus similarity; two sets link at a distance of ``1 - threshold
 Seeds. Unrelated texts are all at distance 1 of each other, so pivots drawn from everywhere
 would tell none of them apart. Regions therefore start around shared rare shingles: sets that
 link share one of the first ``n - ceil(threshold * n) + 1`` shingles of either in any common
-order. The order puts shingles of locally frequent hash slots last, then follows the hash.
+order. The order puts shingles of locally frequent hash slots last, then follows the hash. The
+seeds of two sets also bound their distance from both sides, so whole sets are only compared
+where the seeds allow a link.
 
 Regions. Each region takes pivots from its own sets, one for every ``PER_PIVOT`` sets. A set's
-home is the nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot is no
-further than its home plus twice the link distance: by the triangle inequality no partner is
-missed. Sets that link to their pivot are connected through it already; they stay only where a
-set outside that ball could still reach them, again by the triangle inequality. What stays forms
-the next regions. Regions that fit a task are joined there; regions that do not get smaller
-are joined block by block within windows of the set size. Nothing is capped or sampled.
+home is the nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot may be
+no further than its home plus the link distance: of two partners, the one further from its home
+is then, by the triangle inequality, in the home cell of the other. Sets that link to a pivot
+are connected through it already; they stay only where a set outside that ball could still
+reach them, again by the triangle inequality. What stays forms the next regions. Regions of a
+few sets are joined in a task; regions that do not get smaller are joined block by block within
+windows of the set size. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -38,10 +41,9 @@ SLOTS = 1 << 20
 #: A slot is frequent in a task that meets it so often, and so many times more than the mean.
 FREQUENT, OVER_MEAN = 16, 8
 #: Sets of a region for one pivot, and pivots at most in one round.
-PER_PIVOT, PIVOTS = 256, 16
-#: Shingles, and sets, up to which one task joins a region.
-LEAF_SHINGLES, LEAF_SETS = 400_000, 512
-#: Rounds of pivots before what is left is joined block by block.
+PER_PIVOT, PIVOTS = 16, 16
+#: Sets of a region that is joined without more pivots; after the last round, sets of a block.
+LEAF, BLOCK = 24, 512
 ROUNDS = 4
 SLACK = 1e-9
 
@@ -75,9 +77,11 @@ def frequent_slots(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, copy, n, node, seeds``: set size, set hash and seed shingles of each text."""
-    classes = frequent_slots(texts, words)
-    ordered = bool(classes.any())
+    """``doc_id, copy, n, node, seeds``: set size, set hash and seed shingles of each text.
+
+    A seed holds its frequency class in the top bits and its hash below; seeds are in order.
+    """
+    classes = frequent_slots(texts, words).astype(np.uint64) << np.uint64(56)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +90,9 @@ def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 n = len(s)
                 sizes.append(n)
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) if n else None)
-                if ordered and n:
-                    s = s[np.argsort(classes[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
-                seeds.append(s[: n + (percent * n) // -100 + 1] if n else s)
+                keys = classes[(s & np.uint64(SLOTS - 1)).astype(np.int64)] | (s >> np.uint64(8))
+                count = n + (percent * n) // -100 + 1 if n else 0
+                seeds.append(np.sort(np.partition(keys, count - 1)[:count]) if count < n else np.sort(keys))
                 ends.append(ends[-1] + len(seeds[-1]))
             flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
             hashes = pa.array(nodes, pa.uint64())
@@ -168,34 +172,84 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def close_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """All linking pairs of a few sets: shared shingles are counted into a matrix."""
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+def _seed_bounds(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
+    """``pivot, node, n_pivot, n, least, shared`` of distinct pairs, from their seeds.
+
+    At least ``least`` shingles are in one of the sets only, at least ``shared`` in both. Sets
+    whose sizes alone forbid a link are not compared.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("theirs", "seeds")]
+            flat = [np.asarray(x.flatten()).view(np.uint64) for x in lists]
+            ends = [np.asarray(x.offsets) - x.offsets[0].as_py() for x in lists]
+            least, shared = [], []
+            for i in range(len(batch)):
+                a, b = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+                upto = min(a[-1], b[-1])
+                both = len(np.intersect1d(a, b, assume_unique=False))
+                known = np.searchsorted(a, upto, "right") + np.searchsorted(b, upto, "right")
+                least.append(max(0, int(known) - 2 * both))
+                shared.append(both)
+            columns = [batch.column(c) for c in ("pivot", "node", "n_pivot", "n")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(least, pa.int64()), pa.array(shared, pa.int64())],
+                ["pivot", "node", "n_pivot", "n", "least", "shared"],
+            )
+
+    sizes = seeds.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"))
+    pairs = pairs.join(sizes, "pivot")
+    alike = 100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot")
+    unlike = pairs.where(~alike).select(
+        "pivot", "node", "n_pivot", "n", F.abs(F.col("n") - F.col("n_pivot")).alias("least"), F.lit(0).cast("bigint").alias("shared")
+    )
+    theirs = seeds.select(F.col("node").alias("pivot"), F.col("seeds").alias("theirs"))
+    measured = (
+        pairs.where(alike)
+        .join(seeds.select("node", "seeds"), "node")
+        .join(theirs, "pivot")
+        .select("pivot", "node", "n_pivot", "n", "theirs", "seeds")
+        .mapInArrow(measure, "pivot bigint, node bigint, n_pivot bigint, n bigint, least bigint, shared bigint")
+    )
+    return measured.unionByName(unlike)
+
+
+def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs of a few sets that their sizes and seeds allow to link."""
+    order = np.argsort(np.array([s[-1] for s in seeds]), kind="stable")
+    sizes, seeds = sizes[order], [seeds[i] for i in order]
+    lengths = np.array([len(s) for s in seeds])
+    flat, owner = np.concatenate(seeds), np.repeat(np.arange(len(seeds)), lengths)
+    place = np.argsort(flat, kind="stable")
+    flat, owner = flat[place], owner[place]
     bounds = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
-    both = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    both = np.zeros((len(seeds), len(seeds)), dtype=np.int32)
     for k in np.flatnonzero(np.diff(bounds) > 1):
-        own = owner[bounds[k] : bounds[k + 1]]
+        own = np.unique(owner[bounds[k] : bounds[k + 1]])
         both[own[:, None], own] += 1
-    union = sizes[:, None] + sizes - both
-    yield from zip(*np.nonzero(np.triu(100 * both.astype(np.int64) >= percent * union, 1)), strict=True)
+    alike = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    for i, j in zip(*np.nonzero(np.triu((both > 0) & alike, 1)), strict=True):
+        # all seeds of i come before the last one of j
+        least = lengths[i] + int(np.searchsorted(seeds[j], seeds[i][-1], "right")) - 2 * int(both[i, j])
+        total = int(sizes[i] + sizes[j])
+        if (100 + percent) * max(least, 0) <= (100 - percent) * total:
+            yield int(order[i]), int(order[j])
 
 
-def _join_leaves(regions: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links within regions that fit a task."""
+def _join_leaves(regions: DataFrame, seeds: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``pivot, node``: pairs within small regions that may link."""
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node")
         nodes = rows["node"].to_numpy()
-        own = [np.asarray(s).view(np.uint64) for s in rows["shingles"]]
-        found = list(close_pairs(own, percent)) if len(own) > 1 else []
+        own = [np.asarray(s).view(np.uint64) for s in rows["seeds"]]
+        found = list(possible_pairs(rows["n"].to_numpy(), own, percent)) if len(own) > 1 else []
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+        return pd.DataFrame({"pivot": nodes[pairs[:, 0]], "node": nodes[pairs[:, 1]]})
 
-    filled = regions.select(*keys, "node").join(sets.select("node", "shingles"), "node")
-    return filled.groupBy(*keys).applyInPandas(join, "a bigint, b bigint")
+    filled = regions.select(*keys, "node").join(seeds.select("node", "n", "seeds"), "node")
+    return filled.groupBy(*keys).applyInPandas(join, "pivot bigint, node bigint")
 
 
 def _by_blocks(regions: DataFrame, percent: int) -> DataFrame:
@@ -206,18 +260,24 @@ def _by_blocks(regions: DataFrame, percent: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
     bands = regions.withColumn("band", F.explode(F.array(band, band + 1)))
-    size = bands.groupBy("region", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
-    parts = F.greatest(
-        F.ceil(F.col("sets") / (LEAF_SETS // 2)), F.ceil(F.col("total") / (LEAF_SHINGLES // 2))
-    ).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    parts = F.ceil(F.col("sets") / (BLOCK // 2)).cast("int")
+    size = bands.groupBy("region", "band").agg(F.count("*").alias("sets"))
     return (
         bands.join(size.select("region", "band", parts.alias("parts")), ["region", "band"])
-        .withColumn("own", own)
-        .withColumn("other", block)
-        .select("region", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("region", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    )
+
+
+def _distinct_regions(regions: DataFrame) -> DataFrame:
+    """Regions of two sets or more; of those with the same sets, one: the shingles of a passage
+    that several texts share all start the same region."""
+    sums = regions.groupBy("region").agg(
+        F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("sum")
     )
+    kept = sums.where(F.col("size") > 1).groupBy("size", "total", "sum").agg(F.min("region").alias("region"))
+    return regions.join(kept.select("region", "size"), "region")
 
 
 def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -225,53 +285,73 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     ``seeded`` is the table of ``shingled``. Pairs that link to a common pivot are not listed.
     """
-    spark = seeded.sparkSession
     far = 1 - percent / 100
-    seeds = seeded.where(F.col("n") > 0).select("node", "n", F.explode("seeds").alias("region"))
-    shared = (
-        seeds.groupBy("region")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows"))
-        .where(F.col("low") < F.col("high"))
-    )
-    members = stored_once(seeds.join(shared.select("region"), "region").distinct(), "members")
-    wanted = seeded.join(members.select("node").distinct(), "node").groupBy("node")
-    sets = stored_once(sets_of(texts, wanted.agg(F.min("copy").alias("copy")), words), "sets")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    distance = 1 - F.col("both") / (F.col("n") + F.col("n_pivot") - F.col("both"))
-    linked = 100 * F.col("both") >= percent * (F.col("n") + F.col("n_pivot") - F.col("both"))
+    rows = seeded.where(F.col("n") > 0).select("node", "n", F.explode("seeds").alias("region"))
+    shared = rows.groupBy("region").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = shared.where(F.col("low") < F.col("high")).select("region")
+    first = stored_once(rows.join(shared, "region").distinct(), "members")
+    members = stored_once(_distinct_regions(first), "regions")
+    seeds = seeded.join(members.select("node").distinct(), "node").dropDuplicates(["node"])
+    seeds = stored_once(seeds.select("node", "n", "copy", "seeds"), "seeds")
+    links, loose, total = None, None, F.col("n") + F.col("n_pivot")
     for turn in range(ROUNDS):
-        pivots_of = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / PER_PIVOT)).cast("int")
-        size = members.groupBy("region").agg(F.count("*").alias("size"))
-        dealt = members.join(size.select("region", pivots_of.alias("pivots")), "region")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("pivots"))
-        pivots = dealt.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
-        met = members.join(pivots.select("region", "pivot"), "region")
-        met = stored_once(met.where(F.col("node") != F.col("pivot")), "met")
-        known = stored_once(_distances(met.select("pivot", "node").distinct(), sets), "distances")
-        links = links.unionByName(known.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        known = known.select("pivot", "node", distance.alias("d"), linked.alias("near"))
-        # pivots have met every set of their region and are done
-        cells = met.join(known, ["pivot", "node"]).join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
-        home = cells.groupBy("region", "node").agg(F.min("d").alias("home"))
-        cells = cells.join(home, ["region", "node"]).where(F.col("d") <= F.col("home") + 2 * far + SLACK)
-        outside = cells.where(~F.col("near")).groupBy("region", "pivot").agg(F.min("d").alias("gap"))
-        stay = cells.join(outside, ["region", "pivot"]).where(F.col("d") >= F.col("gap") - far - SLACK)
-        regions = stay.select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
-        regions = stored_once(regions, "regions")
-        # many shingles of one passage start the same region: one of them is enough
-        sums = regions.groupBy("region").agg(
-            F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("sum")
+        count = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / PER_PIVOT)).cast("int")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), count)
+        pivots = members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
+        met = members.join(pivots.select("region", "pivot"), "region").where(F.col("node") != F.col("pivot"))
+        met = stored_once(met, "met")
+        pairs = met.select("pivot", "node", "n").distinct()
+        bounds = stored_once(_seed_bounds(pairs, seeds, percent), "bounds")
+        lower = 2 * F.col("least") / (total + F.col("least"))
+        upper = 1 - F.col("shared") / (total - F.col("shared"))
+        bounds = bounds.select("pivot", "node", lower.alias("lower"), upper.alias("upper"))
+        possible = bounds.where(F.col("lower") <= far + SLACK).select("pivot", "node")
+        exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
+        found = exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        known = bounds.join(exact, ["pivot", "node"], "left").select(
+            "pivot",
+            "node",
+            F.coalesce("d", "lower").alias("lower"),
+            F.coalesce("d", "upper").alias("upper"),
+            F.coalesce("near", F.lit(False)).alias("near"),
         )
-        kept = sums.where(F.col("size") > 1).groupBy("size", "total", "sum").agg(F.min("region").alias("region"))
-        fits = (F.col("size") <= LEAF_SETS) & (F.col("total") <= LEAF_SHINGLES)
-        kept = stored_once(kept.select("region", fits.alias("fits")), "kept")
-        small = regions.join(kept.where("fits").select("region"), "region")
-        links = links.unionByName(_join_leaves(small, sets, ["region"], percent))
-        members = stored_once(regions.join(kept.where("not fits").select("region"), "region"), "members")
+        # pivots have met every set of their region and are done
+        done = pivots.select("region", F.col("pivot").alias("node"))
+        cells = met.join(known, ["pivot", "node"]).join(done, ["region", "node"], "left_anti")
+        home = cells.groupBy("region", "node").agg(F.min("upper").alias("home"))
+        cells = cells.join(home, ["region", "node"]).where(F.col("lower") <= F.col("home") + far + SLACK)
+        outside = cells.where(~F.col("near")).groupBy("region", "pivot").agg(F.min("lower").alias("gap"))
+        stay = cells.join(outside, ["region", "pivot"])
+        stay = stay.where(~F.col("near") | (F.col("lower") >= F.col("gap") - far - SLACK))
+        next_regions = stored_once(stay.select(F.xxhash64("region", "pivot").alias("region"), "node", "n"), "cells")
+        members = stored_once(_distinct_regions(next_regions), "regions")
+        last = turn == ROUNDS - 1
+        small = members.where(F.col("size") <= (BLOCK if last else LEAF))
+        leaves = stored_once(_join_leaves(small, seeds, ["region"], percent).distinct(), "possible")
+        loose = leaves if loose is None else loose.unionByName(leaves)
+        members = members.where(F.col("size") > (BLOCK if last else LEAF))
         if not members.limit(1).count():
-            return links
-    blocks = _by_blocks(members, percent)
-    return links.unionByName(_join_leaves(blocks, sets, ["region", "band", "i", "j"], percent))
+            break
+    else:
+        blocks = _by_blocks(members, percent)
+        loose = loose.unionByName(_join_leaves(blocks, seeds, ["region", "band", "i", "j"], percent))
+    exact = exact_distances(loose.distinct(), seeds, texts, words, percent).where("near")
+    return links.unionByName(exact.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+
+
+def exact_distances(pairs: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``pivot, node, d, near`` of pairs, from their whole sets."""
+    pairs = stored_once(pairs, "pairs")
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+    sets = stored_once(sets_of(texts, seeds.join(nodes, "node"), words), "sets")
+    union = F.col("n") + F.col("n_pivot") - F.col("both")
+    return _distances(pairs, sets).select(
+        "pivot",
+        "node",
+        (1 - F.col("both") / union).alias("d"),
+        (100 * F.col("both") >= percent * union).alias("near"),
+    )
 
 
 def jaccard_components(documents: DataFrame, words: int, percent: int) -> DataFrame:
