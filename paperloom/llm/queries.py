@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm.decontam import leaks
 from paperloom.llm.jaccard import jaccard_components
+from paperloom.llm.lengths import context_totals, length_histogram
 from paperloom.llm.mixing import mix_sources
+from paperloom.llm.tokens import token_digest, write_tokens
 from paperloom.llm.toxicity import toxicity
+from paperloom.session import scratch_path, stored_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_digest(spark, path)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -31,9 +40,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = length_histogram(table(spark, sf_dir, "documents"))
+    return context_totals(stored_once(histogram, "lengths"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_token_output": op4_token_output,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
