@@ -7,8 +7,11 @@ projected into it and compared with the benchmark's passages by cosine. Around e
 the longest common subsequence with the whole item decides, and for looser matches
 (paraphrases) also the one with the item's answer, its last sentence.
 
+Only windows that hold a share of a passage's most telling words are projected; the words are
+looked up in a list of passages by word.
+
 A space is fitted for every block of items, so that it keeps most of their energy however large
-the benchmark is. It is not fitted on the corpus as well: the leading directions of a corpus are
+the benchmark is. Documents are read once for a group of blocks. It is not fitted on the corpus as well: the leading directions of a corpus are
 its common words, which say nothing about an item. Corpus statistics cover all documents.
 """
 
@@ -28,6 +31,10 @@ from paperloom.llm.words import MARKS, word_hashes
 PASSAGE, STEP = 32, 16
 #: Items of a block, and latent dimensions; a block of usual items has few more passages.
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 128, 128, 16, 2
+GROUP_ITEMS = 2_048
+#: The telling words of a passage: the rarest ones with this share of its energy. A window must
+#: hold so much of the passage's energy in them.
+TELLING, HELD = 0.7, 0.2
 #: A candidate has this cosine and this share of the item passage's latent energy.
 COSINE, ENERGY = 0.4, 0.3
 #: Share of the item's words in common order that decides alone, and with the answer's share.
@@ -47,6 +54,9 @@ class Block:
     basis: np.ndarray  # vocabulary x rank
     passages: np.ndarray  # latent vectors
     owner: np.ndarray  # item of each passage
+    energy: np.ndarray  # of each passage before the projection
+    first: np.ndarray  # by word: where its passages begin in the next array
+    told: np.ndarray  # passages that the word is telling for
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -65,14 +75,14 @@ def _answer(text: str) -> str:
     return found[-1] if found else text
 
 
-def _read_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks; each is bounded, and one is held at a time."""
+def _read_groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups; each is bounded, and one is held at a time."""
     items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0))
     items = items.select("item_id", F.lower("text").alias("text")).distinct()
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for i in range(blocks):
-        rows = items.where(block == i).orderBy("item_id", "text").collect()
+    groups = max(1, -(-items.count() // GROUP_ITEMS))
+    group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
+    for i in range(groups):
+        rows = items.where(group == i).orderBy("item_id", "text").collect()
         yield [(r.item_id, r.text) for r in rows]
 
 
@@ -154,32 +164,70 @@ def randomised_svd(passages: DataFrame, size: int) -> np.ndarray:
     return basis @ vectors[:, top[values[top] > 1e-9 * max(values.max(), 1e-9)]]
 
 
-def fit_blocks(documents: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    spark = documents.sparkSession
-    for items in _read_blocks(benchmark):
+def fit_groups(documents: DataFrame, benchmark: DataFrame) -> Iterator[list[Block]]:
+    """The blocks of each group of items."""
+    for items in _read_groups(benchmark):
         words = _words([text for _, text in items])
         answers = _words([_answer(text) for _, text in items])
-        held = tuple((i, w, a) for (i, _), w, a in zip(items, words, answers, strict=True) if len(w))
+        held = [(i, w, a) for (i, _), w, a in zip(items, words, answers, strict=True) if len(w)]
         if not held:
             continue
         vocabulary = np.unique(np.concatenate([w for _, w, _ in held]))
         counts, rows = document_counts(documents, vocabulary)
         weights = np.log((1 + rows) / (1 + counts)) + 1e-3
-        yield _fit(spark, held, vocabulary, weights)
+        blocks = []
+        for i in range(0, len(held), BLOCK_ITEMS):
+            part = tuple(held[i : i + BLOCK_ITEMS])
+            own = np.unique(np.concatenate([w for _, w, _ in part]))
+            blocks.append(_fit(documents.sparkSession, part, own, weights[np.searchsorted(vocabulary, own)]))
+        yield blocks
 
 
 def _fit(spark: SparkSession, items: tuple, vocabulary: np.ndarray, weights: np.ndarray) -> Block:
-    rows, owner = [], []
+    rows, owner, telling = [], [], []
     for k, (_, words, _) in enumerate(items):
         place, _ = _look_up(vocabulary, words)
         for start, end in _passages(len(words)):
             own, times = np.unique(place[start:end], return_counts=True)
-            rows.append((own.tolist(), (times * weights[own]).tolist()))
+            values = times * weights[own]
+            rarest = np.argsort(-weights[own], kind="stable")
+            share = np.cumsum(values[rarest] ** 2) / (values @ values)
+            chosen = own[rarest[: int(np.searchsorted(share, TELLING)) + 1]]
+            telling.extend((p, len(rows)) for p in chosen.tolist())
+            rows.append((own.tolist(), values.tolist()))
             owner.append(k)
     table = spark.createDataFrame(rows, "places array<int>, weights array<double>")
     basis = randomised_svd(table, len(vocabulary))
     latent = np.array([np.asarray(v) @ basis[p] for p, v in rows])
-    return Block(items, vocabulary, weights, basis, latent, np.array(owner))
+    energy = np.array([np.dot(v, v) for _, v in rows])
+    by_word = np.array(sorted(telling), dtype=np.int64)
+    first = np.searchsorted(by_word[:, 0], np.arange(len(vocabulary) + 1))
+    return Block(items, vocabulary, weights, basis, latent, np.array(owner), energy, first, by_word[:, 1])
+
+
+def _windows(block: Block, place: np.ndarray, known: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(window start, passage) pairs with enough of the passage's telling words."""
+    counts = np.diff(first)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    here = np.flatnonzero(known)
+    here = here[block.first[place[here] + 1] > block.first[place[here]]]
+    within = here - first[owner[here]]
+    last = np.maximum(0, (counts[owner[here]] - STEP - 1) // STEP)
+    window = np.minimum(within // STEP, last)
+    # a word is in two windows, but for the first words of a document
+    here = np.concatenate([here, here[window > 0]])
+    window = np.concatenate([window, window[window > 0] - 1])
+    start = first[owner[here]] + window * STEP
+    begin, end = block.first[place[here]], block.first[place[here] + 1]
+    times = end - begin
+    total = int(times.sum())
+    inner = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+    passage = block.told[np.repeat(begin, times) + inner]
+    width = len(block.owner)
+    keys, which = np.unique(np.repeat(start, times) * width + passage, return_inverse=True)
+    held = np.bincount(which, weights=np.repeat(block.weights[place[here]] ** 2, times), minlength=len(keys))
+    keys = keys[held >= HELD * block.energy[keys % width]]
+    return np.stack([keys // width, keys % width], axis=1)
 
 
 def _candidates(block: Block, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -187,27 +235,16 @@ def _candidates(block: Block, words: np.ndarray, first: np.ndarray) -> Iterator[
     if not len(words):
         return
     place, known = _look_up(block.vocabulary, words)
-    weight = np.where(known, block.weights[place], 0.0)
-    mass = np.concatenate([[0.0], np.cumsum(weight * weight)])
-    counts = np.diff(first)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    within = np.arange(len(words)) - first[owner]
-    ends = first[1:][owner]
-    here = np.flatnonzero((within % STEP == 0) & ((within == 0) | (within + STEP < counts[owner])))
-    stop = np.minimum(here + PASSAGE, ends[here])
-    energy = (block.passages**2).sum(1)
-    norm = np.sqrt(energy)
-    # the projection is no longer than the passage itself
-    likely = mass[stop] - mass[here] >= ENERGY * COSINE * max(energy.min(), 1e-9)
-    for start, end in zip(here[likely], stop[likely], strict=True):
-        own = np.flatnonzero(known[start:end]) + start
-        latent = weight[own] @ block.basis[place[own]]
-        length = np.sqrt(latent @ latent)
-        if length < 1e-9:
-            continue
-        inner = block.passages @ latent
-        for p in np.flatnonzero((inner >= COSINE * length * norm) & (inner >= ENERGY * energy) & (norm > 1e-9)):
-            yield int(owner[start]), int(start), int(block.owner[p]), float(inner[p] / (length * norm[p]))
+    for start, p in _windows(block, place, known, first).tolist():
+        doc = int(np.searchsorted(first, start, "right")) - 1
+        own = np.arange(start, min(start + PASSAGE, first[doc + 1]))
+        own = own[known[own]]
+        latent = block.weights[place[own]] @ block.basis[place[own]]
+        passage = block.passages[p]
+        inner, energy = float(latent @ passage), float(passage @ passage)
+        lengths = float(np.sqrt((latent @ latent) * energy))
+        if lengths > 1e-9 and inner >= COSINE * lengths and inner >= ENERGY * energy:
+            yield doc, start, int(block.owner[p]), inner / lengths
 
 
 def common_order(a: np.ndarray, b: np.ndarray) -> int:
@@ -249,7 +286,7 @@ def _holds(size: int, share: float, answer: float) -> bool:
     return share >= ALONE or share >= LOOSE and answer >= ANSWER
 
 
-def leaks_in(block: Block, text: Column) -> Column:
+def leaks_in(blocks: list[Block], text: Column) -> Column:
     """The items that a text holds: array of (item_id, overlap, answer, cosine, start word)."""
     kind = pa.list_(
         pa.struct(
@@ -269,13 +306,14 @@ def leaks_in(block: Block, text: Column) -> Column:
             found: list[list[dict]] = []
             for _, words, first in word_hashes(texts, MARKS):
                 run: list[dict[int, dict]] = [{} for _ in range(len(first) - 1)]
-                tried: set[tuple[int, int, int]] = set()
-                for doc, start, k, cosine in _candidates(block, words, first):
-                    item_id, item, answer = block.items[k]
+                tried: set[tuple] = set()
+                met = (((b, k), d, s, c) for b, block in enumerate(blocks) for d, s, k, c in _candidates(block, words, first))
+                for key, doc, start, cosine in met:
+                    item_id, item, answer = blocks[key[0]].items[key[1]]
                     own, at = words[first[doc] : first[doc + 1]], start - int(first[doc])
-                    if (doc, k, at) in tried:
+                    if (doc, key, at) in tried:
                         continue
-                    tried.add((doc, k, at))
+                    tried.add((doc, key, at))
                     known = run[doc].get(item_id)
                     if known and known["overlap"] == 1.0:
                         continue
@@ -296,10 +334,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     different texts is searched in both. Words are runs of letters and digits in either case.
     Repeated document rows repeat their rows. Other columns are ignored.
     """
-    blocks = list(fit_blocks(documents, benchmark))
     found = None
-    for block in blocks:
-        held = documents.select("doc_id", F.explode(leaks_in(block, F.col("text"))).alias("leak"))
+    for blocks in fit_groups(documents, benchmark):
+        held = documents.select("doc_id", F.explode(leaks_in(blocks, F.col("text"))).alias("leak"))
         held = held.select("doc_id", "leak.*")
         found = held if found is None else found.unionByName(held)
     if found is None:
@@ -311,6 +348,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
     kept = documents
-    for block in fit_blocks(documents, benchmark):
-        kept = kept.where(F.size(leaks_in(block, F.col("text"))) == 0)
+    for blocks in fit_groups(documents, benchmark):
+        kept = kept.where(F.size(leaks_in(blocks, F.col("text"))) == 0)
     return kept
