@@ -8,6 +8,7 @@ from paperloom.llm.decontam import leaks
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.lengths import context_totals, length_histogram
 from paperloom.llm.mixing import mix_sources
+from paperloom.llm.secret_scan import scan_secrets
 from paperloom.llm.tokens import token_digest, write_tokens
 from paperloom.llm.toxicity import toxicity
 from paperloom.session import scratch_path, stored_once
@@ -21,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
@@ -47,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
     "op4_token_output": op4_token_output,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
