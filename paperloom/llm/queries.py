@@ -8,6 +8,7 @@ from paperloom.llm.decontam import leaks
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.lengths import context_totals, length_histogram
 from paperloom.llm.mixing import mix_sources
+from paperloom.llm.pii import scan_pii
 from paperloom.llm.secret_scan import scan_secrets
 from paperloom.llm.tokens import token_digest, write_tokens
 from paperloom.llm.toxicity import toxicity
@@ -45,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = length_histogram(table(spark, sf_dir, "documents"))
     return context_totals(stored_once(histogram, "lengths"))
@@ -57,5 +62,6 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
