@@ -9,14 +9,18 @@ order. The order puts shingles of locally frequent hash slots last, then follows
 seeds of two sets also bound their distance from both sides, so whole sets are only compared
 where the seeds allow a link.
 
-Regions. Each region takes pivots from its own sets, one for every ``PER_PIVOT`` sets. A set's
-home is the nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot may be
-no further than its home plus the link distance: of two partners, the one further from its home
-is then, by the triangle inequality, in the home cell of the other. Sets that link to a pivot
-are connected through it already; they stay only where a set outside that ball could still
-reach them, again by the triangle inequality. What stays forms the next regions. Regions of a
-few sets are joined in a task; regions that do not get smaller are joined block by block within
-windows of the set size. Nothing is capped or sampled.
+Large regions take pivots from their own sets, one for every ``PER_PIVOT``. A set's home is the
+nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot may be no further
+than its home plus the link distance: of two partners, the one further from its home is then, by
+the triangle inequality, in the home cell of the other. Sets that link to a pivot are connected
+through it already; they stay only where a set outside that ball could still reach them, again
+by the triangle inequality. What stays forms the next regions. Regions that do not get smaller
+are split into blocks within windows of the set size.
+
+Small regions are worked on in a task each, round by round: sets that may link by their seeds
+form parts, each part takes a pivot, the distances to it are measured, and the next round leaves
+out pairs that are connected through pivots or that the triangle inequality excludes. Nothing is
+capped or sampled.
 """
 
 from __future__ import annotations
@@ -40,11 +44,13 @@ from paperloom.session import stored_once
 SLOTS = 1 << 20
 #: A slot is frequent in a task that meets it so often, and so many times more than the mean.
 FREQUENT, OVER_MEAN = 16, 8
-#: Sets of a region for one pivot, and pivots at most in one round.
-PER_PIVOT, PIVOTS = 16, 16
-#: Sets of a region that is joined without more pivots; after the last round, sets of a block.
-LEAF, BLOCK = 24, 512
-ROUNDS = 4
+#: Sets of a region that one task works on, and of one pivot in larger regions.
+BLOCK, PER_PIVOT, PIVOTS = 512, 4_096, 16
+#: Sets of a region whose few pairs need no pivot.
+TINY = 3
+#: Rounds of pivots before large regions are split into blocks, and before small ones list
+#: what is left; open pairs of a part that are listed at once.
+ROUNDS, FEW = 4, 64
 SLACK = 1e-9
 
 
@@ -237,19 +243,103 @@ def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) ->
             yield int(order[i]), int(order[j])
 
 
-def _join_leaves(regions: DataFrame, seeds: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """``pivot, node``: pairs within small regions that may link."""
+def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[int, int, int, int]]:
+    """(part, position, position, leader) of the pairs of a region to measure in this round.
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
-        nodes = rows["node"].to_numpy()
-        own = [np.asarray(s).view(np.uint64) for s in rows["seeds"]]
-        found = list(possible_pairs(rows["n"].to_numpy(), own, percent)) if len(own) > 1 else []
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"pivot": nodes[pairs[:, 0]], "node": nodes[pairs[:, 1]]})
+    ``club`` names sets that are connected through pivots, ``d`` is the distance to the pivot
+    of the last round, if known. Pairs of a part with few open pairs are all listed, else those
+    with the part's pivot only.
+    """
+    far = 1 - percent / 100
+    club, d = rows["club"].to_numpy(), rows["d"].to_numpy(dtype=float)
+    own = [np.asarray(s).view(np.uint64) for s in rows["seeds"]]
+    pairs = [
+        (i, j)
+        for i, j in possible_pairs(rows["n"].to_numpy(), own, percent)
+        if club[i] != club[j] and not abs(d[i] - d[j]) > far + SLACK
+    ]
+    parts: dict[int, list[tuple[int, int]]] = {}
+    lead = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while lead[i] != i:
+            lead[i] = lead[lead[i]]
+            i = lead[i]
+        return i
+
+    for i, j in pairs:
+        lead[top(i)] = top(j)
+    for i, j in pairs:
+        parts.setdefault(top(i), []).append((i, j))
+    out = []
+    for part, found in parts.items():
+        if list_all or len(found) <= FEW:
+            out.extend((part, i, j, 0) for i, j in found)
+            continue
+        uses = np.bincount(np.array(found).ravel())
+        pivot = int(uses.argmax())
+        out.extend((part, pivot, j if i == pivot else i, 1) for i, j in found if pivot in (i, j))
+        # the sets that the pivot does not meet go on to the next round too
+        rest = {k for pair in found for k in pair} - {k for i, j in found if pivot in (i, j) for k in (i, j)}
+        out.extend((part, k, k, 1) for k in rest)
+    return out
+
+
+def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` within small regions (``region, node``)."""
+
+    def work(list_all: bool):
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.drop_duplicates("node").reset_index(drop=True)
+            out = open_pairs(rows, percent, list_all) if len(rows) > 1 else []
+            nodes, clubs = rows["node"].to_numpy(), rows["club"].to_numpy()
+            region = int(rows["region"][0])
+            table = np.array(out, dtype=np.int64).reshape(-1, 4)
+            return pd.DataFrame(
+                {
+                    "region": region,
+                    "part": nodes[table[:, 0]],
+                    "pivot": nodes[table[:, 1]],
+                    "node": nodes[table[:, 2]],
+                    "pivot_club": clubs[table[:, 1]],
+                    "club": clubs[table[:, 2]],
+                    "again": table[:, 3] > 0,
+                }
+            )
+
+        return one
 
-    filled = regions.select(*keys, "node").join(seeds.select("node", "n", "seeds"), "node")
-    return filled.groupBy(*keys).applyInPandas(join, "pivot bigint, node bigint")
+    schema = "region bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
+    members = regions.select("region", "node", F.col("node").alias("club"), F.lit(None).cast("double").alias("d"))
+    links = None
+    for turn in range(ROUNDS + 1):
+        filled = members.join(seeds.select("node", "n", "seeds"), "node")
+        asked = stored_once(filled.groupBy("region").applyInPandas(work(turn == ROUNDS), schema), "asked")
+        pairs = asked.where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct()
+        exact = stored_once(exact_distances(pairs, seeds, texts, words, percent), "exact")
+        found = exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        more = asked.where("again")
+        if turn == ROUNDS or not more.limit(1).count():
+            return links
+        measured = more.join(exact, ["pivot", "node"], "left")
+        # sets near the pivot join its club; the pivot itself has met all it can link to
+        club = F.when(F.col("near"), F.col("pivot_club")).otherwise(F.col("club"))
+        members = stored_once(
+            measured.select(F.xxhash64("region", "part").alias("region"), "node", club.alias("club"), "d"), "open"
+        )
+    return links
+
+
+def _join_tiny(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` within regions of ``TINY`` sets: three pairs at most, most of them shared."""
+    other = regions.select("region", F.col("node").alias("pivot"))
+    pairs = regions.select("region", "node", "n").join(other, "region").where(F.col("pivot") < F.col("node"))
+    bounds = _seed_bounds(stored_once(pairs.select("pivot", "node", "n").distinct(), "met"), seeds, percent)
+    least, total = F.col("least"), F.col("n") + F.col("n_pivot")
+    possible = bounds.where((100 + percent) * least <= (100 - percent) * total).select("pivot", "node")
+    exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
+    return exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
 
 def _by_blocks(regions: DataFrame, percent: int) -> DataFrame:
@@ -293,8 +383,14 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     members = stored_once(_distinct_regions(first), "regions")
     seeds = seeded.join(members.select("node").distinct(), "node").dropDuplicates(["node"])
     seeds = stored_once(seeds.select("node", "n", "copy", "seeds"), "seeds")
-    links, loose, total = None, None, F.col("n") + F.col("n_pivot")
+    total = F.col("n") + F.col("n_pivot")
+    links = _join_tiny(members.where(F.col("size") <= TINY), seeds, texts, words, percent)
+    small = members.where((F.col("size") > TINY) & (F.col("size") <= BLOCK))
+    links = links.unionByName(_join_small(small, seeds, texts, words, percent))
+    members = members.where(F.col("size") > BLOCK)
     for turn in range(ROUNDS):
+        if not members.limit(1).count():
+            return links
         count = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / PER_PIVOT)).cast("int")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), count)
         pivots = members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
@@ -307,8 +403,7 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         bounds = bounds.select("pivot", "node", lower.alias("lower"), upper.alias("upper"))
         possible = bounds.where(F.col("lower") <= far + SLACK).select("pivot", "node")
         exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
-        found = exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         known = bounds.join(exact, ["pivot", "node"], "left").select(
             "pivot",
             "node",
@@ -326,18 +421,10 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         stay = stay.where(~F.col("near") | (F.col("lower") >= F.col("gap") - far - SLACK))
         next_regions = stored_once(stay.select(F.xxhash64("region", "pivot").alias("region"), "node", "n"), "cells")
         members = stored_once(_distinct_regions(next_regions), "regions")
-        last = turn == ROUNDS - 1
-        small = members.where(F.col("size") <= (BLOCK if last else LEAF))
-        leaves = stored_once(_join_leaves(small, seeds, ["region"], percent).distinct(), "possible")
-        loose = leaves if loose is None else loose.unionByName(leaves)
-        members = members.where(F.col("size") > (BLOCK if last else LEAF))
-        if not members.limit(1).count():
-            break
-    else:
-        blocks = _by_blocks(members, percent)
-        loose = loose.unionByName(_join_leaves(blocks, seeds, ["region", "band", "i", "j"], percent))
-    exact = exact_distances(loose.distinct(), seeds, texts, words, percent).where("near")
-    return links.unionByName(exact.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        links = links.unionByName(_join_small(members.where(F.col("size") <= BLOCK), seeds, texts, words, percent))
+        members = members.where(F.col("size") > BLOCK)
+    blocks = _by_blocks(members, percent).withColumn("region", F.xxhash64("region", "band", "i", "j"))
+    return links.unionByName(_join_small(blocks, seeds, texts, words, percent))
 
 
 def exact_distances(pairs: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
