@@ -9,6 +9,7 @@ from paperloom.llm.html_text import extract_pages
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.lengths import context_totals, length_histogram
 from paperloom.llm.mixing import mix_sources
+from paperloom.llm.multi_index import nearest_by_index
 from paperloom.llm.pii import scan_pii
 from paperloom.llm.secret_scan import scan_secrets
 from paperloom.llm.tokens import token_digest, write_tokens
@@ -51,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_index(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_multi_index": op8_multi_index,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
