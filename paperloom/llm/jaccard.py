@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
@@ -469,3 +469,29 @@ def jaccard_components(documents: DataFrame, words: int, percent: int) -> DataFr
             F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"),
         )
     )
+
+
+def without_copies(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """One document of every component, the one with the smallest id, with its own columns.
+
+    Documents without words are no copies of each other and all stay. Of repeated rows, and of a
+    group without any id, one row stays.
+    """
+    found = jaccard_components(documents, words, percent)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
+    # an id may come with different texts: both the id and the text say which row is meant
+    kept = found.where(first).select(
+        F.col("doc_id").alias("kept_id"),
+        "copy",
+        F.when(F.col("n_shingles") > 0, F.xxhash64("component_id")).alias("group"),
+    )
+    kept = kept.distinct()
+    lone = kept.groupBy("kept_id", "group").agg(F.min("copy").alias("copy"))
+    kept = kept.where(F.col("group").isNull()).unionByName(lone.where(F.col("group").isNotNull()), allowMissingColumns=True)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_copy"))
+    same = F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_copy") == F.col("copy"))
+    joined = rows.join(kept, same)
+    place = Window.partitionBy("row_id", "row_copy").orderBy("row_id")
+    counted = joined.withColumn("place", F.row_number().over(place))
+    return counted.where(F.col("group").isNull() | (F.col("place") == 1)).select("row.*")
