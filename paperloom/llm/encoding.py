@@ -1,9 +1,10 @@
 """Token ids by the ``tokenizers`` library, with the ids of frequent words kept per worker.
 
 The byte-level pattern of these vocabularies never takes a token over a single space between
-two characters that are not white space. A text is therefore encoded as its words, each with the
-space before it, and a word that a worker has met before needs no second encoding. The ids are
-those of the whole text; ``tests/llm`` compares them.
+two characters that are not white space, nor over a single line feed between such characters,
+nor from a run of letters to the mark behind it. A text is therefore encoded as its words, each
+with the space or line feed before it, and a word that a worker has met before needs no second
+encoding. The ids are those of the whole text; ``tests/llm`` compares them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -23,12 +25,22 @@ from tokenizers import Tokenizer
 #: Appended to every document.
 END = 2
 #: Words that a worker keeps, and characters that it encodes at a time.
-KEPT_WORDS, PIECE = 300_000, 1 << 20
+KEPT_WORDS, PIECE = 700_000, 1 << 20
 
-_PLAIN = re.compile(r"^\s|\s$|\s \S|\S \s| {2}")
+#: White space other than space and line feed.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Marks the first word of a text; no other word can begin with it.
+FIRST = "\n\n"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _is_plain(text: str) -> bool:
+    """Whether all white space is single spaces and single line feeds between other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not _OTHER_SPACE.search(text)
+
+
 def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,36 +56,58 @@ class Encoder:
         self.places: dict[str, int] = {}
         self.starts, self.ids = array("q", [0]), array("i")
 
+    def _forget(self) -> None:
+        """Drop what came last: frequent words come early."""
+        keep = KEPT_WORDS // 2
+        self.places = dict(islice(self.places.items(), keep))
+        del self.starts[keep + 1 :]
+        del self.ids[self.starts[-1] :]
+
+    def _keep(self, words: list[str], ids: Iterable[list[int]]) -> None:
+        ids = list(ids)
+        self.places.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words)), strict=True))
+        self.starts.extend(accumulate(map(len, ids), initial=self.starts.pop()))
+        self.ids.extend(chain.from_iterable(ids))
+
     def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.places[word] = len(self.starts) - 1
-                self.ids.extend(found.ids)
-                self.starts.append(len(self.ids))
+        """Keep the ids of words: a text's first one is marked by two line feeds, one after a line
+        feed begins with it, all others follow a space."""
+        marked = [w for w in words if w[-1] in ",." and w[:-1].isalpha()]
+        new = list(({w[:-1] for w in marked} | words.difference(marked)).difference(self.places))
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            texts = [" " + w if w[0] != "\n" else w[2:] if w[:2] == FIRST else w for w in part]
+            self._keep(part, [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        if marked:
+            ends = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
+            cores = map(self.places.__getitem__, [w[:-1] for w in marked])
+            spans = [(self.starts[k], self.starts[k + 1]) for k in cores]
+            self._keep(marked, [self.ids[a:b].tolist() + ends[w[-1]] for (a, b), w in zip(spans, marked, strict=True)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text begins."""
         if len(self.places) > KEPT_WORDS:
-            self.clear()
+            self._forget()
         words: list[str] = []
-        counts = []
+        counts = [0]
         for text in texts:
-            parts = _SAFE.split(text) if _PLAIN.search(text) else text.split(" ")
-            counts.append(len(parts) if text else 0)
             if text:
-                words.append(parts[0])
-                words.extend([" " + p for p in parts[1:]])
-        self._learn(set(words).difference(self.places))
-        places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+                parts = text.replace("\n", " \n").split(" ") if _is_plain(text) else _SAFE.split(text)
+                parts[0] = FIRST + parts[0]
+                words += parts
+            counts.append(len(words))
+        places = list(map(self.places.get, words))
+        unknown = [i for i, k in enumerate(places) if k is None]
+        self._learn({words[i] for i in unknown})
+        for i in unknown:
+            places[i] = self.places[words[i]]
+        taken_places = np.array(places, dtype=np.int64)
         starts, ids = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.ids, dtype=np.int32)
-        first, sizes = starts[places], starts[places + 1] - starts[places]
+        first, sizes = starts[taken_places], starts[taken_places + 1] - starts[taken_places]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         taken = ids[np.arange(total) + np.repeat(first - (ends - sizes), sizes)] if total else np.zeros(0, np.int32)
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return taken, upto
+        return taken, np.concatenate([[0], ends])[counts].astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
