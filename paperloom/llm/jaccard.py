@@ -442,7 +442,9 @@ def exact_distances(pairs: DataFrame, seeds: DataFrame, texts: DataFrame, words:
 
 
 def jaccard_components(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, copy, n_shingles, component_id`` of every row; ``copy`` is the text's xxhash64.
+    """``doc_id, copy, group, n_shingles, component_id`` of every row.
+
+    ``copy`` is the text's xxhash64, ``group`` names the component (null without shingles).
 
     ``component_id`` is the smallest id reachable over links of ``percent`` similarity or more.
     A null text counts as empty; empty texts and texts without words have no shingle and link
@@ -457,14 +459,17 @@ def jaccard_components(documents: DataFrame, words: int, percent: int) -> DataFr
     # few sets have a label: the others are their own component
     grouped = labels.join(lowest, "node")
     reached = grouped.groupBy("label").agg(F.min("low").alias("reached"))
-    reached = labels.join(reached, "label").select("node", "reached")
-    per_set = lowest.join(reached, "node", "left").select("node", F.coalesce("reached", "low").alias("found"))
+    reached = labels.join(reached, "label").select("node", "label", "reached")
+    per_set = lowest.join(reached, "node", "left").select(
+        "node", F.coalesce("label", "node").alias("group"), F.coalesce("reached", "low").alias("found")
+    )
     return (
         seeded.select("doc_id", "copy", "n", "node")
         .join(per_set, "node", "left")
         .select(
             "doc_id",
             "copy",
+            "group",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"),
         )
@@ -480,14 +485,9 @@ def without_copies(documents: DataFrame, words: int, percent: int) -> DataFrame:
     found = jaccard_components(documents, words, percent)
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
     # an id may come with different texts: both the id and the text say which row is meant
-    kept = found.where(first).select(
-        F.col("doc_id").alias("kept_id"),
-        "copy",
-        F.when(F.col("n_shingles") > 0, F.xxhash64("component_id")).alias("group"),
-    )
-    kept = kept.distinct()
-    lone = kept.groupBy("kept_id", "group").agg(F.min("copy").alias("copy"))
-    kept = kept.where(F.col("group").isNull()).unionByName(lone.where(F.col("group").isNotNull()), allowMissingColumns=True)
+    kept = found.where(first).select(F.col("doc_id").alias("kept_id"), "copy", "group").distinct()
+    lone = kept.where(F.col("group").isNotNull()).groupBy("kept_id", "group").agg(F.min("copy").alias("copy"))
+    kept = kept.where(F.col("group").isNull()).unionByName(lone)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     rows = documents.select(row, F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_copy"))
     same = F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_copy") == F.col("copy"))
