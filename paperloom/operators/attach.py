@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach_embeddings(kept: DataFrame, embeddings: DataFrame) -> DataFrame:
+def attach_embeddings(kept: DataFrame, embeddings: DataFrame, check: bool = False) -> DataFrame:
     """Join by id. Ids are unique on both sides, so no key is hot.
 
     Both tables shuffle once unless they are stored in the same buckets or one is small,
-    which the planner and adaptive execution find out from the data.
+    which the planner and adaptive execution find out from the data. ``check`` raises, while
+    the result is computed, on the first article without a vector; otherwise it is left out.
     """
-    return kept.join(embeddings.select("id", "embedding"), "id")
+    vectors = embeddings.select("id", "embedding")
+    if not check:
+        return kept.join(vectors, "id")
+    found = kept.join(vectors.withColumn("_found", F.lit(True)), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector for article "), F.col("id")))
+    return found.withColumn(
+        "embedding", F.when(F.col("_found"), F.col("embedding")).otherwise(missing)
+    ).drop("_found")
 
 
 def attach_embeddings_positional(

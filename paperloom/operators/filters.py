@@ -11,8 +11,8 @@ from paperloom.constants import DEFAULT_CATEGORIES, FEED_CAP, NO_RESTART
 
 
 def fold_subset(subset: Sequence[str]) -> Column:
-    """The wanted categories as a lower-cased set."""
-    return F.array_distinct(F.transform(_literal(subset), F.lower))
+    """The wanted categories as a lower-cased set: folded here, so the plan has a constant."""
+    return _literal(list(dict.fromkeys(c.lower() for c in subset)))
 
 
 def in_categories(categories: Column, subset: Sequence[str] = DEFAULT_CATEGORIES) -> Column:

@@ -21,7 +21,7 @@ def filter_full_pages(entries: DataFrame, page_size: int = API_PAGE_SIZE) -> Dat
 
 
 def short_pages(entries: DataFrame, page_size: int = API_PAGE_SIZE) -> DataFrame:
-    """The pages that were left out, for the report."""
+    """The pages that hold another number of entries, for the report."""
     return page_counts(entries).where(F.col("page_rows") != page_size)
 
 
@@ -69,12 +69,24 @@ def page_by_update(
 ) -> DataFrame:
     """One page of the newest-first listing.
 
-    The plan keeps ``(page + 1) * page_size`` rows per task, which the page budget bounds.
+    The plan keeps ``(page + 1) * page_size`` rows per task; to go far, use ``page_after``.
     """
-    if page > API_LAST_PAGE:
-        raise ValueError(f"pages run from 0 to {API_LAST_PAGE}")
     return (
         articles.orderBy(updated.desc(), F.col("id").asc())
         .offset(page * page_size)
         .limit(page_size)
     )
+
+
+def page_after(
+    articles: DataFrame, updated: Column, last: tuple | None, page_size: int = API_PAGE_SIZE
+) -> DataFrame:
+    """The page behind the row ``last`` = (updated, id) of the newest-first listing.
+
+    Each task keeps one page however far the listing has got; without ``last`` it starts.
+    """
+    rest = articles
+    if last is not None:
+        newest, seen = F.lit(last[0]), F.lit(last[1])
+        rest = articles.where((updated < newest) | ((updated == newest) & (F.col("id") > seen)))
+    return rest.orderBy(updated.desc(), F.col("id").asc()).limit(page_size)

@@ -11,7 +11,6 @@ from paperloom.constants import (
     BULK_BATCH,
     DEFAULT_CATEGORIES,
     DEFAULT_MODEL,
-    FEED_CAP,
     NO_RESTART,
 )
 from paperloom.functions.articles import bulk_to_article, drop_authors_parsed
@@ -21,7 +20,6 @@ from paperloom.operators.collection import feed_counters
 from paperloom.operators.embed import embed_abstracts
 from paperloom.operators.filters import (
     filter_cap,
-    filter_categories,
     filter_categories_ci,
     filter_restart,
     in_categories_ci,
@@ -56,8 +54,11 @@ def embed_articles(
     model: str = DEFAULT_MODEL,
     batch_size: int = BULK_BATCH,
 ) -> None:
-    """Embed the abstracts of the wanted articles, keyed by id, numbered in file order."""
-    kept = filter_categories(scan_articles(spark, articles), subset)
+    """Embed the abstracts of the wanted articles, keyed by id, numbered in file order.
+
+    Wanted are those that ``feed_articles`` feeds, so that every one has a vector.
+    """
+    kept = filter_categories_ci(scan_articles(spark, articles), subset)
     numbered = row_positions(stage_in_file_order(kept.select("id", "abstract")))
     write_embeddings(embed_abstracts(numbered, encoder, model, batch_size), out)
 
@@ -69,20 +70,22 @@ def feed_articles(
     client: ClientFactory,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
     restart_from: int = NO_RESTART,
-    cap: int = FEED_CAP,
+    cap: int | None = None,
     **options: str,
 ) -> Row:
     """Feed the wanted articles with their embeddings; returns the counters of the run.
 
-    Positions are only needed to resume or to stop at the cap, so the input is numbered
-    once, and the vectors are joined by id whatever part is fed.
+    All of them, unless a position to resume from or a ``cap`` is given; only then is the input
+    numbered. The vectors are joined by id whatever part is fed. A wanted article without a
+    vector fails the run: what the counters call fed was fed.
     """
-    numbered = row_positions(stage_in_file_order(_input(spark, articles)))
-    part = filter_restart(filter_cap(numbered, cap), restart_from)
+    part = _input(spark, articles)
+    if cap is not None or restart_from != NO_RESTART:
+        part = filter_restart(row_positions(stage_in_file_order(part)), restart_from)
+        part = part if cap is None else filter_cap(part, cap)
     kept = filter_categories_ci(part, subset)
-    feed_documents(
-        attach_embeddings(kept, scan_embeddings(spark, embeddings)), client=client, **options
-    )
+    fed = attach_embeddings(kept, scan_embeddings(spark, embeddings), check=True)
+    feed_documents(fed, client=client, **options)
     return feed_counters(part, in_categories_ci(F.col("categories"), subset)).first()
 
 

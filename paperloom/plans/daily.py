@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,26 @@ from paperloom.constants import API_PAGE_SIZE, CURSOR_MARGIN, DEFAULT_CATEGORIES
 from paperloom.functions.articles import api_to_article, terms_of
 from paperloom.operators.filters import in_categories
 from paperloom.operators.paging import (
-    fetch_counter,
-    filter_full_pages,
     filter_page_cutoff,
     filter_page_limit,
+    page_counts,
 )
+from paperloom.session import stored_once
 from paperloom.sinks.articles import write_dated_overwrite
 from paperloom.sources.atom import scan_atom_pages
 from paperloom.sources.jsonl import scan_dated_partition
 from paperloom.streaming.cursor import advance_cursor, read_cursor
 
 
+@dataclass(frozen=True)
+class DailyReport:
+    """What a run did: entries fetched, pages to request again, whether the cursor moved."""
+
+    fetched: int
+    short_pages: tuple[int, ...]
+    moved: bool
+
+
 def accepted_pages(
     entries: DataFrame, cursor: Column, subset: Sequence[str] = DEFAULT_CATEGORIES
 ) -> DataFrame:
@@ -35,12 +45,14 @@ def select_pages(
     cursor: Column,
     page_size: int = API_PAGE_SIZE,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
+    last_page: int | None = None,
 ) -> DataFrame:
     """The wanted entries of the pages that a run since ``cursor`` accepts.
 
-    Only full pages within the page budget count; the category filter comes last.
+    Short pages count as well, for what they hold; ``last_page`` sets a page budget. The
+    category filter comes last.
     """
-    budget = filter_page_limit(filter_full_pages(entries, page_size))
+    budget = entries if last_page is None else filter_page_limit(entries, last_page)
     return accepted_pages(budget, cursor, subset).where(_wanted(subset))
 
 
@@ -50,9 +62,10 @@ def daily_articles(
     run_date: str,
     page_size: int = API_PAGE_SIZE,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
+    last_page: int | None = None,
 ) -> DataFrame:
     """Landed entries to the canonical articles of one run."""
-    return api_to_article(select_pages(entries, cursor, page_size, subset), run_date)
+    return api_to_article(select_pages(entries, cursor, page_size, subset, last_page), run_date)
 
 
 def run_daily(
@@ -63,20 +76,30 @@ def run_daily(
     run_date: str,
     page_size: int = API_PAGE_SIZE,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
-) -> int:
+    last_page: int | None = None,
+) -> DailyReport:
     """One run: landed pages to the run's folder, then the cursor.
 
     Repeating a run replaces its own folder only. The cursor moves after the articles are
-    stored, from what was stored. Returns the number of entries fetched.
+    stored, from what was stored. It stays if an inner page was short or ``last_page`` cut
+    pages off that the run would have accepted: the next run then reaches back as far as this
+    one, and loses nothing. The last page may be short. Pages are parsed once, and counted from
+    the stored entries.
     """
-    entries = filter_page_limit(filter_full_pages(scan_atom_pages(spark, pages), page_size))
+    entries = stored_once(scan_atom_pages(spark, pages), "entries")
     since = read_cursor(spark, cursor)
     write_dated_overwrite(
-        daily_articles(entries, since, run_date, page_size, subset), out, run_date
+        daily_articles(entries, since, run_date, page_size, subset, last_page), out, run_date
     )
-    advance_cursor(spark, cursor, scan_dated_partition(spark, out, run_date))
     accepted = accepted_pages(entries, since, subset)
-    return fetch_counter(accepted, page_size).first()["fetched"]
+    used = accepted if last_page is None else filter_page_limit(accepted, last_page)
+    counts = page_counts(used).orderBy("page").collect()  # one row per page of a day's listing
+    last = entries.agg(F.max("page")).first()[0]
+    short = tuple(r.page for r in counts if r.page_rows != page_size and r.page != last)
+    cut = last_page is not None and accepted.where(F.col("page") > last_page).limit(1).count() > 0
+    if not short and not cut:
+        advance_cursor(spark, cursor, scan_dated_partition(spark, out, run_date))
+    return DailyReport(sum(r.page_rows for r in counts), short, not short and not cut)
 
 
 def _wanted(subset: Sequence[str]) -> Column:

@@ -67,14 +67,18 @@ def storage_part(article_id: Column) -> Column:
     return F.when(month != "", month).otherwise("other")
 
 
-def upsert_articles(spark: SparkSession, path: str, incoming: DataFrame, load_seq: int) -> None:
+def upsert_articles(
+    spark: SparkSession, path: str, incoming: DataFrame, load_seq: int | None = None
+) -> None:
     """Merge ``incoming`` into the stored collection by id; the latest load wins.
 
+    Without ``load_seq`` this load is later than all that are stored.
     Only the folders that ``incoming`` touches are read and rewritten. Their names are
     four-digit months, at most 10,001 values, so they are fetched and prune the scan.
     Repeating a load leaves the collection as it was. New files replace a folder only
     after all tasks are done; a lost executor costs a retry, not data.
     """
+    load_seq = next_load(spark, path) if load_seq is None else load_seq
     new = incoming.select(
         *ARTICLE.names,
         F.lit(load_seq).cast("long").alias("load_seq"),
@@ -94,6 +98,13 @@ def upsert_articles(spark: SparkSession, path: str, incoming: DataFrame, load_se
     )
 
 
+def next_load(spark: SparkSession, path: str) -> int:
+    """The number of the next load into the stored collection, whichever ingest brings it."""
+    stored = stored_collection(spark, path)
+    last = None if stored is None else stored.agg(F.max("load_seq")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def stored_collection(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored collection, or None before the first load."""
     try:

@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.constants import DAILY_BATCH, PASSAGE_PREFIX_MODEL, VECTOR_SLICE_ROWS
+from paperloom.constants import (
+    DAILY_BATCH,
+    PASSAGE_PREFIX_MODEL,
+    TARGET_HITS,
+    VECTOR_SLICE_ROWS,
+)
 from paperloom.functions import articles as art
 from paperloom.functions import text as txt
 from paperloom.functions.encoders import hash_encoder
@@ -450,7 +455,7 @@ def filter_restart(spark, sf_dir):
 @query
 def filter_cap(spark, sf_dir):
     scan = v.table(spark, sf_dir, "documents").select("doc_id")
-    return filters.filter_cap(positions.parquet_positions(scan)).select("pos", "doc_id")
+    return filters.filter_cap(positions.parquet_positions(scan), 700).select("pos", "doc_id")
 
 
 @query
@@ -476,7 +481,7 @@ def filter_page_cutoff(spark, sf_dir):
 
 @query
 def filter_page_limit(spark, sf_dir):
-    return paging.filter_page_limit(v.api_entries(spark, sf_dir)).select("page", "pos", "id")
+    return paging.filter_page_limit(v.api_entries(spark, sf_dir), 15).select("page", "pos", "id")
 
 
 @query
@@ -530,19 +535,18 @@ def match_terms(spark, sf_dir):
 
 @query
 def match_vectors(spark, sf_dir):
-    found = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), 100)
+    found = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), TARGET_HITS)
     return found.select("query_id", "id", "cosine")
 
 
 @query
 def merge_candidates(spark, sf_dir):
-    """The 100 best by text and the 100 nearest of every request, as one list."""
+    """All text matches and the nearest candidates of every request, as one list."""
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
     scored = search.score_text(search.matches_for(index, terms), terms)
-    text = top_k(scored.select("query_id", "id", "text"), 100, "text", "text_rank")
-    near = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), 100)
-    return search.merge_candidates(text, near)
+    near = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), TARGET_HITS)
+    return search.merge_candidates(scored.select("query_id", "id", "text"), near)
 
 
 def _bm25_found(spark, sf_dir):

@@ -7,15 +7,14 @@ pairs or ordering a whole group, the SQL here just does it.
 from __future__ import annotations
 
 from paperloom.constants import (
-    API_LAST_PAGE,
     BM25_B,
     BM25_K1,
     DAILY_BATCH,
-    FEED_CAP,
     PASSAGE_PREFIX,
     QUERY_INSTRUCTION,
     RRF_K,
     SAMPLE_ROWS,
+    TARGET_HITS,
     UPDATE_DATE_FORMAT,
     VECTOR_SLICE_ROWS,
 )
@@ -328,7 +327,7 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FRO
 WHERE pos >= 100""",
     "filter_cap": f"""
 SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents)
-WHERE pos <= {FEED_CAP}""",
+WHERE pos <= 700""",
     "filter_full_pages": f"""WITH {API}
 SELECT page, pos, link AS id FROM api_entries
 QUALIFY count(*) OVER (PARTITION BY page) = {PAGE_SIZE}""",
@@ -341,7 +340,7 @@ stop AS (
 SELECT e.page, pos, link AS id, strftime(updated, '{DATE_TIME}Z') AS updated
 FROM api_entries e, stop s WHERE s.page IS NULL OR e.page <= s.page""",
     "filter_page_limit": f"""WITH {API}
-SELECT page, pos, link AS id FROM api_entries WHERE page <= {API_LAST_PAGE}""",
+SELECT page, pos, link AS id FROM api_entries WHERE page <= 15""",
     "filter_blank_query": f"""WITH {REQUESTS}
 SELECT query_id, query_text, profile FROM requests WHERE query_text <> '' AND profile <> 'fusion'""",
     "attach_embeddings": f"""WITH {ARTICLES}
@@ -353,12 +352,11 @@ FROM articles JOIN embeddings ON vec_id = doc_id WHERE {KEEP_CI}""",
 SELECT id, term, tf, dl::INT AS dl FROM postings JOIN lengths USING (id)
 WHERE term IN (SELECT term FROM terms)""",
     "match_vectors": f"""WITH {REQUESTS}, {VECTORS}
-SELECT query_id, id, cosine FROM near WHERE near_rank <= 100""",
+SELECT query_id, id, cosine FROM near WHERE near_rank <= {TARGET_HITS}""",
     "merge_candidates": f"""WITH {SEARCH}
 SELECT query_id, id, coalesce(text, 0) AS text, coalesce(cosine, 0) AS cosine,
-  text_rank::INT AS text_rank, near_rank::INT AS near_rank
-FROM (SELECT * FROM scored WHERE text_rank <= 100)
-FULL JOIN (SELECT * FROM near WHERE near_rank <= 100) USING (query_id, id)""",
+  near_rank::INT AS near_rank
+FROM scored FULL JOIN (SELECT * FROM near WHERE near_rank <= {TARGET_HITS}) USING (query_id, id)""",
     "hydrate_hits": f"""WITH {TEXT_SEARCH}
 SELECT query_id, rank, id, relevance, title, abstract,
   array_to_string(categories, '|') AS categories
@@ -413,7 +411,7 @@ JOIN requests USING (query_id, profile)""",
     "highlight_matches": f"WITH {MARKED} SELECT query_id, rank, id, title, abstract FROM marked",
     "incremental_cursor": f"""WITH {API},
 full_pages AS (
-  SELECT * FROM api_entries WHERE page <= {API_LAST_PAGE}
+  SELECT * FROM api_entries WHERE page <= 15
   QUALIFY count(*) OVER (PARTITION BY page) = {PAGE_SIZE}),
 newest AS (
   SELECT page, arg_min(updated, pos) AS newest FROM full_pages WHERE {KEEP} GROUP BY page),

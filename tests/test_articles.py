@@ -23,8 +23,8 @@ def raw_record(**changes):
         "categories": "cs.AI cs.LG",
         "license": None,
         "abstract": "  Text.\n",
-        "versions": [("v1", "Mon, 2 Apr 2007 19:18:42 GMT"), ("v2", None)],
-        "update_date": "2008-11-26",
+        "versions": [("v1", "Tue, 3 Mar 2015 10:20:30 GMT"), ("v2", None)],
+        "update_date": "2016-05-04",
         "authors_parsed": [["Doe", "J.", ""], ["Roe", "A. B.", "Jr", "dropped"]],
     }
     return tuple({**record, **changes}[name] for name in RAW.names)
@@ -41,8 +41,8 @@ def test_bulk_record(spark):
     assert article.link == "http://arxiv.org/abs/0001.0001v2"
     assert article.authors == ["J. Doe", "A. B. Roe Jr"]
     assert article.categories == ["cs.AI", "cs.LG"]
-    assert article.update_date == "2008-11-26T00:00:00"
-    assert article.update_date_ts == 1227657600
+    assert article.update_date == "2016-05-04T00:00:00"
+    assert article.update_date_ts == 1462320000
     assert (article.journal_ref, article.report_no, article.origin) == ("J 1", "R 1", "kaggle")
     assert article.authors_parsed[1].asDict() == {
         "last_name": "Roe",
@@ -54,12 +54,12 @@ def test_bulk_record(spark):
 
 
 def test_epoch_does_not_depend_on_the_session_zone(spark):
-    rows_ = [("2008-11-26",), ("2024-06-30T12:00:00Z",), ("2024-06-30T12:00:00+02:00",)]
+    rows_ = [("2016-05-04",), ("2024-06-30T12:00:00Z",), ("2024-06-30T12:00:00+02:00",)]
     df = spark.createDataFrame(rows_, "d string").select(
         art.update_epoch(F.col("d")), art.format_update_date(F.col("d"))
     )
     expected = [
-        (1227657600, "2008-11-26T00:00:00"),
+        (1462320000, "2016-05-04T00:00:00"),
         (1719748800, "2024-06-30T12:00:00"),
         (1719741600, "2024-06-30T12:00:00"),
     ]

@@ -66,8 +66,12 @@ def test_page_by_update(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("u"))
     page = paging.page_by_update(df, F.col("u"), 1, 3)
     assert [r.id for r in page.collect()] == ["1", "4", "7"]
-    with pytest.raises(ValueError):
-        paging.page_by_update(df, F.col("u"), 101, 3)
+    assert paging.page_by_update(df, F.col("u"), 101, 3).count() == 0
+    seen, last = [], None
+    while page := paging.page_after(df, F.col("u"), last, 4).collect():
+        seen += [r.id for r in page]
+        last = (page[-1].u, page[-1].id)
+    assert seen == ["2", "5", "8", "1", "4", "7", "0", "3", "6", "9"]
 
 
 PAGE = """<?xml version="1.0" encoding="UTF-8"?>

@@ -18,7 +18,7 @@ from paperloom.streaming.cursor import cursor_history, write_cursor
 
 
 def test_bulk_run(spark, tmp_path):
-    """Two categories differ in case only: embedded by one rule, fed by the other."""
+    """Two categories differ in case only: both are embedded and fed."""
     snapshot, articles, vectors, fed = (str(tmp_path / n) for n in ("in", "articles", "vectors", "fed"))
     records = [
         raw_record(id=f"2401.{n:05d}", categories=c, abstract=f"text {n}")
@@ -30,12 +30,17 @@ def test_bulk_run(spark, tmp_path):
     assert cursor_history(spark, cursor).first().last_updated.isoformat().startswith("2024-06-27")
     assert scan_articles(spark, articles).count() == 4
     bulk.embed_articles(spark, articles, vectors, hash_encoder())
-    assert rows(scan_embeddings(spark, vectors).select("id", "pos")) == [("2401.00000v2", 0), ("2401.00003v2", 1)]
+    assert rows(scan_embeddings(spark, vectors).select("id", "pos")) == [
+        ("2401.00000v2", 0),
+        ("2401.00001v2", 1),
+        ("2401.00003v2", 2),
+    ]
     counted = bulk.feed_articles(spark, articles, vectors, FileClient, path=fed)
     assert tuple(counted) == (4, 3, 1)
     found = {r.id: r.fields.abstract_embedding["values"] for r in read_fed(spark, fed).collect()}
-    encoded = hash_encoder()()(["text 0", "text 3"])
-    assert found == {"2401.00000v2": encoded[0].tolist(), "2401.00003v2": encoded[1].tolist()}
+    encoded = hash_encoder()()(["text 0", "text 1", "text 3"])
+    ids = ["2401.00000v2", "2401.00001v2", "2401.00003v2"]
+    assert found == {i: e.tolist() for i, e in zip(ids, encoded, strict=True)}
     document = json.loads(next((tmp_path / "fed").glob("0*.jsonl")).read_text().splitlines()[0])
     assert "authors_parsed" not in document["fields"]
 
@@ -66,9 +71,10 @@ def test_daily_run_is_repeatable(spark, tmp_path):
         (tmp_path / "pages" / f"page-{page}.xml").write_text(text)
     write_cursor(spark, cursor, "2024-06-30T03:00:07")
     fetched = [daily.run_daily(spark, pages, out, cursor, "2024-07-01", page_size=2) for _ in range(2)]
+    assert [(r.short_pages, r.moved) for r in fetched] == [((), True)] * 2
     # First pages 0 and 1, as the second one reaches past the cursor. The cursor then stands
     # within three hours of all pages, so the repeated run reads them all, and replaces.
-    assert fetched == [4, 6]
+    assert [r.fetched for r in fetched] == [4, 6]
     stored = scan_dated_partition(spark, out, "2024-07-01")
     assert stored.count() == 6 and stored.select("id").distinct().count() == 6
     last = cursor_history(spark, cursor).orderBy("seq").collect()
@@ -79,3 +85,22 @@ def test_daily_run_is_repeatable(spark, tmp_path):
     ]
     daily.run_daily(spark, pages, out, cursor, "2024-07-02", page_size=2)
     assert scan_dated_partition(spark, out, "2024-07-01").count() > 0
+
+
+def test_daily_run_loses_no_page(spark, tmp_path):
+    """A short last page counts; a short inner page, or a budget that cuts, keeps the cursor."""
+    def run(name, sizes, **options):
+        pages, out, cursor = (str(tmp_path / name / n) for n in ("pages", "out", "cursor"))
+        (tmp_path / name / "pages").mkdir(parents=True)
+        number = sum(sizes)
+        for page, size in enumerate(sizes):
+            text = "".join(ENTRY.format(n=number - k) for k in range(size))
+            number -= size
+            (tmp_path / name / "pages" / f"page-{page}.xml").write_text(PAGE.format(entries=text))
+        write_cursor(spark, cursor, "2024-06-29T00:00:00")
+        report = daily.run_daily(spark, pages, out, cursor, "2024-07-01", page_size=2, **options)
+        return report, scan_dated_partition(spark, out, "2024-07-01").count(), cursor_history(spark, cursor).count()
+
+    assert run("last", [2, 2, 1]) == (daily.DailyReport(5, (), True), 5, 2)
+    assert run("inner", [2, 1, 2]) == (daily.DailyReport(5, (1,), False), 5, 1)
+    assert run("budget", [2, 2, 2], last_page=1) == (daily.DailyReport(4, (), False), 4, 1)

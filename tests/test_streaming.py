@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_io import article
 
-from paperloom.sinks.articles import stored_collection, write_jsonl
+from paperloom.sinks.articles import stored_collection, upsert_articles, write_jsonl
 from paperloom.streaming import cursor
 from paperloom.streaming.ingest import stream_dedup_overlap, stream_ingest
 
@@ -39,13 +39,13 @@ def test_unwanted_categories_are_left_out(spark, tmp_path):
     assert rows(stored_collection(spark, table).select("id")) == [("2401.1v1",)]
 
 
-def test_dedup_drops_repeats_and_late_rows(spark, tmp_path):
+def test_dedup_drops_repeats_and_keeps_late_rows(spark, tmp_path):
     landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
     hour = 3600
     for ids, ts in (["a"], 100 * hour), (["a", "b"], 100 * hour), (["late"], 90 * hour), (["c"], 99 * hour):
         land(spark, landing, ids, ts)
         stream_dedup_overlap(spark, landing, out, state).awaitTermination()
-    assert rows(spark.read.parquet(out).select("id")) == [("a",), ("b",), ("c",)]
+    assert rows(spark.read.parquet(out).select("id")) == [("a",), ("b",), ("c",), ("late",)]
     table = str(tmp_path / "table")
     stream_ingest(spark, landing, table, str(tmp_path / "other")).awaitTermination()
     assert rows(stored_collection(spark, table).select("id")) == [("a",), ("b",), ("c",), ("late",)]
@@ -66,3 +66,28 @@ def test_cursor(spark, tmp_path):
     cursor.advance_cursor(spark, path, stored.where("false"))
     assert latest() == "2024-06-30 12:00:00"
     assert [r.seq for r in cursor.cursor_history(spark, path).orderBy("seq").collect()] == [0, 1]
+
+
+def test_stream_replaces_what_a_bulk_load_brought(spark, tmp_path):
+    landing, table, state = (str(tmp_path / n) for n in ("landing", "table", "state"))
+    ids = [f"2401.{n:05d}v1" for n in range(20)]
+    upsert_articles(spark, table, article(spark, *ids, ts=5, title="bulk"))
+    upsert_articles(spark, table, article(spark, *ids, ts=5, title="bulk again"))
+    for part in (ids[:7], ids[7:]):
+        land(spark, landing, part, 1, "stream")
+    stream_ingest(spark, landing, table, state, max_files=1).awaitTermination()
+    stored = stored_collection(spark, table)
+    assert rows(stored.select("id", "title")) == [(i, "stream") for i in ids]
+    assert stored.agg(F.min("load_seq")).first()[0] == 2
+
+
+def test_dedup_does_not_depend_on_batches(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    for n, ts in enumerate((100_000, 1, 50_000, 100_000)):
+        land(spark, landing, [f"a{n}", f"b{n}", "same"], ts if n < 3 else 50_000, f"t{n}")
+    found = []
+    for max_files in (None, 1):
+        out, state = str(tmp_path / f"out{max_files}"), str(tmp_path / f"state{max_files}")
+        stream_dedup_overlap(spark, landing, out, state, max_files=max_files).awaitTermination()
+        found.append(rows(spark.read.parquet(out).select("id", "update_date_ts")))
+    assert found[0] == found[1] and len(found[0]) == 11
