@@ -43,7 +43,6 @@ def accepted_pages(
 def select_pages(
     entries: DataFrame,
     cursor: Column,
-    page_size: int = API_PAGE_SIZE,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
     last_page: int | None = None,
 ) -> DataFrame:
@@ -60,12 +59,11 @@ def daily_articles(
     entries: DataFrame,
     cursor: Column,
     run_date: str,
-    page_size: int = API_PAGE_SIZE,
     subset: Sequence[str] = DEFAULT_CATEGORIES,
     last_page: int | None = None,
 ) -> DataFrame:
     """Landed entries to the canonical articles of one run."""
-    return api_to_article(select_pages(entries, cursor, page_size, subset, last_page), run_date)
+    return api_to_article(select_pages(entries, cursor, subset, last_page), run_date)
 
 
 def run_daily(
@@ -89,7 +87,7 @@ def run_daily(
     entries = stored_once(scan_atom_pages(spark, pages), "entries")
     since = read_cursor(spark, cursor)
     write_dated_overwrite(
-        daily_articles(entries, since, run_date, page_size, subset, last_page), out, run_date
+        daily_articles(entries, since, run_date, subset, last_page), out, run_date
     )
     accepted = accepted_pages(entries, since, subset)
     used = accepted if last_page is None else filter_page_limit(accepted, last_page)

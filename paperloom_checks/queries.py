@@ -733,7 +733,7 @@ def incremental_cursor(spark, sf_dir):
     state = scratch_path(spark, "cursor")
     cursors.write_cursor(spark, state, v.CURSOR)
     kept = daily.select_pages(
-        v.api_entries(spark, sf_dir), cursors.read_cursor(spark, state), v.PAGE_SIZE, v.SUBSET
+        v.api_entries(spark, sf_dir), cursors.read_cursor(spark, state), v.SUBSET
     )
     stored = art.api_to_article(kept, v.RUN_DATE)
     cursors.advance_cursor(spark, state, stored)

@@ -93,7 +93,7 @@ api_articles AS (
 REQUESTS = f"""
 requests AS (
   SELECT item_id AS query_id,
-    array_to_string(list_filter({words('text')}, lambda t: length(t) >= 4)[1:2], ' ') AS query_text,
+    text AS query_text,
     ['bm25', 'semantic', 'hybrid', 'fusion'][item_id % 4 + 1] AS profile,
     CASE WHEN item_id % 8 = 0 THEN 'en' END AS category
   FROM benchmark),
@@ -301,8 +301,8 @@ SELECT query_id, '{QUERY_INSTRUCTION}' || ' ' || query_text AS prefixed, query_t
 FROM requests""",
     "query_casefold": f"""WITH {REQUESTS}
 SELECT query_id, profile,
-  CASE WHEN profile IN ('hybrid', 'fusion') THEN 'deep learning ' ELSE 'Deep LEARNING ' END
-    || query_text AS query_text
+  CASE WHEN profile IN ('hybrid', 'fusion') THEN 'deep learning ' || lower(query_text)
+    ELSE 'Deep LEARNING ' || query_text END AS query_text
 FROM requests""",
     "result_cards": f"""WITH {MARKED}
 SELECT query_id, rank, id,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from paperloom.constants import SEARCH_PROFILES
 from paperloom.functions.articles import bulk_to_article
-from paperloom.functions.text import tokens
 
 PAGE_SIZE = 48
 SUBSET = ["en", "src3", "src7"]
@@ -24,27 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Inputs up to this size are spread over the cores before work starts.
-SMALL_BYTES = 64 << 20
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents. A file of a few MB in one row group would keep a single task busy, so
-    small inputs are spread; larger ones have enough splits and are read in place."""
-    found = table(spark, sf_dir, "documents")
-    if _size(spark, f"{sf_dir}/documents.parquet") > SMALL_BYTES:
-        return found
-    return found.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-
-
-_sizes: dict[str, int] = {}
-
-
-def _size(spark: SparkSession, path: str) -> int:
-    if path not in _sizes:
-        files = spark.read.format("binaryFile").load(path).select("length")
-        _sizes[path] = files.agg(F.sum("length")).first()[0]
-    return _sizes[path]
+    return table(spark, sf_dir, "documents")
 
 
 def raw_id(doc_id: Column) -> Column:
@@ -137,15 +117,14 @@ def api_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search per benchmark item: its first two words of four letters or more."""
+    """One search per benchmark item: its whole text."""
     item_id = F.col("item_id")
-    words = F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 4)
     profile = F.element_at(
         F.array(*[F.lit(p) for p in SEARCH_PROFILES]), (item_id % 4 + 1).cast("int")
     )
     return table(spark, sf_dir, "benchmark").select(
         item_id.alias("query_id"),
-        F.array_join(F.slice(words, 1, 2), " ").alias("query_text"),
+        F.col("text").alias("query_text"),
         profile.alias("profile"),
         F.when(item_id % 8 == 0, "en").alias("category"),
     )

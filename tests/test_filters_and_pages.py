@@ -104,15 +104,16 @@ def test_atom_pages(spark, tmp_path):
 
 
 def test_daily_selection(spark):
-    """Short and unwanted pages, the cursor margin, and the category filter together."""
+    """Short and unwanted pages, a page budget, the cursor margin, and the category filter together."""
     pages = [
         (page, PAGE.format(entries="".join(ENTRY.format(n=n) for n in range(count))))
         for page, count in ((0, 2), (1, 1), (2, 2))
     ]
     df = parse_atom_pages(spark.createDataFrame(pages, "page long, value string"))
     cursor = F.lit("2024-06-30T02:00:00").cast("timestamp")
-    kept = select_pages(df, cursor, page_size=2)
-    assert {(r.page, r.pos) for r in kept.collect()} == {(0, 0), (0, 1), (2, 0), (2, 1)}
+    kept = select_pages(df, cursor)
+    assert {(r.page, r.pos) for r in kept.collect()} == {(0, 0), (0, 1), (1, 0), (2, 0), (2, 1)}
     late = F.lit("2024-06-30T04:00:00").cast("timestamp")
-    assert {r.page for r in select_pages(df, late, page_size=2).collect()} == {0}
-    assert select_pages(df, cursor, page_size=2, subset=["cs.DB"]).count() == 0
+    assert {r.page for r in select_pages(df, late).collect()} == {0}
+    assert select_pages(df, cursor, subset=["cs.DB"]).count() == 0
+    assert {r.page for r in select_pages(df, cursor, last_page=1).collect()} == {0, 1}
