@@ -18,6 +18,7 @@ from itertools import accumulate, chain, islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 #: Appended to every document.
 END = 2
 #: Words that a worker keeps, and characters that it encodes at a time.
-KEPT_WORDS, PIECE = 700_000, 1 << 20
+KEPT_WORDS, PIECE = 300_000, 2 << 20
 
 #: White space other than space and line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -84,30 +85,41 @@ class Encoder:
             spans = [(self.starts[k], self.starts[k + 1]) for k in cores]
             self._keep(marked, [self.ids[a:b].tolist() + ends[w[-1]] for (a, b), w in zip(spans, marked, strict=True)])
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The place of every word; each distinct one is looked up once."""
+        found = words.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        places = list(map(self.places.get, distinct))
+        unknown = [i for i, k in enumerate(places) if k is None]
+        self._learn({distinct[i] for i in unknown})
+        for i in unknown:
+            places[i] = self.places[distinct[i]]
+        return np.array(places, dtype=np.int64)[found.indices.to_numpy()]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text begins."""
         if len(self.places) > KEPT_WORDS:
             self._forget()
-        words: list[str] = []
-        counts = [0]
+        plain, split = [], []
         for text in texts:
-            if text:
-                parts = text.replace("\n", " \n").split(" ") if _is_plain(text) else _SAFE.split(text)
-                parts[0] = FIRST + parts[0]
-                words += parts
-            counts.append(len(words))
-        places = list(map(self.places.get, words))
-        unknown = [i for i, k in enumerate(places) if k is None]
-        self._learn({words[i] for i in unknown})
-        for i in unknown:
-            places[i] = self.places[words[i]]
-        taken_places = np.array(places, dtype=np.int64)
+            easy = not text or _is_plain(text)
+            plain.append(FIRST + text.replace("\n", " \n") if text and easy else None)
+            split.append(None if easy else _SAFE.split(FIRST + text))
+        lists = [pc.split_pattern(pa.array(plain, pa.large_string()), " "), pa.array(split, pa.large_list(pa.large_string()))]
+        counts = [np.asarray(pc.fill_null(pc.list_value_length(x), 0), dtype=np.int64) for x in lists]
+        places = self._places(pa.concat_arrays([x.flatten() for x in lists]))
+        if counts[1].any():  # back into the order of the texts
+            size = counts[0] + counts[1]
+            begin = np.where(counts[1] > 0, counts[0].sum() + np.cumsum(counts[1]) - counts[1], np.cumsum(counts[0]) - counts[0])
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            places = places[np.repeat(begin, size) + inner]
         starts, ids = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.ids, dtype=np.int32)
-        first, sizes = starts[taken_places], starts[taken_places + 1] - starts[taken_places]
+        first, sizes = starts[places], starts[places + 1] - starts[places]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         taken = ids[np.arange(total) + np.repeat(first - (ends - sizes), sizes)] if total else np.zeros(0, np.int32)
-        return taken, np.concatenate([[0], ends])[counts].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(counts[0] + counts[1])])
+        return taken, np.concatenate([[0], ends])[upto].astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
