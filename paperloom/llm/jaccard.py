@@ -50,7 +50,7 @@ BLOCK, PER_PIVOT, PIVOTS = 512, 4_096, 16
 TINY = 3
 #: Rounds of pivots before large regions are split into blocks, and before small ones list
 #: what is left; open pairs of a part that are listed at once.
-ROUNDS, FEW = 4, 64
+ROUNDS, FEW = 4, 500
 SLACK = 1e-9
 
 
@@ -221,26 +221,26 @@ def _seed_bounds(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
     return measured.unionByName(unlike)
 
 
-def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """All pairs of a few sets that their sizes and seeds allow to link."""
+def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) -> np.ndarray:
+    """All pairs (two columns) of a few sets that their sizes and seeds allow to link."""
     order = np.argsort(np.array([s[-1] for s in seeds]), kind="stable")
     sizes, seeds = sizes[order], [seeds[i] for i in order]
     lengths = np.array([len(s) for s in seeds])
     flat, owner = np.concatenate(seeds), np.repeat(np.arange(len(seeds)), lengths)
-    place = np.argsort(flat, kind="stable")
-    flat, owner = flat[place], owner[place]
-    bounds = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
-    both = np.zeros((len(seeds), len(seeds)), dtype=np.int32)
-    for k in np.flatnonzero(np.diff(bounds) > 1):
-        own = np.unique(owner[bounds[k] : bounds[k + 1]])
-        both[own[:, None], own] += 1
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    met = times[token] > 1
+    kept, token = np.unique(token[met], return_inverse=True)
+    held = np.zeros((len(seeds), len(kept)), dtype=np.float32)
+    held[owner[met], token] = 1
+    both = (held @ held.T).astype(np.int64)
+    lasts = np.array([s[-1] for s in seeds])
+    # all seeds of the first set of a pair come before the last one of the second
+    before = np.array([np.searchsorted(s, lasts, "right") for s in seeds]).T
+    least = np.maximum(0, lengths[:, None] + before - 2 * both)
+    total = sizes[:, None] + sizes
     alike = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-    for i, j in zip(*np.nonzero(np.triu((both > 0) & alike, 1)), strict=True):
-        # all seeds of i come before the last one of j
-        least = lengths[i] + int(np.searchsorted(seeds[j], seeds[i][-1], "right")) - 2 * int(both[i, j])
-        total = int(sizes[i] + sizes[j])
-        if (100 + percent) * max(least, 0) <= (100 - percent) * total:
-            yield int(order[i]), int(order[j])
+    fits = (both > 0) & alike & ((100 + percent) * least <= (100 - percent) * total)
+    return order[np.argwhere(np.triu(fits, 1))]
 
 
 def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[int, int, int, int]]:
@@ -253,11 +253,10 @@ def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[i
     far = 1 - percent / 100
     club, d = rows["club"].to_numpy(), rows["d"].to_numpy(dtype=float)
     own = [np.asarray(s).view(np.uint64) for s in rows["seeds"]]
-    pairs = [
-        (i, j)
-        for i, j in possible_pairs(rows["n"].to_numpy(), own, percent)
-        if club[i] != club[j] and not abs(d[i] - d[j]) > far + SLACK
-    ]
+    found = possible_pairs(rows["n"].to_numpy(), own, percent)
+    i, j = found[:, 0], found[:, 1]
+    apart = np.abs(d[i] - d[j]) > far + SLACK  # false where a distance is not known
+    pairs = found[(club[i] != club[j]) & ~apart].tolist()
     parts: dict[int, list[tuple[int, int]]] = {}
     lead = list(range(len(rows)))
 
@@ -289,15 +288,20 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
     """Links ``a, b`` within small regions (``region, node``)."""
 
     def work(list_all: bool):
+        names = ["region", "part", "pivot", "node", "pivot_club", "club", "again"]
+        nothing = pd.DataFrame({c: np.zeros(0, dtype=bool if c == "again" else np.int64) for c in names})
+
         def one(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.drop_duplicates("node").reset_index(drop=True)
+            if not rows["node"].is_unique:
+                rows = rows.drop_duplicates("node")
             out = open_pairs(rows, percent, list_all) if len(rows) > 1 else []
+            if not out:
+                return nothing
             nodes, clubs = rows["node"].to_numpy(), rows["club"].to_numpy()
-            region = int(rows["region"][0])
-            table = np.array(out, dtype=np.int64).reshape(-1, 4)
+            table = np.array(out, dtype=np.int64)
             return pd.DataFrame(
                 {
-                    "region": region,
+                    "region": int(rows["region"].iloc[0]),
                     "part": nodes[table[:, 0]],
                     "pivot": nodes[table[:, 1]],
                     "node": nodes[table[:, 2]],
