@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from paperloom.session import stored_once
 
 SAMPLE, ROUNDS = 20_000, 12
-#: A query visits cells until they hold this share of the entries, and so many at least.
-SHARE, LEAST = 0.5, 2_000
+#: A query visits cells until they hold this share of the entries, or what its k results need.
+SHARE = 0.5
+#: Codewords of a half. With fewer than the least, half of the entries hold under 0.9 of the true
+#: neighbours of vectors without structure; tables of fewer entries have a codeword for each.
+LEAST_WORDS, MOST_WORDS = 128, 512
 #: Entries, and queries, that a task compares at a time.
 CHUNK = 2_048
 
@@ -186,14 +189,14 @@ def nearest_by_index(vectors: DataFrame, every: int, k: int) -> DataFrame:
     total = entries.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    words = 2 ** int(np.clip(np.round(np.log2(np.sqrt(total) / 3.5)), 2, 9))
+    words = int(np.clip(2 ** np.round(np.log2(np.sqrt(total) / 3.5)), LEAST_WORDS, MOST_WORDS))
     books = train(entries, words)
     index = stored_once(build_index(entries, books), "index")
     cells = index.groupBy("first", "second").count().toPandas()  # at most 512 x 512 rows
     counts = np.zeros((len(books.first), len(books.second)), dtype=np.int64)
     counts[cells["first"], cells["second"]] = cells["count"]
     queries = entries.where(F.col("vec_id") % every == 0)
-    enough = max(int(np.ceil(SHARE * total)), LEAST)
+    enough = max(int(np.ceil(SHARE * total)), k + 1)  # a query's own entry is no result
     visits = stored_once(visits_of(queries, books, counts, enough), "visits")
     # a codeword may hold a third of all entries, and all queries may visit it: blocks of both
     parts = lambda df, name: df.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))

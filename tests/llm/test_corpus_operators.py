@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import decontam, jaccard
+from paperloom.llm import decontam, jaccard, multi_index
 from paperloom.llm.components import connected_components
 from paperloom.llm.decontam import leaks, without_leaks
 from paperloom.llm.jaccard import jaccard_components, without_copies
@@ -245,6 +245,40 @@ def test_nearest_by_index(spark):
     assert sorted((r.query_id, r.vec_id) for r in few.collect()) == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("total", [30, 200, 400, 2000, 5000])
+def test_recall_of_half_the_entries(spark, monkeypatch, total):
+    """Vectors without structure, at sizes where all were visited or codewords were few."""
+    x = np.random.default_rng(total).normal(size=(total, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    seen = []
+
+    def watched(queries, books, counts, enough):
+        visits = visits_of(queries, books, counts, enough)
+        seen.append((counts, visits.select("query_id", "first", "seconds").collect()))
+        return visits
+
+    visits_of = multi_index.visits_of
+    monkeypatch.setattr(multi_index, "visits_of", watched)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = defaultdict(set)
+    for r in nearest_by_index(frame, 20, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    [(counts, visits)] = seen
+    held = Counter()
+    for r in visits:
+        held[r.query_id] += int(counts[r.first, r.seconds].sum())
+    most = max(multi_index.SHARE * total, 21) + counts.max()
+    assert set(held) == set(range(0, total, 20)) and max(held.values()) <= most
+    y = x.astype(float)
+    hits = 0
+    for q, found in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        assert len(found) == 20
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(held)) >= 0.9
+
+
 def test_cells_come_by_distance():
     rng = np.random.default_rng(7)
     a, b = rng.random(9), rng.random(7)
