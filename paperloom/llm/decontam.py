@@ -7,9 +7,6 @@ projected into it and compared with the benchmark's passages by cosine. Around e
 the longest common subsequence with the whole item decides, and for looser matches
 (paraphrases) also the one with the item's answer, its last sentence.
 
-Only windows that hold a share of a passage's most telling words are projected; the words are
-looked up in a list of passages by word.
-
 A space is fitted for every block of items, so that it keeps most of their energy however large
 the benchmark is. Documents are read once for a group of blocks. It is not fitted on the corpus as well: the leading directions of a corpus are
 its common words, which say nothing about an item. Corpus statistics cover all documents.
@@ -32,9 +29,8 @@ PASSAGE, STEP = 32, 16
 #: Items of a block, and latent dimensions; a block of usual items has few more passages.
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 128, 128, 16, 2
 GROUP_ITEMS = 2_048
-#: The telling words of a passage: the rarest ones with this share of its energy. A window must
-#: hold so much of the passage's energy in them.
-TELLING, HELD = 0.7, 0.2
+#: Known words that are projected, and windows that are compared, at a time.
+ROWS, WINDOWS = 16_384, 2_048
 #: A candidate has this cosine and this share of the item passage's latent energy.
 COSINE, ENERGY = 0.4, 0.3
 #: Share of the item's words in common order that decides alone, and with the answer's share.
@@ -50,13 +46,9 @@ class Block:
 
     items: tuple[tuple[int, np.ndarray, np.ndarray], ...]  # id, words, words of the answer
     vocabulary: np.ndarray  # sorted word hashes
-    weights: np.ndarray
-    basis: np.ndarray  # vocabulary x rank
+    basis: np.ndarray  # vocabulary x rank, times the word's weight
     passages: np.ndarray  # latent vectors
     owner: np.ndarray  # item of each passage
-    energy: np.ndarray  # of each passage before the projection
-    first: np.ndarray  # by word: where its passages begin in the next array
-    told: np.ndarray  # passages that the word is telling for
 
 
 def _words(texts: list[str]) -> list[np.ndarray]:
@@ -184,67 +176,57 @@ def fit_groups(documents: DataFrame, benchmark: DataFrame) -> Iterator[list[Bloc
 
 
 def _fit(spark: SparkSession, items: tuple, vocabulary: np.ndarray, weights: np.ndarray) -> Block:
-    rows, owner, telling = [], [], []
+    rows, owner = [], []
     for k, (_, words, _) in enumerate(items):
         place, _ = _look_up(vocabulary, words)
         for start, end in _passages(len(words)):
             own, times = np.unique(place[start:end], return_counts=True)
-            values = times * weights[own]
-            rarest = np.argsort(-weights[own], kind="stable")
-            share = np.cumsum(values[rarest] ** 2) / (values @ values)
-            chosen = own[rarest[: int(np.searchsorted(share, TELLING)) + 1]]
-            telling.extend((p, len(rows)) for p in chosen.tolist())
-            rows.append((own.tolist(), values.tolist()))
+            rows.append((own.tolist(), (times * weights[own]).tolist()))
             owner.append(k)
     table = spark.createDataFrame(rows, "places array<int>, weights array<double>")
     basis = randomised_svd(table, len(vocabulary))
     latent = np.array([np.asarray(v) @ basis[p] for p, v in rows])
-    energy = np.array([np.dot(v, v) for _, v in rows])
-    by_word = np.array(sorted(telling), dtype=np.int64)
-    first = np.searchsorted(by_word[:, 0], np.arange(len(vocabulary) + 1))
-    return Block(items, vocabulary, weights, basis, latent, np.array(owner), energy, first, by_word[:, 1])
+    basis = (weights[:, None] * basis).astype(np.float32)
+    return Block(items, vocabulary, basis, latent.astype(np.float32), np.array(owner))
 
 
-def _windows(block: Block, place: np.ndarray, known: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(window start, passage) pairs with enough of the passage's telling words."""
+def _latent_windows(block: Block, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and latent vector of every window of a run of documents; each shares half with the next."""
+    place, known = _look_up(block.vocabulary, words)
     counts = np.diff(first)
+    steps = -(-counts // STEP)
+    begin = np.cumsum(steps) - steps
     owner = np.repeat(np.arange(len(counts)), counts)
     here = np.flatnonzero(known)
-    here = here[block.first[place[here] + 1] > block.first[place[here]]]
-    within = here - first[owner[here]]
-    last = np.maximum(0, (counts[owner[here]] - STEP - 1) // STEP)
-    window = np.minimum(within // STEP, last)
-    # a word is in two windows, but for the first words of a document
-    here = np.concatenate([here, here[window > 0]])
-    window = np.concatenate([window, window[window > 0] - 1])
-    start = first[owner[here]] + window * STEP
-    begin, end = block.first[place[here]], block.first[place[here] + 1]
-    times = end - begin
-    total = int(times.sum())
-    inner = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-    passage = block.told[np.repeat(begin, times) + inner]
-    width = len(block.owner)
-    keys, which = np.unique(np.repeat(start, times) * width + passage, return_inverse=True)
-    held = np.bincount(which, weights=np.repeat(block.weights[place[here]] ** 2, times), minlength=len(keys))
-    keys = keys[held >= HELD * block.energy[keys % width]]
-    return np.stack([keys // width, keys % width], axis=1)
+    step = begin[owner[here]] + (here - first[owner[here]]) // STEP
+    total = np.zeros((int(steps.sum()) + 1, block.basis.shape[1]), dtype=np.float32)
+    for i in range(0, len(here), ROWS):
+        own = step[i : i + ROWS]
+        runs = np.flatnonzero(np.diff(own, prepend=-1))
+        total[own[runs]] += np.add.reduceat(block.basis[place[here[i : i + ROWS]]], runs)
+    # a window is a step and the next one; a text of one step is a window by itself
+    windows = np.where(counts > 0, np.maximum(1, steps - 1), 0)
+    doc = np.repeat(np.arange(len(counts)), windows)
+    inner = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = begin[doc] + inner
+    following = np.where(steps[doc] > 1, at + 1, len(total) - 1)
+    return first[doc] + inner * STEP, total[at] + total[following]
 
 
 def _candidates(block: Block, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
     """Document, passage start, item and cosine of every candidate of a run of documents."""
     if not len(words):
         return
-    place, known = _look_up(block.vocabulary, words)
-    for start, p in _windows(block, place, known, first).tolist():
-        doc = int(np.searchsorted(first, start, "right")) - 1
-        own = np.arange(start, min(start + PASSAGE, first[doc + 1]))
-        own = own[known[own]]
-        latent = block.weights[place[own]] @ block.basis[place[own]]
-        passage = block.passages[p]
-        inner, energy = float(latent @ passage), float(passage @ passage)
-        lengths = float(np.sqrt((latent @ latent) * energy))
-        if lengths > 1e-9 and inner >= COSINE * lengths and inner >= ENERGY * energy:
-            yield doc, start, int(block.owner[p]), inner / lengths
+    starts, latent = _latent_windows(block, words, first)
+    energy = (block.passages * block.passages).sum(1)
+    lengths = np.sqrt((latent * latent).sum(1))
+    for i in range(0, len(starts), WINDOWS):
+        inner = latent[i : i + WINDOWS] @ block.passages.T
+        both = lengths[i : i + WINDOWS, None] * np.sqrt(energy)
+        near = (both > 1e-6) & (inner >= COSINE * both) & (inner >= ENERGY * energy)
+        for w, p in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
+            start = int(starts[i + w])
+            yield int(np.searchsorted(first, start, "right")) - 1, start, int(block.owner[p]), float(inner[w, p] / both[w, p])
 
 
 def common_order(a: np.ndarray, b: np.ndarray) -> int:

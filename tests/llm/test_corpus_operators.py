@@ -186,6 +186,26 @@ def test_leaks(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_leaks_without_telling_words(spark, docs):
+    rng = random.Random(8)
+    common = [f"common{i}" for i in range(60)]
+    rare, middle = [f"rare{i}" for i in range(12)], [f"middle{i}" for i in range(20)]
+    often = " ".join("zorblat" if i % 5 == 0 else f"plain{i % 3}" for i in range(30)) + "."
+    item = " ".join([*(w for pair in zip(rare, middle) for w in pair), "end.", *middle[12:]])
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(40)] + [f"plain{k}" for k in range(3) if (i + k) % 4 == 0]
+        words += [w for k, w in enumerate(rare) if i % 66 == k] + [w for k, w in enumerate(middle) if i % 13 == k % 13]
+        words += ["zorblat"] * (i % 50 == 0)
+        rows.append((i, " ".join(rng.sample(words, len(words)))))
+    reworded = item
+    for w in rare:  # the rare words are replaced, order and answer stay
+        reworded = reworded.replace(w + " ", f"other{w[4:]} ")
+    rows += [(1000, often), (1001, "common1 " * 37 + often + " common2" * 50), (1002, reworded), (1003, item)]
+    bench = spark.createDataFrame([(1, often), (2, item)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(docs(rows), bench).collect()} == {(1000, 1), (1001, 1), (1002, 2), (1003, 2)}
+
+
 def test_common_order():
     rng = random.Random(4)
     for _ in range(200):
