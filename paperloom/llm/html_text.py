@@ -3,8 +3,8 @@
 A page becomes a list of text blocks, each with its path of elements from the root. Text length
 and punctuation are summed per path and divided by the path's blocks. The product of the two
 ratios, smoothed along the page, is a path's content value; paths over a threshold that follows
-from the page's own spread are content. The deepest element that holds nearly all of their text
-is the article. Blocks there are kept in page order, headings and short paragraphs included.
+from the page's own spread are content. The deepest element that holds all of their text,
+or the article or main element around it, is the article; headings just before it belong to it. Blocks there are kept in page order, headings and short paragraphs included.
 Elements that are menus, notices, adverts, comments and the like by their tag, role or name
 give no blocks at all.
 """
@@ -60,8 +60,8 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？،؟]")
 
-#: Blocks to each side that smoothing weighs, and the share of the content that an article holds.
-REACH, HOLDS = 2, 0.9
+#: Blocks to each side that smoothing weighs.
+REACH = 2
 #: Share of a block's text in links from which it is a list of links.
 LINKED = 0.6
 
@@ -254,14 +254,22 @@ def main_text(source: str) -> str:
             total += len(b.text)
             for e in b.elements:
                 held[e] = held.get(e, 0) + len(b.text)
-    # elements are numbered as they open, so the deepest of those that hold enough is the last
-    article = max((e for e, n in held.items() if n >= HOLDS * total and names[e] != "p"), default=0)
+    # elements are numbered as they open, so the deepest of those that hold all is the last
+    article = max((e for e, n in held.items() if n == total and names[e] != "p"), default=0)
+    around = next((b.elements for b in blocks if article in b.elements), ())
+    around = [e for e in around if e <= article and names[e] in ("article", "main")]
+    article = around[-1] if around else article
     loose = names.get(article, "body") in ("body", "html")
+    first = next((i for i, b in enumerate(blocks) if not article or article in b.elements), 0)
+    while first and blocks[first - 1].heading:
+        first -= 1
     kept = []
-    for b in blocks:
+    for i, b in enumerate(blocks):
         inside = not article or article in b.elements
         if inside and (b.path in chosen or b.heading or not loose and b.linked < LINKED):
             kept.append(b.text)
+        elif not inside and i >= first and b.heading and article > b.elements[-1]:
+            kept.append(b.text)
     return "\n".join(kept)
 
 

@@ -186,6 +186,18 @@ def test_pages(spark):
     assert extract_pages(frame.limit(0)).count() == 0
 
 
+def test_title_and_lead_before_a_long_body():
+    body = [f"Paragraph {i}, with commas, and enough words to be the main text of the page." for i in range(20)]
+    inner = "".join(f"<p>{t}</p>" for t in body)
+    lead = "A lead, short."
+    page = f"<body><article><h1>T</h1><div class=lead><p>{lead}</p></div><div class=body>{inner}</div></article></body>"
+    assert main_text(page).split() == " ".join(["T", lead, *body]).split()
+    page = f"<body><main><h1>T</h1><p>{lead}</p><section>{inner}</section></main></body>"
+    assert main_text(page).split() == " ".join(["T", lead, *body]).split()
+    page = f"<body><div><h1>T</h1><div>{inner}</div></div></body>"
+    assert main_text(page).split() == " ".join(["T", *body]).split()
+
+
 def test_shingles_of_whole_texts():
     rng = random.Random(2)
     texts = ["", " \n", "One", "a B c", "A b c D", *(" ".join(rng.choice("ab cd ef Éa 日 x1".split()) for _ in range(rng.randint(0, 60))) for _ in range(200))]
