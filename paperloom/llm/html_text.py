@@ -6,7 +6,8 @@ ratios, smoothed along the page, is a path's content value; paths over a thresho
 from the page's own spread are content. The deepest element that holds all of their text,
 or the article or main element around it, is the article; headings just before it belong to it. Blocks there are kept in page order, headings and short paragraphs included.
 Elements that are menus, notices, adverts, comments and the like by their tag, role or name
-give no blocks at all.
+give no blocks at all, but a name does not count on an element around an article or main element
+or around most of the page's text.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ CLOSES = {
 }
 # Words in names of elements that are not the article.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|promos?|promotions?|sponsor(?:ed|s)?|cookies?|consent|gdpr"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|promos?|promotions?|sponsor(?:ed|s)?|cookies?|consent|gdpr"
     r"|notices?|popup|modal|overlay|newsletter|subscri(?:be|ption)|sidebar|rail|related|recommend(?:ed|ations?)?|share|sharing|social"
     r"|comments?|commentlist|disqus|respond|replies|reply|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|topbar"
     r"|pagination|pager|widget|login|signup|toolbar|copyright|disclaimer|skip|search)(?:$|[\s_-])",
@@ -62,6 +63,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？،؟]")
 
 #: Blocks to each side that smoothing weighs.
 REACH = 2
+#: Share of the page's text, without links, from which an element is no menu or notice by its name.
+MOST = 0.8
 #: Share of a block's text in links from which it is a list of links.
 LINKED = 0.6
 
@@ -72,6 +75,7 @@ class Element:
     number: int
     parent: Element | None
     dropped: bool
+    named: tuple[int, ...] = ()  # elements around it, and itself, that are not the article by name
     heading_only: bool = False
     in_link: bool = False
 
@@ -83,6 +87,7 @@ class Block:
     text: str
     linked: float
     heading: bool
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -91,6 +96,7 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     pieces: list[tuple[str, bool]] = field(default_factory=list)
     names: dict[int, str] = field(default_factory=dict)
+    around_article: set[int] = field(default_factory=set)
     count: int = 0
 
     def end_block(self) -> None:
@@ -110,6 +116,7 @@ class _Page:
                 text,
                 linked / max(1, len(raw.strip())),
                 bool(open_blocks) and open_blocks[-1].name in HEADINGS,
+                self.stack[-1].named if self.stack else (),
             )
         )
 
@@ -150,35 +157,44 @@ class _Page:
         if name in VOID:
             return
         parent = self.stack[-1] if self.stack else None
-        dropped, heading_only = self._judge(name, attributes, parent)
+        dropped, heading_only, by_name = self._judge(name, attributes, parent)
         self.count += 1
+        named = parent.named if parent else ()
+        if by_name and name in BLOCK:
+            named += (self.count,)
+        elif by_name:
+            dropped = True
+        if name in ("article", "main") and not dropped:
+            self.around_article.update(named)
         self.names[self.count] = name
         self.stack.append(
-            Element(name, self.count, parent, dropped, heading_only, name == "a" or bool(parent and parent.in_link))
+            Element(name, self.count, parent, dropped, named, heading_only, name == "a" or bool(parent and parent.in_link))
         )
 
-    def _judge(self, name: str, attributes: str, parent: Element | None) -> tuple[bool, bool]:
-        """Whether the element is not article text, and whether only its headings are."""
+    def _judge(self, name: str, attributes: str, parent: Element | None) -> tuple[bool, bool, bool]:
+        """Whether the element is not article text, whether only its headings are, and whether it
+        is none by its name."""
+        by_name = False
         heading_only = bool(parent and parent.heading_only)
         if parent and parent.dropped or name in DROPPED:
-            return True, heading_only
+            return True, heading_only, False
         inside = any(e.name in ("article", "main") for e in self.stack)
         if name == "header":
-            return not inside, True
+            return not inside, True, False
         if not attributes or name in ("html", "body", "article", "main"):
-            return False, heading_only
+            return False, heading_only, by_name
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True, heading_only
+                return True, heading_only, False
             if key == "style" and _HIDDEN.search(value) or key == "role" and value.lower() in DROPPED_ROLES:
-                return True, heading_only
+                return True, heading_only, False
             if key in ("class", "id") and NOT_ARTICLE.search(value):
                 if inside and HEADER_ONLY.search(value) and not NOT_ARTICLE.search(HEADER_ONLY.sub(" ", value)):
                     heading_only = True
                     continue
-                return name not in HEADINGS, heading_only
-        return False, heading_only
+                by_name = name not in HEADINGS
+        return False, heading_only, by_name
 
     def close(self, name: str) -> None:
         if name in BLOCK:
@@ -217,7 +233,17 @@ def read_blocks(source: str) -> tuple[list[Block], dict[int, str]]:
         cut = re.search(r"<[/!?A-Za-z]", rest)  # a tag cut off by the end
         page.add_text(rest[: cut.start()] if cut else rest)
     page.end_block()
-    return page.blocks, page.names
+    sizes: dict[int, float] = {}
+    total = 0.0
+    for b in page.blocks:
+        size = len(b.text) * (1 - min(1.0, b.linked))
+        total += size
+        for e in b.named:
+            sizes[e] = sizes.get(e, 0.0) + size
+    spared = page.around_article
+    if not {"article", "main"} & set(page.names.values()):
+        spared = spared | {e for e, n in sizes.items() if n >= MOST * total}
+    return [b for b in page.blocks if spared.issuperset(b.named)], page.names
 
 
 def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:

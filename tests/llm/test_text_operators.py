@@ -198,6 +198,14 @@ def test_title_and_lead_before_a_long_body():
     assert main_text(page).split() == " ".join(["T", *body]).split()
 
 
+def test_names_of_wrappers():
+    body = [f"Paragraph {i}, with commas, and enough words to be the main text." for i in range(9)]
+    inner = "<h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in body) + '<div class="related-posts"><p>See this, too.</p></div>'
+    for name in ("layout has-sidebar", "content-with-sidebar", "post no-comments", "page sticky-header", "search-engines"):
+        for page in (f'<div class="{name}"><article>{inner}</article></div>', f'<p>Hi.</p><div id="{name}">{inner}</div>'):
+            assert main_text(f"<body>{page}<div class=comments><p>Nice, thanks.</p></div></body>").split() == " ".join(["Title", *body]).split(), page
+
+
 def test_shingles_of_whole_texts():
     rng = random.Random(2)
     texts = ["", " \n", "One", "a B c", "A b c D", *(" ".join(rng.choice("ab cd ef Éa 日 x1".split()) for _ in range(rng.randint(0, 60))) for _ in range(200))]
