@@ -1,6 +1,6 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated lengths.
 
-One dictionary is trained on ordinary text, one on toxic text. A text is cut into overlapping
+One dictionary is trained on ordinary text, one on the telling words of toxic text. A text is cut into overlapping
 windows; each is compressed with the ordinary dictionary and with the toxic one laid before the
 same ordinary content, so that a window without toxic wording takes the same bytes either way
 and only toxic wording is cheaper. A logistic model, calibrated on labelled rows that trained no
@@ -31,9 +31,8 @@ CALIBRATION_ROWS = 2_000
 FIT_CHARS = 64_000
 ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 2_048
-#: Byte n-grams that mark toxic wording: this share of the toxic rows at least, and so many
-#: times more frequent there than in ordinary rows.
-GRAM, GRAM_SHARE, GRAM_LIFT = 5, 0.006, 40
+#: Byte n-grams that mark toxic wording.
+GRAM = 5
 #: Windows compressed in one call.
 CALL = 2_000
 
@@ -103,15 +102,26 @@ def fit(rows: list[tuple[str, int]], share: float) -> ToxicityModel:
 
 
 def _toxic_wording(ordinary: list[str], toxic: list[str]) -> list[bytes]:
-    """Of each toxic text, the words with an n-gram that is typical of toxic texts."""
+    """Of each toxic text, the words that tell most, as many different ones as fill the dictionary.
+
+    A word tells how unlikely its best n-gram is as often in toxic rows, were it as frequent there
+    as in ordinary ones (a Poisson deviance); words that chance explains among so many tell nothing.
+    """
     counts = [Counter(g for t in texts for g in set().union(*map(_grams, _words(t)))) for texts in (ordinary, toxic)]
-    least = max(3, GRAM_SHARE * len(toxic))
-    marks = {
-        g
-        for g, n in counts[1].items()
-        if n >= least and n / len(toxic) >= GRAM_LIFT * (counts[0][g] + 0.5) / max(len(ordinary), GRAM_LIFT)
-    }
-    kept = ([w for w in _words(t) if not marks.isdisjoint(_grams(w))] for t in toxic)
+
+    def told(gram: bytes) -> float:
+        n, expected = counts[1][gram], (counts[0][gram] + 0.5) * len(toxic) / len(ordinary)
+        return float(n * np.log(n / expected) - n + expected) if n > expected else 0.0
+
+    words = {w for t in toxic for w in _words(t) if len(w) + 2 >= GRAM}
+    ranked = {w: max(map(told, _grams(w))) for w in words}
+    marked, size = set(), 0
+    for w in sorted(ranked, key=lambda w: (-ranked[w], w)):
+        if size >= TOXIC_BYTES or ranked[w] <= np.log(len(counts[1])):
+            break
+        marked.add(w)
+        size += len(w) + 1
+    kept = ([w for w in _words(t) if w in marked] for t in toxic)
     return [b" " + b" ".join(words) + b" " for words in kept if words]
 
 
@@ -138,6 +148,8 @@ def windows(text: str) -> list[bytes]:
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; with too little text to train on, the text itself."""
+    if not samples:
+        return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:

@@ -18,7 +18,7 @@ from paperloom.llm.decontam import leaks, without_leaks
 from paperloom.llm.jaccard import jaccard_components, without_copies
 from paperloom.llm.mixing import MOST, WEIGHTS, mix_sources, mixed_documents
 from paperloom.llm.multi_index import cells_in_order, nearest_by_index
-from paperloom.llm.toxicity import toxicity, windows
+from paperloom.llm.toxicity import _toxic_wording, toxicity, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -239,6 +239,20 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert "".join(w.decode()[:48] for w in windows("ab cd " * 100)) in "ab cd " * 100
 
 
+def test_toxic_wording_of_noisy_labels():
+    """A tenth of the toxic rows are labelled ordinary."""
+    rng = random.Random(9)
+    plain = ["".join(rng.choice(["ba", "lo", "ti", "re", "na"]) for _ in range(3)) for _ in range(150)]
+    rows = []
+    for i in range(1600):
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 150))]
+        for _ in range(3 * (i % 3 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(["grimwicket", "snorfblat", "vexhound"]))
+        rows.append((" ".join(words), int(i % 3 == 0 and rng.random() > 0.1)))
+    found = _toxic_wording(*([t for t, c in rows if c == k] for k in (0, 1)))
+    assert {w for part in found for w in part.split()} == {b"grimwicket", b"snorfblat", b"vexhound"}
+
+
 def test_nearest_by_index(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, size=(3000, 1))
