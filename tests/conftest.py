@@ -25,13 +25,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    """All rows as plain tuples, in a stable order."""
-    return sorted((tuple(r) for r in df.collect()), key=str)
-
-
-def plan_of(df):
-    """The physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import plan_of, rows
+from support import plan_of, rows
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from conftest import rows
+from support import rows
 from test_articles import raw_record
 from test_filters_and_pages import ENTRY, PAGE
 

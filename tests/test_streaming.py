@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 from test_io import article
 

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan_of, rows
+from support import plan_of, rows
 from pyspark.sql import functions as F
 
 from paperloom.functions.encoders import hash_encoder
