@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.alignment import align_tokens
 from paperloom.llm.decontam import leaks
+from paperloom.llm.hidden_markov import score_texts
 from paperloom.llm.html_text import extract_pages
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.lengths import context_totals, length_histogram
@@ -14,6 +16,7 @@ from paperloom.llm.pii import scan_pii
 from paperloom.llm.secret_scan import scan_secrets
 from paperloom.llm.tokens import token_digest, write_tokens
 from paperloom.llm.toxicity import toxicity
+from paperloom.llm.turns import repair_conversations
 from paperloom.session import scratch_path, stored_once
 
 
@@ -65,6 +68,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(stored_once(histogram, "lengths"))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
@@ -76,4 +91,7 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_hidden_markov": op11_hidden_markov,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
