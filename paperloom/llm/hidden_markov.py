@@ -512,10 +512,10 @@ def score_texts(documents: DataFrame, states: int = STATES, iterations: int = IT
         pa.table({"bucket": np.arange(BUCKETS, dtype=np.int32), "mass": vocabulary.share[-1 - BUCKETS : -1] * vocabulary.mass})
     )
     listed = counts.where(~own).withColumn("bucket", bucket).join(F.broadcast(in_bucket), "bucket")
-    listed = listed.select("word", "in_training", F.log10((F.col("in_training") + 0.5) / F.col("mass")).alias("share"))
+    seen = F.col("in_training") > 0  # a bucket without training words has no mass
+    listed = listed.select("word", "in_training", F.when(seen, F.log10((F.col("in_training") + 0.5) / F.col("mass"))).alias("share"))
     rare = encoded.select("row", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("place", "x"))
     rare = rare.select("row", "place", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("n"))
-    seen = F.col("in_training") > 0
     per_row = rare.join(listed, "word").groupBy("row").agg(
         F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * F.log10((F.col("in_training") + 0.5) / vocabulary.mass)).alias("rare_base"),

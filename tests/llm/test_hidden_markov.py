@@ -157,6 +157,12 @@ def test_equals_plain_loops_with_default_sizes(spark, docs):
     compare(hmm.score_texts(docs(rows), states=2, iterations=2), Plain(rows).scores(2, 2))
 
 
+def test_buckets_without_training_words(spark, docs, small, monkeypatch):
+    monkeypatch.setattr(hmm, "BUCKETS", 4000)
+    rows = corpus(40) + EDGES
+    compare(hmm.score_texts(docs(rows), states=2, iterations=1), Plain(rows).scores(2, 1))
+
+
 def test_how_often_a_task_emits_changes_nothing(spark, docs, small, monkeypatch):
     rows = corpus(40) + EDGES
     want = sorted(map(tuple, hmm.score_texts(docs(rows), states=2, iterations=1).collect()), key=str)
