@@ -42,7 +42,7 @@ STRETCH, UNIGRAM = 256, 0.02
 #: Steps after which the matrices of stretches are scaled.
 RESCALED = 8
 #: Characters tokenised at a time, tokens of a training batch, and words a task counts before it emits.
-PIECE, BATCH_TOKENS, KEPT_WORDS = 2 << 20, 1 << 19, 1 << 20
+PIECE, BATCH_TOKENS, KEPT_WORDS = 6 << 20, 1 << 19, 1 << 20
 #: Expected counts are summed in units of this.
 UNIT = 2.0**-24
 
