@@ -49,8 +49,8 @@ def default_vocabulary() -> str:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        # their strings in a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one of their strings is encoded whole
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -102,9 +102,10 @@ class Encoder:
             self._forget()
         plain, split = [], []
         for text in texts:
-            easy = not text or _is_plain(text)
+            whole = any(a in text for a in self.added)
+            easy = not text or not whole and _is_plain(text)
             plain.append(FIRST + text.replace("\n", " \n") if text and easy else None)
-            split.append(None if easy else _SAFE.split(FIRST + text))
+            split.append(None if easy else [FIRST + text] if whole else _SAFE.split(FIRST + text))
         lists = [pc.split_pattern(pa.array(plain, pa.large_string()), " "), pa.array(split, pa.large_list(pa.large_string()))]
         counts = [np.asarray(pc.fill_null(pc.list_value_length(x), 0), dtype=np.int64) for x in lists]
         places = self._places(pa.concat_arrays([x.flatten() for x in lists]))

@@ -296,7 +296,7 @@ def main_text(source: str) -> str:
             kept.append(b.text)
         elif not inside and i >= first and b.heading and article > b.elements[-1]:
             kept.append(b.text)
-    return "\n".join(kept)
+    return "\n\n".join(kept)
 
 
 def extract_text(source: Column) -> Column:

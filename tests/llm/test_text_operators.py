@@ -21,12 +21,11 @@ from paperloom.llm.tokens import read_tokens, token_digest, write_tokens
 from paperloom.llm.words import shingle_sets, word_hashes
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
-ODD = ["", " ", "a", "two  spaces", " lead", "trail ", "a\n\nb \n c", "it's we'll 12 345", "<|endoftext|> x", "naïve ÇA b 日本", "\t\tx  y", "a b c"]
+ODD = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|>\n<|endoftext|>y, <|endoftext|", "", " ", "a", "two  spaces", " lead", "trail ", "a\n\nb \n c", "it's we'll 12 345", "<|endoftext|> x", "naïve ÇA b 日本", "\t\tx  y", "a b c"]
 
 
 def whole(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -175,7 +174,7 @@ def test_pages(spark):
         '<div class="ad">Buy now, cheap. Really.</div><p>Another paragraph, with commas. <a href=q>link</a><br>tail.</div>'
         "<div class=comments><p>Nice post, thanks. I liked it, really.</div><aside>Side, here.</aside><form>f</form><footer>c</footer>"
     )
-    text = "Title\nFirst & second line, with text. More, yes.\nShort.\nAnother paragraph, with commas. link tail."
+    text = "Title\n\nFirst & second line, with text. More, yes.\n\nShort.\n\nAnother paragraph, with commas. link tail."
     assert main_text(page) == text
     for odd in ("", "plain", "<p", "<p>a<b", "</div></p>", "<!-- x", "<script>x", "<div " + "a" * 1000, "<nav>only, menu.</nav>", "<p>" * 3000 + "x"):
         assert "<" not in main_text(odd)
@@ -191,11 +190,11 @@ def test_title_and_lead_before_a_long_body():
     inner = "".join(f"<p>{t}</p>" for t in body)
     lead = "A lead, short."
     page = f"<body><article><h1>T</h1><div class=lead><p>{lead}</p></div><div class=body>{inner}</div></article></body>"
-    assert main_text(page).split() == " ".join(["T", lead, *body]).split()
+    assert main_text(page) == "\n\n".join(["T", lead, *body])
     page = f"<body><main><h1>T</h1><p>{lead}</p><section>{inner}</section></main></body>"
-    assert main_text(page).split() == " ".join(["T", lead, *body]).split()
+    assert main_text(page) == "\n\n".join(["T", lead, *body])
     page = f"<body><div><h1>T</h1><div>{inner}</div></div></body>"
-    assert main_text(page).split() == " ".join(["T", *body]).split()
+    assert main_text(page) == "\n\n".join(["T", *body])
 
 
 def test_names_of_wrappers():
@@ -203,7 +202,7 @@ def test_names_of_wrappers():
     inner = "<h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in body) + '<div class="related-posts"><p>See this, too.</p></div>'
     for name in ("layout has-sidebar", "content-with-sidebar", "post no-comments", "page sticky-header", "search-engines"):
         for page in (f'<div class="{name}"><article>{inner}</article></div>', f'<p>Hi.</p><div id="{name}">{inner}</div>'):
-            assert main_text(f"<body>{page}<div class=comments><p>Nice, thanks.</p></div></body>").split() == " ".join(["Title", *body]).split(), page
+            assert main_text(f"<body>{page}<div class=comments><p>Nice, thanks.</p></div></body>") == "\n\n".join(["Title", *body]), page
 
 
 def test_shingles_of_whole_texts():
