@@ -118,11 +118,27 @@ def match_terms(index: TextIndex, terms: DataFrame, n_terms: int) -> Matches:
 
 
 def term_stats(index: TextIndex) -> DataFrame:
-    """Document frequency and total frequency of every term."""
+    """Document frequency and total frequency of every term, with one exchange of partial sums.
+
+    Each article's distinct terms come before all its tokens in one array, so a row's place
+    tells what it counts for, and no pair of article and term is ever grouped.
+    """
+    if index.postings is not None:
+        return (
+            index.postings.groupBy("term")
+            .agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+        )
+    listed = index.tokenised.select(F.array_distinct("terms").alias("distinct"), "terms").select(
+        F.size("distinct").alias("n"),
+        F.posexplode_outer(F.concat("distinct", "terms")).alias("place", "term"),
+    )
     return (
-        all_postings(index)
+        listed.where(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+        .agg(
+            F.count_if(F.col("place") < F.col("n")).alias("df"),
+            F.count_if(F.col("place") >= F.col("n")).alias("total_tf"),
+        )
     )
 
 
@@ -136,16 +152,21 @@ def corpus_stats(index: TextIndex) -> DataFrame:
 
 
 def weights(matches: Matches) -> DataFrame:
-    """``term, idf, mean_length`` of the matched terms: one row per distinct term."""
+    """``term, df, idf, mean_length, most`` of the matched terms, one row per distinct term;
+    ``most`` is the term's largest contribution."""
+    mean_length = matches.corpus.select("mean_length").scalar()
     n = matches.corpus.select("n_articles").scalar()
     df = F.col("df")
     return (
         matches.postings.groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(
+            F.count("*").alias("df"),
+            F.max(bm25(F.col("tf"), F.col("dl"), F.lit(1.0), mean_length)).alias("share"),
+        )
+        .withColumn("idf", F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)))
         .select(
-            "term",
-            F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5)).alias("idf"),
-            matches.corpus.select("mean_length").scalar().alias("mean_length"),
+            "term", "df", "idf", mean_length.alias("mean_length"),
+            (F.col("idf") * F.col("share")).alias("most"),
         )
     )
 

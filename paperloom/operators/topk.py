@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import HITS, SCORE_DIGITS, TARGET_HITS
 
-#: Groups that the rows of one request are first reduced in.
-GROUPS = 64
-
 
 def top_k(
     scored: DataFrame,
@@ -23,9 +22,12 @@ def top_k(
     Each task keeps its own ``k`` best rows per request before anything is shuffled, so a
     request receives at most ``tasks × k`` rows. As that still grows with the input, the
     tasks are bundled into groups that are reduced side by side, and only the
-    ``groups × k`` rows that remain meet in one task. How rows fall into groups has no
-    influence on the result.
+    ``groups × k`` rows that remain meet in one task. There are about as many groups as
+    tasks in a group, by the session's number of shuffle partitions. How rows fall into
+    groups has no influence on the result.
     """
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(8, math.isqrt(tasks))
     ordering = [F.col(score).desc(), F.col("id").asc()]
 
     def best(rows: DataFrame, *keys: str) -> DataFrame:
@@ -33,7 +35,7 @@ def top_k(
         return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
     rounded = scored.withColumn(score, F.round(score, SCORE_DIGITS))
-    grouped = rounded.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    grouped = rounded.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
     return best(best(grouped, *per, "_group").drop("_group", rank), *per)
 
 

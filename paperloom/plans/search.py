@@ -7,7 +7,7 @@ A request table has ``query_id, query_text, profile, category``. Query vectors c
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,19 +15,30 @@ from pyspark.sql import functions as F
 
 from paperloom.constants import HITS, RRF_K, SCORE_DIGITS, SEARCH_PROFILES, TARGET_HITS
 from paperloom.functions.text import highlight, query_casefold, show_marks, tokens
-from paperloom.operators.filters import filter_blank_query, filter_query_category
+from paperloom.operators.filters import filter_blank_query
 from paperloom.operators.joins import MAX_BROADCAST_ROWS, lookup_join
 from paperloom.operators.nearest import nearest
-from paperloom.operators.textindex import Matches, TextIndex, bm25, match_terms, weights
+from paperloom.operators.textindex import Matches, TextIndex, match_terms, weights
+from paperloom.operators.textscore import (
+    PAIR,
+    SLACK,
+    Asked,
+    best_matches,
+    matches_of_all_terms,
+    score_matches,
+    score_pairs,
+)
 from paperloom.operators.topk import top_k, topk_hits
 from paperloom.session import stored_once
 
-_PAIR = ["query_id", "id"]
+#: Text ranks that fusion looks up first; beyond them a rank adds less than 0.0063.
+FUSION_DEPTH = 100
 
 
 @dataclass(frozen=True)
 class Terms:
-    """Distinct terms per request (``query_id, category, n_terms, term``), and their number."""
+    """Distinct terms per request (``query_id, category, profile, n_terms, term``), and their
+    number."""
 
     rows: DataFrame
     bound: int
@@ -38,6 +49,7 @@ def request_terms(requests: DataFrame) -> Terms:
     analysed = filter_blank_query(requests).select(
         "query_id",
         "category",
+        "profile",
         F.array_distinct(tokens(query_casefold(F.col("query_text"), F.col("profile")))).alias(
             "terms"
         ),
@@ -46,6 +58,7 @@ def request_terms(requests: DataFrame) -> Terms:
         analysed.select(
             "query_id",
             "category",
+            "profile",
             F.size("terms").alias("n_terms"),
             F.explode_outer("terms").alias("term"),
         ).where(F.col("term").isNotNull()),
@@ -63,38 +76,25 @@ def match_requests(matches: Matches, terms: Terms) -> DataFrame:
     return lookup_join(matches.postings, terms.rows, ["term"], ["id"], terms.bound)
 
 
-def score_text(matches: Matches, terms: Terms, by_category: bool = False) -> DataFrame:
-    """BM25 of every article that holds any term: ``query_id, id, text, n_matched, n_terms``.
+def ask(index: TextIndex, terms: Terms) -> Asked:
+    """Read the postings of the requested terms, once, and weigh the terms."""
+    matches = matches_for(index, terms)
+    weighted = stored_once(terms.rows.join(weights(matches), "term"), "weighted")
+    cost = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return Asked(matches, weighted, terms.bound, cost)
 
-    Postings are brought together by article, and the weighted terms are joined to them
-    where they are. The sum per (request, article) then needs no shuffle: what travels is
-    a posting per article and term, however many requests ask for it.
-    """
-    weighted = terms.rows.join(weights(matches), "term")
-    by_article = matches.postings.repartition("id")
-    matched = lookup_join(by_article, weighted, ["term"], ["id"], terms.bound)
-    if by_category:
-        matched = filter_query_category(matched)
-    contribution = bm25(F.col("tf"), F.col("dl"), F.col("idf"), F.col("mean_length"))
-    return matched.groupBy(*_PAIR).agg(
-        F.round(F.sum(contribution), SCORE_DIGITS).alias("text"),
-        F.count("*").alias("n_matched"),
-        F.max("n_terms").alias("n_terms"),
-    )
+
+def score_text(index: TextIndex, terms: Terms) -> DataFrame:
+    """BM25 of every article that holds any term: ``query_id, id, text, n_matched, n_terms``."""
+    return score_matches(ask(index, terms))
 
 
 def search_bm25(
-    index: TextIndex,
-    requests: DataFrame,
-    hits: int = HITS,
-    terms: Terms | None = None,
-    matches: Matches | None = None,
+    index: TextIndex, requests: DataFrame, hits: int = HITS, asked: Asked | None = None
 ) -> DataFrame:
     """Articles that hold all terms of the request, in its category if it names one."""
-    terms = terms or request_terms(requests)
-    matches = matches or matches_for(index, terms)
-    scored = score_text(matches, terms, by_category=True)
-    complete = scored.where(F.col("n_matched") == F.col("n_terms"))
+    asked = asked or ask(index, request_terms(requests))
+    complete = matches_of_all_terms(asked)
     return _ranked(topk_hits(complete.withColumnRenamed("text", "relevance"), hits))
 
 
@@ -118,7 +118,7 @@ def search_semantic(
 
 def merge_candidates(text: DataFrame, near: DataFrame) -> DataFrame:
     """Union of text and vector candidates: a missing score is 0, a missing rank is null."""
-    merged = text.join(near, _PAIR, "full_outer")
+    merged = text.join(near, PAIR, "full_outer")
     return merged.withColumns(
         {"text": F.coalesce("text", F.lit(0.0)), "cosine": F.coalesce("cosine", F.lit(0.0))}
     )
@@ -131,16 +131,22 @@ def search_hybrid(
     query_vectors: DataFrame,
     hits: int = HITS,
     target_hits: int = TARGET_HITS,
-    terms: Terms | None = None,
-    matches: Matches | None = None,
+    asked: Asked | None = None,
     near: DataFrame | None = None,
 ) -> DataFrame:
-    """Articles with any term, or among the nearest, by the sum of both scores."""
-    terms = terms or request_terms(requests)
-    matches = matches or matches_for(index, terms)
+    """Articles with any term, or among the nearest, by the sum of both scores.
+
+    An article that is not among the nearest has no vector score, so of those only the best
+    ``hits`` by text can win. Those among the nearest are all scored. That is exact, and
+    ``hits + target_hits`` rows per request, where the matches grow with the collection.
+    """
+    asked = asked or ask(index, request_terms(requests))
     near = _candidates(vectors, query_vectors, target_hits) if near is None else near
-    scored = score_text(matches, terms).select(*_PAIR, "text")
-    text = text_candidates(scored, near, hits, target_hits)
+    if asked.is_small:
+        text = text_candidates(score_matches(asked), near, hits, target_hits)
+    else:
+        text = score_pairs(asked, near, near.count()).select(*PAIR, "text")
+        text = text.unionByName(best_matches(asked, hits, near).select(*PAIR, "text"))
     blended = merge_candidates(text, near).withColumn(
         "relevance", F.col("text") + F.col("cosine")
     )
@@ -154,46 +160,79 @@ def search_fusion(
     query_vectors: DataFrame,
     hits: int = HITS,
     target_hits: int = TARGET_HITS,
-    terms: Terms | None = None,
-    matches: Matches | None = None,
+    asked: Asked | None = None,
     near: DataFrame | None = None,
+    depth: int = FUSION_DEPTH,
 ) -> DataFrame:
-    """The same candidates, by reciprocal rank fusion of their two ranks."""
-    terms = terms or request_terms(requests)
-    matches = matches or matches_for(index, terms)
+    """The same candidates, by reciprocal rank fusion of their two ranks.
+
+    If all matches are few they are scored and stored once, and the ranks are counted there.
+    Else the best ``depth`` by text are ranked without scoring every match. An article that is near
+    and matches, but is not among them, has a rank beyond ``depth``, which bounds its relevance
+    from both sides. Matches are counted for the few whose bound reaches the last hit, if any.
+    """
+    asked = asked or ask(index, request_terms(requests))
     near = _candidates(vectors, query_vectors, target_hits) if near is None else near
-    scored = score_text(matches, terms).select(*_PAIR, "text")
-    text = stored_once(
-        text_candidates(scored, near, hits, target_hits), "candidates"
+    if asked.is_small:
+        scored = stored_once(score_matches(asked).select(*PAIR, "text"), "scored")
+        text = stored_once(text_candidates(scored, near, hits, target_hits), "candidates")
+        placed = text_ranks(scored, text, asked.bound, hits + target_hits)
+        fused = merge_candidates(placed, near).withColumn(
+            "relevance", _reciprocal(F.col("text_rank")) + _reciprocal(F.col("near_rank"))
+        )
+        return _ranked(topk_hits(fused, hits))
+    depth = max(depth, hits)
+    top = stored_once(best_matches(asked, depth), "top")
+    text = score_pairs(asked, near, near.count()).select(*PAIR, "text")
+    beyond = text.join(top.select(*PAIR), PAIR, "left_anti")
+    known = merge_candidates(top, near).join(
+        beyond.withColumnRenamed("text", "beyond"), PAIR, "left"
+    )
+    by_near = _reciprocal(F.col("near_rank"))
+    least = _reciprocal(F.col("text_rank")) + by_near
+    most = least + F.when(F.col("beyond").isNotNull(), 1.0 / (RRF_K + depth + 1)).otherwise(0.0)
+    known = stored_once(known.withColumns({"relevance": least, "most": most}), "fused")
+    last = top_k(known, hits, rank="nth").where(F.col("nth") == hits)
+    last = last.select("query_id", (F.col("relevance") - SLACK).alias("last"))
+    reached = known.join(last, "query_id", "left").where(
+        F.col("last").isNull() | (F.col("most") >= F.col("last"))
+    )
+    settled = reached.where(F.col("beyond").isNull()).select(*PAIR, "relevance")
+    unknown = stored_once(
+        reached.where(F.col("beyond").isNotNull()).select(
+            *PAIR, F.col("beyond").alias("text"), "near_rank"
+        ),
+        "unranked",
     )
-    placed = text_ranks(scored, text, terms.bound, hits + target_hits)
-    fused = merge_candidates(placed, near).withColumn(
-        "relevance", _reciprocal(F.col("text_rank")) + _reciprocal(F.col("near_rank"))
+    if unknown.isEmpty():
+        return _ranked(topk_hits(settled, hits))
+    open_terms = asked.terms.join(unknown.select("query_id"), "query_id", "left_semi")
+    scored = score_matches(replace(asked, terms=open_terms)).select(*PAIR, "text")
+    placed = text_ranks(scored, unknown, asked.bound, target_hits)
+    fused = placed.join(unknown.drop("text"), PAIR).withColumn(
+        "relevance", _reciprocal(F.col("text_rank")) + by_near
     )
-    return _ranked(topk_hits(fused, hits))
+    return _ranked(topk_hits(settled.unionByName(fused.select(*PAIR, "relevance")), hits))
 
 
 def text_candidates(
     scored: DataFrame, near: DataFrame, hits: int, target_hits: int
 ) -> DataFrame:
-    """The text matches that can still be among the best ``hits`` of a blend.
+    """Of all text matches, those among the nearest and the best ``hits`` of the others.
 
-    A match that is not among the nearest has no vector score, so of those only the best
-    ``hits`` by text can win. Matches that are among the nearest are all kept. This is
-    exact and leaves ``hits + target_hits`` rows per request, where the matches themselves
-    grow with the collection. ``near`` is a stored table, so it is counted before it is
-    broadcast; if it is too large, both sides shuffle on the pair, which has no hot keys.
+    ``near`` is a stored table, so it is counted before it is broadcast; if it is too large,
+    both sides shuffle on the pair, which has no hot keys.
     """
-    known = near.select(*_PAIR, F.lit(True).alias("is_near"))
+    known = near.select(*PAIR, F.lit(True).alias("is_near"))
     if near.count() <= MAX_BROADCAST_ROWS:
         known = F.broadcast(known)
-    flagged = scored.join(known, _PAIR, "left").withColumn(
+    flagged = scored.join(known, PAIR, "left").withColumn(
         "is_near", F.coalesce("is_near", F.lit(False))
     )
     best = top_k(
         flagged, max(hits, target_hits), score="text", rank="nth", per=("query_id", "is_near")
     )
-    return best.where(F.col("is_near") | (F.col("nth") <= hits)).select(*_PAIR, "text")
+    return best.where(F.col("is_near") | (F.col("nth") <= hits)).select(*PAIR, "text")
 
 
 def text_ranks(
@@ -259,9 +298,9 @@ def search_dispatch(
     blends = [p for p in ("hybrid", "fusion") if counts[p]]
     by_text = [p for p in ("bm25", *blends) if counts[p]]
     by_vector = [p for p in ("semantic", *blends) if counts[p]]
-    matches = near = None
+    text = near = None
     if by_text:
-        matches = matches_for(index, request_terms(of(*by_text)))
+        text = ask(index, request_terms(of(*by_text)))
     if by_vector:
         searched = query_vectors.join(of(*by_vector).select("query_id"), "query_id", "left_semi")
         near = _candidates(vectors, searched, target_hits if blends else min(hits, target_hits))
@@ -269,9 +308,8 @@ def search_dispatch(
     def answer(profile: str) -> DataFrame:
         if profile == "semantic":
             return search_semantic(vectors, query_vectors, hits, target_hits, near_of(profile))
-        terms = request_terms(of(profile))
         if profile == "bm25":
-            return search_bm25(index, of(profile), hits, terms, matches)
+            return search_bm25(index, of(profile), hits, text.of(profile))
         blend = {"hybrid": search_hybrid, "fusion": search_fusion}[profile]
         return blend(
             index,
@@ -280,8 +318,7 @@ def search_dispatch(
             query_vectors,
             hits,
             target_hits,
-            terms,
-            matches,
+            text.of(profile),
             near_of(profile),
         )
 

@@ -544,7 +544,7 @@ def merge_candidates(spark, sf_dir):
     """All text matches and the nearest candidates of every request, as one list."""
     index = textindex.index_articles(v.articles(spark, sf_dir))
     terms = search.request_terms(v.requests(spark, sf_dir))
-    scored = search.score_text(search.matches_for(index, terms), terms)
+    scored = search.score_text(index, terms)
     near = nearest(v.vectors(spark, sf_dir), v.query_vectors(spark, sf_dir), TARGET_HITS)
     return search.merge_candidates(scored.select("query_id", "id", "text"), near)
 

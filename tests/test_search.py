@@ -9,7 +9,7 @@ import pytest
 from support import plan_of, rows
 from pyspark.sql import functions as F
 
-from paperloom.operators import joins, textindex
+from paperloom.operators import joins, textindex, textscore, topk
 from paperloom.plans import search
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -130,8 +130,14 @@ def join_mode(request, monkeypatch):
     return request.param
 
 
+@pytest.fixture(params=["all scored", "pruned"])
+def score_mode(request, monkeypatch):
+    if request.param == "pruned":
+        monkeypatch.setattr(textscore, "ALL_MATCHES", 0)
+
+
 @pytest.mark.parametrize("hits,target_hits", [(10, 1000), (3, 20)])
-def test_profiles(spark, corpus, join_mode, hits, target_hits):
+def test_profiles(spark, corpus, join_mode, score_mode, hits, target_hits):
     answered = search.search_dispatch(
         textindex.index_articles(corpus["articles"]),
         corpus["vectors"],
@@ -176,12 +182,73 @@ def test_stored_index_gives_the_same_answers(spark, corpus, tmp_path):
 
 
 def test_plan_of_keyword_search(spark, corpus):
-    """Scoring follows the posting shuffle directly, and each top-k step cuts before it sends."""
+    """Sums are partial before they shuffle, and each top-k step cuts before it sends."""
     plan = plan_of(search.search_bm25(textindex.index_articles(corpus["articles"]), corpus["requests"]))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("WindowGroupLimit") == 4
-    assert plan.count("Exchange hashpartitioning(query_id") == 2
-    assert plan.count("REPARTITION_BY_COL") == 1
+    assert plan.count("Exchange hashpartitioning(query_id") == 3
+
+
+def test_term_counts(spark, corpus):
+    index = textindex.index_articles(corpus["articles"])
+    postings = textindex.all_postings(index)
+    assert plan_of(textindex.term_stats(index)).count("Exchange hash") == 1
+    sums = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    assert rows(textindex.term_stats(index)) == rows(sums)
+    counted = {(r.id, r.term): (r.tf, r.dl) for r in postings.collect()}
+    wanted = {}
+    for i, title, text, _ in corpus["data"]:
+        found = tokens(f"{title} {text}")
+        wanted.update({(i, t): (n, len(found)) for t, n in Counter(found).items()})
+    assert counted == wanted
+
+
+@pytest.fixture(scope="module")
+def long_tail(spark):
+    """4,000 articles of common words, and a few that also hold rare ones."""
+    random = np.random.default_rng(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    data = []
+    for n in range(4000):
+        text = random.choice(common, size=20).tolist() + random.choice(rare, size=n % 3).tolist()
+        data.append((f"a{n:05d}", text[0], " ".join(text[1:]), ["x"]))
+    requests = [
+        (q, " ".join([*common, *random.choice(rare, size=4)]), "hybrid", None) for q in range(15)
+    ] + [(90, "c0 c1", "hybrid", None), (91, "r1 absent", "hybrid", None), (92, "absent", "hybrid", None)]
+    articles = spark.createDataFrame(data, "id string, title string, abstract string, categories array<string>")
+    asked = spark.createDataFrame(requests, "query_id long, query_text string, profile string, category string")
+    index = textindex.index_articles(articles.repartition(6))
+    return search.ask(index, search.request_terms(asked))
+
+
+@pytest.mark.parametrize("k", [1, 10, 200])
+def test_pruned_matches_are_the_best(spark, long_tail, k):
+    everything = textscore.score_matches(long_tail).select("query_id", "id", "text")
+    best = topk.top_k(everything, k, score="text", rank="text_rank")
+    assert rows(textscore.best_matches(long_tail, k)) == rows(best)
+    some = everything.where("hash(id) % 5 = 0")
+    best = topk.top_k(everything.where("hash(id) % 5 <> 0"), k, score="text", rank="text_rank")
+    assert rows(textscore.best_matches(long_tail, k, some)) == rows(best)
+
+
+def test_few_pairs_are_scored(spark, long_tail):
+    """Nearly every article holds a common word of every request; few of the pairs are scored."""
+    n_all = textscore.score_matches(long_tail).count()
+    assert n_all > 60_000
+    pairs = textscore.candidate_pairs(long_tail, 10).where("query_id < 90")
+    assert pairs.count() < 15 * 60
+
+
+@pytest.mark.parametrize("depth", [1, 7, 100])
+def test_fusion_looks_deep_ranks_up(spark, corpus, depth, monkeypatch):
+    """Whatever the depth, articles beyond it get their exact rank if it matters."""
+    monkeypatch.setattr(textscore, "ALL_MATCHES", 0)
+    index = textindex.index_articles(corpus["articles"])
+    requests = corpus["requests"].where("query_text <> ''")
+    vectors = corpus["query_vectors"].where("query_id <> 6")
+    found = search.search_fusion(index, corpus["vectors"], requests, vectors, 3, 20, depth=depth)
+    asked = [r[0] for r in corpus["request_data"] if r[1]]
+    same(found, [row for q in asked for row in expected(corpus, "fusion", q, 3, 20)])
 
 
 def test_unknown_profile_fails(spark, corpus):
