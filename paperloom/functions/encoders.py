@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Callable, Sequence
-from itertools import islice
 
 import numpy as np
 import regex
@@ -25,7 +24,9 @@ _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 def hash_encoder(width: int = EMBEDDING_WIDTH, max_tokens: int = MAX_TOKENS) -> EncoderFactory:
     """A stand-in for a model: each token is a one-hot slot, pooled by mean, unit length.
 
-    It exercises batching, truncation, pooling and storage. It knows nothing of meaning, so
+    A text longer than the ``max_tokens`` that a model takes at a time is encoded window by
+    window, all of them, and the windows' means are weighted by their tokens. It exercises
+    batching, windows, pooling and storage. It knows nothing of meaning, so
     its search quality says nothing about a model's.
     """
 
@@ -37,10 +38,11 @@ def hash_encoder(width: int = EMBEDDING_WIDTH, max_tokens: int = MAX_TOKENS) ->
         def encode(texts: Sequence[str]) -> np.ndarray:
             pooled = np.zeros((len(texts), width), dtype=np.float64)
             for row, text in enumerate(texts):
-                found = islice(_TOKEN.finditer(text.lower()), max_tokens)
-                slots = [slot(match.group()) for match in found]
-                if slots:
-                    pooled[row] = np.bincount(slots, minlength=width) / len(slots)
+                slots = [slot(token) for token in _TOKEN.findall(text.lower())]
+                for start in range(0, len(slots), max_tokens):
+                    window = slots[start : start + max_tokens]
+                    mean = np.bincount(window, minlength=width) / len(window)
+                    pooled[row] += mean * (len(window) / len(slots))
             length = np.linalg.norm(pooled, axis=1, keepdims=True)
             return (pooled / np.maximum(length, 1e-12)).astype(np.float32)
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach_embeddings(kept: DataFrame, embeddings: DataFrame, check: bool = False) -> DataFrame:
+def attach_embeddings(kept: DataFrame, embeddings: DataFrame, check: bool = True) -> DataFrame:
     """Join by id. Ids are unique on both sides, so no key is hot.
 
     Both tables shuffle once unless they are stored in the same buckets or one is small,
     which the planner and adaptive execution find out from the data. ``check`` raises, while
-    the result is computed, on the first article without a vector; otherwise it is left out.
+    the result is computed, on the first article without a vector. Without it such articles are
+    left out, and ``articles_without_vector`` says which they are.
     """
     vectors = embeddings.select("id", "embedding")
     if not check:
@@ -23,6 +24,11 @@ def attach_embeddings(kept: DataFrame, embeddings: DataFrame, check: bool = Fals
     ).drop("_found")
 
 
+def articles_without_vector(kept: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """The articles that no vector can be attached to."""
+    return kept.join(embeddings.select("id"), "id", "left_anti")
+
+
 def attach_embeddings_positional(
     numbered: DataFrame, vectors: DataFrame, check: bool = True
 ) -> DataFrame:

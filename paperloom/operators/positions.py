@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.joins import lookup_join
 from paperloom.session import stored_once
 
 _FILE, _BLOCK, _SEQ = "_src_file", "_src_block", "_src_seq"
@@ -62,7 +63,10 @@ def parquet_positions(scan: DataFrame, name: str = "pos") -> DataFrame:
 def _offset_join(rows, sizes, keys, inner_position, name):
     position = (F.col("_offset") + inner_position).cast("long").alias(name)
     kept = [c for c in rows.columns if c not in (_FILE, _BLOCK, _SEQ)]
-    return rows.join(_offsets(sizes, keys), keys).select(*kept, position)
+    # a row per file or block: broadcast if those are few, else the rows of a file are spread
+    offsets = stored_once(_offsets(sizes, keys), "offsets")
+    joined = lookup_join(rows, offsets, keys, [_SEQ], offsets.count())
+    return joined.select(*kept, position)
 
 
 def _offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from paperloom.constants import VECTOR_CHUNK_ROWS
 from paperloom.operators.collection import latest_by_id
 from paperloom.schemas import ARTICLE
+from paperloom.session import stored_once
 
 #: The stored collection: articles, the load each came from, and the storage partition.
 STORED = T.StructType(
@@ -86,6 +87,8 @@ def upsert_articles(
     )
     stored = stored_collection(spark, path)
     if stored is not None:
+        if not new.isStreaming:
+            new = stored_once(new, "incoming")  # looked through for its folders, and merged
         touched = [row.part for row in new.select("part").distinct().collect()]
         new = stored.where(F.col("part").isin(touched)).unionByName(new)
     (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from paperloom.functions.articles import feed_document
 from paperloom.schemas import ARTICLE
 
 FORMAT = "paperloom_feed"
+#: Where a folder of documents names the feeds that make it up.
+RUNS = "_runs"
 
 ClientFactory = Callable[[dict[str, str]], object]
 
@@ -31,14 +34,24 @@ class Fed(WriterCommitMessage):
 class FileClient:
     """A client that stores every batch as a file of JSON lines in a shared folder.
 
-    The file name follows from the partition and the batch, so a retried task replaces its
-    own files. A batch appears under its name only when it is complete.
+    Each feed has a folder of its own, and a file name follows from the partition and the batch,
+    so a retried task replaces its own files. A batch appears under its name only when it is
+    complete. When all tasks are done one small file names the folder that holds the run's
+    documents: a feed that fails publishes nothing, and repeating a run replaces it, however its
+    rows are partitioned then.
     """
 
     def __init__(self, options: dict[str, str]):
-        self.files, self.folder = _filesystem(options["path"])
+        self.files, root = _filesystem(options["path"])
+        self.folder = f"{root}/{options['load']}"
         self.files.create_dir(self.folder, recursive=True)
 
+    @staticmethod
+    def publish(options: dict[str, str]) -> None:
+        files, root = _filesystem(options["path"])
+        files.create_dir(f"{root}/{RUNS}", recursive=True)
+        _write_text(files, f"{root}/{RUNS}/{options['run']}.json", json.dumps({"load": options["load"]}))
+
     def feed(self, batch: list[str], partition: int, number: int) -> str:
         name = f"{partition:06d}-{number:06d}.jsonl"
         unfinished = f"{self.folder}/_{name}.{TaskContext.get().taskAttemptId()}"
@@ -78,7 +91,10 @@ class FeedWriter(DataSourceArrowWriter):
         return Fed(documents, batches, last)
 
     def commit(self, messages) -> None:
-        """Leave the totals of the whole job where the caller asked for them."""
+        """Publish the run, and leave the totals where the caller asked for them."""
+        publish = getattr(self.client, "publish", None)
+        if publish:
+            publish(self.options)
         report = self.options.get("report")
         if report:
             fed = [m for m in messages if m is not None]
@@ -91,7 +107,7 @@ class FeedWriter(DataSourceArrowWriter):
             _write_text(*_filesystem(report), json.dumps(totals))
 
     def abort(self, messages) -> None:
-        """Documents are keyed by id, so a repeated job overwrites what was sent."""
+        """Nothing was published, so there is nothing to take back."""
 
 
 class FeedSource(DataSource):
@@ -109,9 +125,9 @@ class FeedSource(DataSource):
 
 
 def feed_documents(
-    articles: DataFrame, client: ClientFactory = FileClient, **options: str
+    articles: DataFrame, client: ClientFactory = FileClient, run: str = "all", **options: str
 ) -> None:
-    """Feed articles with embeddings.
+    """Feed articles with embeddings, as the documents of ``run``: a run date, say.
 
     ``client`` is called with the options once per task; the result needs a
     ``feed(batch, partition, number)`` method that returns the response as text. Documents
@@ -124,16 +140,17 @@ def feed_documents(
     documents = feed_document(articles).select(
         F.to_json(F.struct("id", "fields"), {"ignoreNullFields": "false"}).alias("document")
     )
-    documents.write.format(FORMAT).mode("append").options(**options).save()
+    named = {**options, "run": run, "load": uuid.uuid4().hex}
+    documents.write.format(FORMAT).mode("append").options(**named).save()
 
 
 def read_fed(spark: SparkSession, path: str) -> DataFrame:
-    """Documents stored by ``FileClient``."""
+    """Documents stored by ``FileClient``: those of every run's last feed that ended well."""
     fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in ARTICLE.fields)
-    return spark.read.schema(
-        f"id string, fields struct<{fields}, abstract_embedding: "
-        "struct<values: array<float>>>"
-    ).json(path)
+    schema = f"id string, fields struct<{fields}, abstract_embedding: struct<values: array<float>>>"
+    runs = spark.read.schema("load string").option("pathGlobFilter", "*.json").json(f"{path}/{RUNS}")
+    loads = [f"{path}/{row.load}" for row in runs.collect()]  # one per run
+    return spark.read.schema(schema).json(loads) if loads else spark.createDataFrame([], schema)
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:

@@ -223,7 +223,7 @@ def write_embeddings(spark, sf_dir):
 @query
 def feed_documents(spark, sf_dir):
     path = scratch_path(spark, "feed")
-    kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir))
+    kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir), check=False)
     feed.feed_documents(kept, path=path)
     return feed.read_fed(spark, path).select(
         "id",
@@ -366,7 +366,7 @@ def drop_authors_parsed(spark, sf_dir):
 
 @query
 def feed_document(spark, sf_dir):
-    kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir))
+    kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir), check=False)
     document = art.feed_document(kept).select(F.to_json(F.struct("id", "fields")).alias("d"))
     first_value = F.get_json_object("d", "$.fields.abstract_embedding.values[0]")
     return document.select(
@@ -499,7 +499,7 @@ def filter_blank_query(spark, sf_dir):
 @query
 def attach_embeddings(spark, sf_dir):
     kept = filters.filter_categories_ci(v.articles(spark, sf_dir), v.SUBSET)
-    found = attach.attach_embeddings(kept.select("id", "title"), v.vectors(spark, sf_dir))
+    found = attach.attach_embeddings(kept.select("id", "title"), v.vectors(spark, sf_dir), check=False)
     return found.select("id", "title", F.round(_total(F.col("embedding")), 5).alias("total"))
 
 

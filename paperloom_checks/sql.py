@@ -197,11 +197,11 @@ marked AS (
 
 
 def slots(key: str, source: str) -> str:
-    """One-hot slots of at most 512 tokens, pooled by mean and scaled to unit length."""
+    """One-hot slots of all tokens, pooled by mean and scaled to unit length."""
     return f"""
 hashed AS (
   SELECT {key}, ('0x' || substr(md5(token), 1, 8))::BIGINT % 384 AS slot
-  FROM (SELECT {key}, unnest(({words('text')})[1:512]) AS token FROM {source})),
+  FROM (SELECT {key}, unnest({words('text')}) AS token FROM {source})),
 counted AS (SELECT {key}, slot, count(*)::DOUBLE AS n FROM hashed GROUP BY {key}, slot),
 pooled AS (SELECT {key}, slot, n / sum(n) OVER (PARTITION BY {key}) AS value FROM counted)
 SELECT {key}, slot::INT AS slot,

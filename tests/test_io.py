@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from paperloom.functions.encoders import hash_encoder
-from paperloom.operators import attach, positions
+from paperloom.operators import attach, joins, positions
 from paperloom.operators.collection import latest_by_id, union_origins
 from paperloom.operators.nearest import _best_pairs
 from paperloom.schemas import ARTICLE
@@ -121,6 +121,23 @@ def test_positions_follow_the_files(spark, tmp_path, small_splits):
     assert [r.id for r in renumbered.orderBy("pos").collect()] == wanted
 
 
+def test_offsets_are_broadcast_or_salted(spark, tmp_path, small_splits, monkeypatch):
+    order = uneven_files(tmp_path)
+    scan = spark.read.schema("id string, categories array<string>").json(str(tmp_path))
+    staged = positions.stage_in_file_order(scan)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = positions.row_positions(staged)
+        assert "BroadcastHashJoin" in plan_of(few) and "hashpartitioning(_src_file" not in plan_of(few)
+        assert [r.id for r in few.orderBy("pos").collect()] == order
+        monkeypatch.setattr(joins.lookup_join, "__defaults__", (0,))
+        many = positions.row_positions(staged)
+        assert "_salt" in plan_of(many)
+        assert [r.id for r in many.orderBy("pos").collect()] == order
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_positional_and_keyed_attach_agree(spark, tmp_path, small_splits):
     order = uneven_files(tmp_path)
     scan = spark.read.schema("id string, categories array<string>").json(str(tmp_path))
@@ -187,12 +204,39 @@ def test_feed_batches(spark, tmp_path):
     assert json.loads(totals["last_response"])["documents"] == 1
     found = feed.read_fed(spark, str(tmp_path / "feed"))
     assert sorted(r.id for r in found.collect()) == ids
-    document = json.loads(next((tmp_path / "feed").glob("0*.jsonl")).read_text().splitlines()[0])
+    document = json.loads(next((tmp_path / "feed").glob("*/0*.jsonl")).read_text().splitlines()[0])
     assert set(document) == {"id", "fields"}
     assert set(document["fields"]) == {*ARTICLE.names, "abstract_embedding"}
     assert document["fields"]["abstract_embedding"] == {"values": [0.5]}
 
 
+def test_feed_of_a_run_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    def documents(*ids):
+        return article(spark, *ids).withColumn("embedding", F.array(F.lit(0.5).cast("float")))
+
+    def stored():
+        return sorted(r.id for r in feed.read_fed(spark, path).collect())
+
+    path = str(tmp_path / "feed")
+    feed.feed_documents(documents(*map(str, range(40))).repartition(7), path=path, run="1")
+    feed.feed_documents(documents("a", "b").coalesce(1), path=path, run="2")
+    feed.feed_documents(documents(*map(str, range(30))).repartition(3), path=path, run="1")
+    assert stored() == sorted(["a", "b", *map(str, range(30))])
+    broken = documents("c", "d").withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        feed.feed_documents(broken, path=path, run="2")
+    assert stored() == sorted(["a", "b", *map(str, range(30))])
+
+
+def test_articles_without_vector_are_told(spark):
+    kept = article(spark, "x", "y")
+    vectors = spark.createDataFrame([("x", [0.5])], "id string, embedding array<float>")
+    with pytest.raises(Exception, match="no vector for article y"):
+        attach.attach_embeddings(kept, vectors).collect()
+    assert rows(attach.attach_embeddings(kept, vectors, check=False).select("id")) == [("x",)]
+    assert rows(attach.articles_without_vector(kept, vectors).select("id")) == [("y",)]
+
+
 def test_any_client_can_be_handed_in(spark, tmp_path):
     class Client:
         def __init__(self, options):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.encoders import hash_encoder
 from paperloom.functions.vectors import l2_normalize
 from paperloom.operators.embed import embed_abstracts, embed_column, mean_pool
+from paperloom.operators import nearest as nearest_module
 from paperloom.operators.nearest import nearest
 from paperloom.operators.topk import top_k
 
@@ -25,11 +26,13 @@ def test_mean_pool(spark):
     assert rows(mean_pool(df, "k", "v", F.col("used"), 2)) == [(1, [2.0, 4.0]), (2, None)]
 
 
-def test_encoder_is_cut_and_normalised():
-    encode = hash_encoder(width=16, max_tokens=3)()
-    a, b, empty = encode(["x y z", "x y z more words", ""])
-    assert np.allclose(a, b) and math.isclose(np.linalg.norm(a), 1, rel_tol=1e-6)
-    assert not empty.any()
+def test_encoder_reads_all_windows():
+    texts = ["x y z", "x y z more words behind the first window", "", "long " * 2000 + "end"]
+    windows, whole = (hash_encoder(width=16, max_tokens=n)()(texts) for n in (3, 10**6))
+    assert np.allclose(windows, whole, atol=1e-6) and not windows[2].any()
+    assert math.isclose(np.linalg.norm(windows[1]), 1, rel_tol=1e-6)
+    assert not np.allclose(windows[0], windows[1])
+    assert windows[3][windows[3] > 0].size == 2
 
 
 def test_batches_and_worker_loading(spark, tmp_path):
@@ -110,6 +113,26 @@ def test_nearest_in_small_arrow_batches(spark, vector_tables):
     assert mine == [(q, i, n) for q, i, _, n in brute_force(stored, asked, 5)]
 
 
+@pytest.mark.parametrize("max_queries", [1000, 2])
+def test_a_sample_first_bounds_what_tasks_emit(spark, vector_tables, monkeypatch, max_queries):
+    """With many tasks, nearly nothing but what can be among the best is emitted."""
+    stored, asked, vectors, queries = vector_tables
+    emitted, top = [], nearest_module.top_k
+
+    def counting(pairs, k, **names):
+        emitted.append(pairs.count())
+        return top(pairs, k, **names)
+
+    monkeypatch.setattr(nearest_module, "top_k", counting)
+    found = {}
+    for sampled in (False, True):
+        rows_of = nearest(vectors.repartition(40), queries, 5, max_queries, block_rows=20, sampled=sampled).collect()
+        found[sampled] = sorted((r.query_id, r.id, r.near_rank) for r in rows_of)
+    assert found[False] == found[True] == [(q, i, n) for q, i, _, n in brute_force(stored, asked, 5)]
+    plain, _, after = emitted
+    assert after <= len(asked) * 5 * 8 and after < plain / 2
+
+
 def test_nearest_without_queries(spark, vector_tables):
     _, _, vectors, queries = vector_tables
     found = nearest(vectors, queries.where("query_id < 0"), 5)
