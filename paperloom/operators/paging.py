@@ -90,3 +90,10 @@ def page_after(
         newest, seen = F.lit(last[0]), F.lit(last[1])
         rest = articles.where((updated < newest) | ((updated == newest) & (F.col("id") > seen)))
     return rest.orderBy(updated.desc(), F.col("id").asc()).limit(page_size)
+
+
+def page_token(page: DataFrame, updated: Column) -> tuple | None:
+    """(updated, id) of a page's last row: what ``page_after`` resumes from. None if it is empty."""
+    last = page.select(updated.alias("updated"), "id")
+    row = last.orderBy(F.col("updated").asc(), F.col("id").desc()).first()
+    return None if row is None else tuple(row)

@@ -25,7 +25,7 @@ from paperloom.operators.filters import (
     in_categories_ci,
 )
 from paperloom.operators.positions import row_positions, stage_in_file_order
-from paperloom.sinks.articles import write_embeddings, write_jsonl
+from paperloom.sinks.articles import upsert_articles, write_embeddings, write_jsonl
 from paperloom.sinks.feed import ClientFactory, feed_documents
 from paperloom.sources.jsonl import scan_articles, scan_snapshot
 from paperloom.sources.vectors import scan_embeddings
@@ -58,9 +58,34 @@ def embed_articles(
 
     Wanted are those that ``feed_articles`` feeds, so that every one has a vector.
     """
-    kept = filter_categories_ci(scan_articles(spark, articles), subset)
+    embed_rows(scan_articles(spark, articles), out, encoder, subset, model, batch_size)
+
+
+def embed_rows(
+    articles: DataFrame,
+    out: str,
+    encoder: EncoderFactory,
+    subset: Sequence[str],
+    model: str,
+    batch_size: int,
+    mode: str = "errorifexists",
+) -> None:
+    """The same for scanned articles."""
+    kept = filter_categories_ci(articles, subset)
     numbered = row_positions(stage_in_file_order(kept.select("id", "abstract")))
-    write_embeddings(embed_abstracts(numbered, encoder, model, batch_size), out)
+    write_embeddings(embed_abstracts(numbered, encoder, model, batch_size), out, mode)
+
+
+def collect_articles(
+    spark: SparkSession,
+    articles: str,
+    collection: str,
+    subset: Sequence[str] = DEFAULT_CATEGORIES,
+    load_seq: int | None = None,
+) -> None:
+    """Merge the wanted articles of the snapshot into the one collection of both ingests."""
+    part = _input(spark, articles)
+    upsert_articles(spark, collection, filter_categories_ci(part, subset), load_seq)
 
 
 def feed_articles(
@@ -83,9 +108,19 @@ def feed_articles(
     if cap is not None or restart_from != NO_RESTART:
         part = filter_restart(row_positions(stage_in_file_order(part)), restart_from)
         part = part if cap is None else filter_cap(part, cap)
+    return feed_rows(part, scan_embeddings(spark, embeddings), client, subset, **options)
+
+
+def feed_rows(
+    part: DataFrame,
+    embeddings: DataFrame,
+    client: ClientFactory,
+    subset: Sequence[str],
+    **options: str,
+) -> Row:
+    """Feed the wanted ones of some articles; all need a vector."""
     kept = filter_categories_ci(part, subset)
-    fed = attach_embeddings(kept, scan_embeddings(spark, embeddings), check=True)
-    feed_documents(fed, client=client, **options)
+    feed_documents(attach_embeddings(kept, embeddings), client=client, **options)
     return feed_counters(part, in_categories_ci(F.col("categories"), subset)).first()
 
 

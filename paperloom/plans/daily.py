@@ -5,21 +5,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.constants import API_PAGE_SIZE, CURSOR_MARGIN, DEFAULT_CATEGORIES
+from paperloom.constants import (
+    API_PAGE_SIZE,
+    CURSOR_MARGIN,
+    DAILY_BATCH,
+    DEFAULT_CATEGORIES,
+    DEFAULT_MODEL,
+)
 from paperloom.functions.articles import api_to_article, terms_of
-from paperloom.operators.filters import in_categories
+from paperloom.functions.encoders import EncoderFactory
+from paperloom.operators.filters import filter_categories_ci, in_categories
 from paperloom.operators.paging import (
     filter_page_cutoff,
     filter_page_limit,
     page_counts,
 )
+from paperloom.plans.bulk import embed_rows, feed_rows
 from paperloom.session import stored_once
-from paperloom.sinks.articles import write_dated_overwrite
+from paperloom.sinks.articles import upsert_articles, write_dated_overwrite
+from paperloom.sinks.feed import ClientFactory
 from paperloom.sources.atom import scan_atom_pages
-from paperloom.sources.jsonl import scan_dated_partition
+from paperloom.sources.jsonl import scan_dated_partition, with_defaults
+from paperloom.sources.vectors import scan_embeddings
 from paperloom.streaming.cursor import advance_cursor, read_cursor
 
 
@@ -100,5 +110,54 @@ def run_daily(
     return DailyReport(sum(r.page_rows for r in counts), short, not short and not cut)
 
 
+def embed_day(
+    spark: SparkSession,
+    out: str,
+    vectors: str,
+    run_date: str,
+    encoder: EncoderFactory,
+    subset: Sequence[str] = DEFAULT_CATEGORIES,
+    model: str = DEFAULT_MODEL,
+    batch_size: int = DAILY_BATCH,
+) -> None:
+    """Embed the articles that the run of a date stored; repeating it replaces its vectors only."""
+    articles = with_defaults(scan_dated_partition(spark, out, run_date))
+    embed_rows(articles, _dated(vectors, run_date), encoder, subset, model, batch_size, "overwrite")
+
+
+def feed_day(
+    spark: SparkSession,
+    out: str,
+    vectors: str,
+    run_date: str,
+    client: ClientFactory,
+    subset: Sequence[str] = DEFAULT_CATEGORIES,
+    **options: str,
+) -> Row:
+    """Feed the articles of one run with its vectors, as the documents of that run; returns the
+    counters. The run's date names its input and its feed, so a run that is repeated, or that
+    passes midnight, stays one run."""
+    articles = scan_dated_partition(spark, out, run_date).drop("ingest_date")
+    embeddings = scan_embeddings(spark, _dated(vectors, run_date))
+    return feed_rows(articles, embeddings, client, subset, run=run_date, **options)
+
+
+def collect_day(
+    spark: SparkSession,
+    out: str,
+    collection: str,
+    run_date: str,
+    subset: Sequence[str] = DEFAULT_CATEGORIES,
+    load_seq: int | None = None,
+) -> None:
+    """Merge the articles of one run into the one collection of both ingests."""
+    articles = with_defaults(scan_dated_partition(spark, out, run_date))
+    upsert_articles(spark, collection, filter_categories_ci(articles, subset), load_seq)
+
+
+def _dated(path: str, run_date: str) -> str:
+    return f"{path}/ingest_date={run_date}"
+
+
 def _wanted(subset: Sequence[str]) -> Column:
     return in_categories(terms_of(F.col("category")), subset)

@@ -22,6 +22,10 @@ STORED = T.StructType(
 )
 
 
+#: Folders of the ids that have no month.
+OTHER_PARTS = 256
+
+
 def write_jsonl(articles: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line, with a key for every field, null or not."""
     articles.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -60,12 +64,15 @@ def write_embeddings(
 
 
 def storage_part(article_id: Column) -> Column:
-    """The month prefix of a new-style id (``2401``); all other ids share ``other``.
+    """The month prefix of a new-style id (``2401``), or ``other-`` and a hash of any other id.
 
-    An id keeps its month for ever, so an update finds the old row in the same folder.
+    An id keeps its folder for ever, so an update finds the old row there. Ids without a month
+    are many, so they are split, and a load rewrites only the parts that it touches.
     """
     month = F.regexp_extract(article_id, r"^(\d{4})\.\d", 1)
-    return F.when(month != "", month).otherwise("other")
+    return F.when(month != "", month).otherwise(
+        F.concat(F.lit("other-"), F.pmod(F.xxhash64(article_id), F.lit(OTHER_PARTS)).cast("string"))
+    )
 
 
 def upsert_articles(
@@ -75,7 +82,7 @@ def upsert_articles(
 
     Without ``load_seq`` this load is later than all that are stored.
     Only the folders that ``incoming`` touches are read and rewritten. Their names are
-    four-digit months, at most 10,001 values, so they are fetched and prune the scan.
+    four-digit months and numbered parts, at most 10,256, so they are fetched and prune the scan.
     Repeating a load leaves the collection as it was. New files replace a folder only
     after all tasks are done; a lost executor costs a retry, not data.
     """

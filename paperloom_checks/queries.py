@@ -507,7 +507,9 @@ def attach_embeddings(spark, sf_dir):
 def attach_embeddings_positional(spark, sf_dir):
     """Keyless vectors: both sides go to files in the same order and are joined by place."""
     keyed = attach.attach_embeddings(
-        v.articles(spark, sf_dir).select("id", "title", "categories"), v.vectors(spark, sf_dir)
+        v.articles(spark, sf_dir).select("id", "title", "categories"),
+        v.vectors(spark, sf_dir),
+        check=False,
     )
     ordered = keyed.repartitionByRange("id").sortWithinPartitions("id")
     files = scratch_path(spark, "ordered")
@@ -645,7 +647,10 @@ def topk_candidates(spark, sf_dir):
 @query
 def page_by_update(spark, sf_dir):
     rows = _api_articles(spark, sf_dir).select("id", "update_date")
-    return paging.page_by_update(rows, F.col("update_date"), 2, v.PAGE_SIZE)
+    updated, last = F.col("update_date"), None
+    for _ in range(2):  # resume behind the last row of each page
+        last = paging.page_token(paging.page_after(rows, updated, last, v.PAGE_SIZE), updated)
+    return paging.page_after(rows, updated, last, v.PAGE_SIZE)
 
 
 @query

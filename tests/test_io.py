@@ -175,8 +175,10 @@ def test_upsert(spark, tmp_path):
         ("2401.1v1", "new", 2, "2401"),
         ("2401.2v1", "new", 2, "2401"),
         ("2402.1v1", "t", 1, "2402"),
-        ("hep-ph/1v1", "t", 1, "other"),
+        ("hep-ph/1v1", "t", 1, spark.range(1).select(sink.storage_part(F.lit("hep-ph/1v1"))).first()[0]),
     ]
+    many = spark.range(5000).select(sink.storage_part(F.format_string("hep-ph/%07dv1", "id")).alias("part"))
+    assert many.distinct().count() == sink.OTHER_PARTS
     assert sorted(p.name for p in (tmp_path / "collection" / "part=2402").iterdir()) == untouched
 
 

@@ -11,6 +11,7 @@ from test_filters_and_pages import ENTRY, PAGE
 from paperloom.functions.encoders import hash_encoder
 from paperloom.plans import bulk, daily
 from paperloom.schemas import RAW
+from paperloom.sinks.articles import stored_collection
 from paperloom.sinks.feed import FileClient, read_fed
 from paperloom.sources.jsonl import scan_articles, scan_dated_partition
 from paperloom.sources.vectors import scan_embeddings
@@ -37,11 +38,14 @@ def test_bulk_run(spark, tmp_path):
     ]
     counted = bulk.feed_articles(spark, articles, vectors, FileClient, path=fed)
     assert tuple(counted) == (4, 3, 1)
+    collection = str(tmp_path / "collection")
+    bulk.collect_articles(spark, articles, collection)
+    assert stored_collection(spark, collection).count() == 3
     found = {r.id: r.fields.abstract_embedding["values"] for r in read_fed(spark, fed).collect()}
     encoded = hash_encoder()()(["text 0", "text 1", "text 3"])
     ids = ["2401.00000v2", "2401.00001v2", "2401.00003v2"]
     assert found == {i: e.tolist() for i, e in zip(ids, encoded, strict=True)}
-    document = json.loads(next((tmp_path / "fed").glob("0*.jsonl")).read_text().splitlines()[0])
+    document = json.loads(next((tmp_path / "fed").glob("*/0*.jsonl")).read_text().splitlines()[0])
     assert "authors_parsed" not in document["fields"]
 
 
@@ -85,6 +89,19 @@ def test_daily_run_is_repeatable(spark, tmp_path):
     ]
     daily.run_daily(spark, pages, out, cursor, "2024-07-02", page_size=2)
     assert scan_dated_partition(spark, out, "2024-07-01").count() > 0
+    # the steps behind it, by run date: repeating one run leaves the others as they are
+    vectors, fed, collection = (str(tmp_path / n) for n in ("vectors", "fed", "collection"))
+    for run_date in ("2024-07-01", "2024-07-02", "2024-07-01"):
+        wanted = scan_dated_partition(spark, out, run_date)
+        daily.embed_day(spark, out, vectors, run_date, hash_encoder())
+        counted = daily.feed_day(spark, out, vectors, run_date, FileClient, path=fed)
+        assert counted.processed == counted.ingested == wanted.count() > 0
+        daily.collect_day(spark, out, collection, run_date)
+    runs = [sorted(r.id for r in scan_dated_partition(spark, out, d).collect()) for d in ("2024-07-01", "2024-07-02")]
+    assert sorted(r.id for r in read_fed(spark, fed).collect()) == sorted(runs[0] + runs[1])
+    stored = stored_collection(spark, collection)
+    assert sorted(r.id for r in stored.collect()) == sorted({*runs[0], *runs[1]})
+    assert stored.agg({"load_seq": "max"}).first()[0] == 2
 
 
 def test_daily_run_loses_no_page(spark, tmp_path):
