@@ -39,7 +39,7 @@ from paperloom.session import stored_once
 #: Pairs that every task is given: those that make up at least one in so many links.
 FREQUENT = 1 << 19
 #: Words whose ids a worker keeps, characters encoded at a time, pairs a task counts before it emits.
-KEPT_WORDS, PIECE, KEPT_PAIRS = 500_000, 2 << 20, 1 << 20
+KEPT_WORDS, PIECE, KEPT_PAIRS = 400_000, 1 << 20, 1 << 20
 
 _SPACED = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
