@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 # The patterns of the known kinds, in order.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Where a run of digits fails from its first one it fails from all, so it is tried once.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -61,7 +62,8 @@ def detect(text: str) -> list[Span]:
     if _DIGIT.search(text):
         if "." in text:
             for m in IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+                if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                     found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:

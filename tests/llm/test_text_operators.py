@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -217,3 +218,17 @@ def test_shingles_of_whole_texts():
         assert len(s) == len(expected)
         assert seen.setdefault(frozenset(expected), s.tobytes()) == s.tobytes()
     assert sum(len(f) - 1 for _, _, f in word_hashes(pa.array(texts))) == len(texts)
+
+
+def test_identifiers_in_long_runs_of_digits():
+    """One pass over a run, whatever follows it; the matches are those of the plain pattern."""
+    plain = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("0123456789.. a") for _ in range(60)) for _ in range(400)]
+    texts += ["1.2.3.4.5.6.7.8", "x" + "0" * 5000 + ".1.2.3", "1" * 300 + ".2.3.4 9.9.9.9"]
+    for text in texts:
+        want = [m.span() for m in plain.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        assert [(a, b) for a, k, b in detect(text) if k == 1] == want, text
+    began = time.perf_counter()
+    assert [k for _, k, _ in detect("1" * 2_000_000 + ".")] == []
+    assert time.perf_counter() - began < 10
