@@ -3,9 +3,10 @@
 Passages of ``PASSAGE`` words become TF-IDF vectors over the benchmark's words, weighted by how
 many of all documents hold a word. A randomised SVD of the benchmark's passages, computed by Spark
 tasks that multiply their rows, gives a latent space. Every passage of every document is
-projected into it and compared with the benchmark's passages by cosine. Around each candidate
+projected into it and compared with the benchmark's passages by cosine. Around the candidates
 the longest common subsequence with the whole item decides, and for looser matches
-(paraphrases) also the one with the item's answer, its last sentence.
+(paraphrases) also the one with the item's answer, its last sentence. It is computed where the
+words shared with the item, counted as often as both have them, leave it possible.
 
 A space is fitted for every block of items, so that it keeps most of their energy however large
 the benchmark is. Documents are read once for a group of blocks. It is not fitted on the corpus as well: the leading directions of a corpus are
@@ -29,9 +30,10 @@ PASSAGE, STEP = 32, 16
 #: Items of a block, and latent dimensions; a block of usual items has few more passages.
 BLOCK_ITEMS, RANK, OVERSAMPLE, POWERS = 128, 128, 16, 2
 GROUP_ITEMS = 2_048
-#: Known words that are projected, and windows that are compared, at a time.
-ROWS, WINDOWS = 16_384, 2_048
-#: A candidate has this cosine and this share of the item passage's latent energy.
+#: Known words that are projected, windows that are compared, and words around candidates, at a time.
+ROWS, WINDOWS, FLAT = 512, 2_048, 1 << 18
+#: A candidate has this cosine, less for items below a passage's length by the root of the words
+#: they fill of it, and this share of the item passage's latent energy.
 COSINE, ENERGY = 0.4, 0.3
 #: Share of the item's words in common order that decides alone, and with the answer's share.
 ALONE, LOOSE, ANSWER = 0.75, 0.5, 0.8
@@ -190,14 +192,13 @@ def _fit(spark: SparkSession, items: tuple, vocabulary: np.ndarray, weights: np.
     return Block(items, vocabulary, basis, latent.astype(np.float32), np.array(owner))
 
 
-def _latent_windows(block: Block, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _latent_windows(block: Block, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and latent vector of every window of a run of documents; each shares half with the next."""
-    place, known = _look_up(block.vocabulary, words)
     counts = np.diff(first)
     steps = -(-counts // STEP)
     begin = np.cumsum(steps) - steps
     owner = np.repeat(np.arange(len(counts)), counts)
-    here = np.flatnonzero(known)
+    here = np.flatnonzero(place < len(block.vocabulary))
     step = begin[owner[here]] + (here - first[owner[here]]) // STEP
     total = np.zeros((int(steps.sum()) + 1, block.basis.shape[1]), dtype=np.float32)
     for i in range(0, len(here), ROWS):
@@ -213,29 +214,37 @@ def _latent_windows(block: Block, words: np.ndarray, first: np.ndarray) -> tuple
     return first[doc] + inner * STEP, total[at] + total[following]
 
 
-def _candidates(block: Block, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """Document, passage start, item and cosine of every candidate of a run of documents."""
-    if not len(words):
-        return
-    starts, latent = _latent_windows(block, words, first)
+def _candidates(block: Block, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage start, item and cosine of every candidate of a run of documents."""
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+    starts, latent = _latent_windows(block, place, first)
     energy = (block.passages * block.passages).sum(1)
     lengths = np.sqrt((latent * latent).sum(1))
+    # other words fill the window around an item that is shorter than it
+    filled = np.array([min(1.0, len(words) / PASSAGE) for _, words, _ in block.items])[block.owner]
+    least = (COSINE * np.sqrt(filled)).astype(np.float32)
     for i in range(0, len(starts), WINDOWS):
         inner = latent[i : i + WINDOWS] @ block.passages.T
-        both = lengths[i : i + WINDOWS, None] * np.sqrt(energy)
-        near = (both > 1e-6) & (inner >= COSINE * both) & (inner >= ENERGY * energy)
-        for w, p in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
-            start = int(starts[i + w])
-            yield int(np.searchsorted(first, start, "right")) - 1, start, int(block.owner[p]), float(inner[w, p] / both[w, p])
+        w, p = np.nonzero(inner >= ENERGY * energy)
+        both, inner = lengths[i + w] * np.sqrt(energy[p]), inner[w, p]
+        near = (both > 1e-6) & (inner >= least[p] * both)
+        w, p = w[near], p[near]
+        found.append((starts[i + w], block.owner[p], inner[near] / both[near]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def common_order(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a row at a time in the bits of a number."""
+def _bits(words: list[int]) -> dict[int, int]:
+    """The places of each word, as the bits of a number."""
     where: dict[int, int] = {}
-    for i, w in enumerate(a.tolist()):
+    for i, w in enumerate(words):
         where[w] = where.get(w, 0) | 1 << i
-    row, full = 0, (1 << len(a)) - 1
-    for w in b.tolist():
+    return where
+
+
+def _in_order(where: dict[int, int], size: int, words: list[int]) -> int:
+    """Length of the longest common subsequence, a row at a time in the bits of a number."""
+    row, full = 0, (1 << size) - 1
+    for w in words:
         hit = where.get(w)
         if hit is None:
             continue
@@ -244,22 +253,116 @@ def common_order(a: np.ndarray, b: np.ndarray) -> int:
     return row.bit_count()
 
 
-def _best_match(item: np.ndarray, answer: np.ndarray, words: np.ndarray, around: int) -> tuple[float, float, int]:
-    """Best share of the item in common order near a passage, the answer's share, and where."""
-    size = len(item)
-    width = size if size < SHORT else -(-5 * size // 4)
-    lowest, highest = max(0, around - width), min(len(words), around + PASSAGE + width)
-    step = 1 if size < SHORT else max(1, size // 8)
-    best = (0.0, 0.0, lowest)
-    for start in range(lowest, max(lowest, highest - width) + step, step):
-        part = words[start : start + width]
-        share = common_order(item, part) / size
-        if share > best[0]:
-            said = common_order(answer, part) / len(answer) if len(answer) else 1.0
-            best = (share, said, start)
-            if share == 1.0:
-                break
-    return best
+def common_order(a: np.ndarray, b: np.ndarray) -> int:
+    return _in_order(_bits(a.tolist()), len(a), b.tolist())
+
+
+def _width(size: int) -> tuple[int, int]:
+    """Words of a window in which an item is looked for, and the distance of their starts."""
+    return (size, 1) if size < SHORT else (-(-5 * size // 4), max(1, size // 8))
+
+
+def _regions(starts: np.ndarray, near: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Document, start, end and best cosine of the regions around an item's candidates, merged where they meet."""
+    order = np.argsort(starts, kind="stable")
+    starts, near = starts[order], near[order]
+    doc = np.searchsorted(first, starts, "right") - 1
+    low = np.maximum(first[doc], starts - width)
+    high = np.minimum(first[doc + 1], starts + PASSAGE + width)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (low[1:] > high[:-1])]))
+    return doc[new], low[new], np.maximum.reduceat(high, new), np.maximum.reduceat(near, new)
+
+
+def _shared(spot: np.ndarray, times: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each word of an item, where the window must begin at the latest for it to be one too many.
+
+    A word that the item has t times counts in a window if fewer than t equal ones stand before
+    it there: if the t-th before it lies before the window (-1: there is none).
+    """
+    order = np.lexsort((spot, place, owner))
+    spot, times, owner, place = spot[order], times[order], owner[order], place[order]
+    before = np.arange(len(spot)) - times
+    valid = before >= 0
+    valid[valid] = (owner[before[valid]] == owner[valid]) & (place[before[valid]] == place[valid])
+    last = np.full(len(spot), -1, dtype=np.int64)
+    last[valid] = spot[before[valid]]
+    out = np.empty(len(spot), dtype=np.int64)
+    out[order] = last
+    return out
+
+
+def _windows_sharing(
+    low: np.ndarray, high: np.ndarray, place: np.ndarray, times: np.ndarray, size: int, need: int
+) -> Iterator[tuple[int, int, int, int]]:
+    """Region, start, end and bound of the windows that share ``need`` words with the item.
+
+    The bound counts an item's word as often as both have it, so the common order is never longer.
+    """
+    width, step = _width(size)
+    length = high - low
+    begin = np.cumsum(length) - length
+    owner = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(owner)) + (low - begin)[owner]
+    held = times[place[at]]
+    spot = np.flatnonzero(held)
+    sums = np.concatenate([[0], np.cumsum(held > 0)])
+    number = 1 + -(-np.maximum(0, length - width) // step)
+    region = np.repeat(np.arange(len(length)), number)
+    inner = np.arange(len(region)) - np.repeat(np.cumsum(number) - number, number)
+    start = begin[region] + inner * step
+    end = np.minimum(start + width, (begin + length)[region])
+    some = sums[end] - sums[start] >= need
+    region, start, end = region[some], start[some], end[some]
+    if not len(start):
+        return
+    last = np.full(len(held) + 1, len(held), dtype=np.int64)
+    last[spot] = _shared(spot, held[spot], owner[spot], place[at[spot]])
+    rows = max(1, FLAT // width)
+    for i in range(0, len(start), rows):
+        own = np.minimum(start[i : i + rows, None] + np.arange(width), len(held))
+        inside = own < end[i : i + rows, None]
+        bound = ((last[own] < start[i : i + rows, None]) & inside).sum(1)
+        for j in np.flatnonzero(bound >= need):
+            r = int(region[i + j])
+            shift = int(low[r] - begin[r])
+            yield r, int(start[i + j]) + shift, int(end[i + j]) + shift, int(bound[j])
+
+
+def _matches(
+    block: Block, place: np.ndarray, first: np.ndarray
+) -> Iterator[tuple[int, int, float, float, float, int]]:
+    """Document, item id, share, answer's share, cosine and start of all that holds near candidates.
+
+    Of the windows of a region that hold, the one with the largest share counts, then the first.
+    """
+    starts, items, near = _candidates(block, place, first)
+    times = np.zeros(len(block.vocabulary) + 1, dtype=np.int64)
+    for k in np.unique(items).tolist():
+        item_id, item, answer = block.items[k]
+        size = len(item)
+        words, said = _look_up(block.vocabulary, item)[0], _look_up(block.vocabulary, answer)[0]
+        where, where_said = _bits(words.tolist()), _bits(said.tolist())
+        times[:] = np.bincount(words, minlength=len(times))
+        need = size if size < SHORT else int(np.ceil(LOOSE * size))
+        doc, low, high, cosine = _regions(starts[items == k], near[items == k], first, _width(size)[0])
+        parts = np.flatnonzero(np.diff(np.cumsum(high - low) // FLAT, prepend=-1))
+        for a, b in zip(parts, [*parts[1:], len(doc)], strict=True):
+            best: dict[int, tuple[float, float, int]] = {}
+            open_ = _windows_sharing(low[a:b], high[a:b], place, times, size, need)
+            for r, start, end, bound in sorted(open_, key=lambda w: (-w[3], w[1])):
+                known = best.get(r)
+                if known and bound / size <= known[0]:
+                    continue
+                part = place[start:end]
+                share = _in_order(where, size, part[times[part] > 0].tolist()) / size
+                if share < LOOSE or known and share <= known[0]:
+                    continue
+                told = _in_order(where_said, len(said), part.tolist()) / len(said) if len(said) else 1.0
+                if _holds(size, share, told):
+                    best[r] = (share, told, start)
+            for r, (share, told, start) in best.items():
+                d = int(doc[a + r])
+                yield d, item_id, share, told, float(cosine[a + r]), start - int(first[d])
 
 
 def _holds(size: int, share: float, answer: float) -> bool:
@@ -288,20 +391,12 @@ def leaks_in(blocks: list[Block], text: Column) -> Column:
             found: list[list[dict]] = []
             for _, words, first in word_hashes(texts, MARKS):
                 run: list[dict[int, dict]] = [{} for _ in range(len(first) - 1)]
-                tried: set[tuple] = set()
-                met = (((b, k), d, s, c) for b, block in enumerate(blocks) for d, s, k, c in _candidates(block, words, first))
-                for key, doc, start, cosine in met:
-                    item_id, item, answer = blocks[key[0]].items[key[1]]
-                    own, at = words[first[doc] : first[doc + 1]], start - int(first[doc])
-                    if (doc, key, at) in tried:
-                        continue
-                    tried.add((doc, key, at))
-                    known = run[doc].get(item_id)
-                    if known and known["overlap"] == 1.0:
-                        continue
-                    share, said, place = _best_match(item, answer, own, at)
-                    if _holds(len(item), share, said) and (not known or share > known["overlap"]):
-                        run[doc][item_id] = {"item_id": item_id, "overlap": share, "answer": said, "cosine": cosine, "start": place}
+                for block in blocks if len(words) else ():
+                    place, known = _look_up(block.vocabulary, words)
+                    place = np.where(known, place, len(block.vocabulary))
+                    for doc, item_id, share, said, cosine, start in _matches(block, place, first):
+                        if item_id not in run[doc] or share > run[doc][item_id]["overlap"]:
+                            run[doc][item_id] = {"item_id": item_id, "overlap": share, "answer": said, "cosine": cosine, "start": start}
                 found.extend([d[i] for i in sorted(d)] for d in run)
             yield pa.array(found, kind)
 

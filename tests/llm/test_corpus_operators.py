@@ -206,6 +206,67 @@ def test_leaks_without_telling_words(spark, docs):
     assert {(r.doc_id, r.item_id) for r in leaks(docs(rows), bench).collect()} == {(1000, 1), (1001, 1), (1002, 2), (1003, 2)}
 
 
+def test_leaks_against_every_window(spark, docs):
+    """All documents against all items, at every start: nothing false, nine tenths found, verbatim ones all."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(1500)}"
+    items = [[word() for _ in range(rng.choice([5, 12, 30, 60, 110]))] for _ in range(60)]
+    bench = [(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:])) for i, w in enumerate(items)]
+    rows, whole = [(9000, ""), (9001, None)], set()
+    for doc in range(240):
+        i, lost = doc % 60, 0.12 * (doc // 60)
+        body = [w if rng.random() >= lost else f"x{rng.randrange(999)}" for w in items[i][:-4]] + items[i][-4:]
+        if body == items[i]:
+            whole.add((doc, i))
+        around = [[word() for _ in range(rng.randint(0, 90))] for _ in range(2)]
+        rows.append((doc, " ".join([*around[0], *body, *around[1], *(body if doc % 7 == 0 else ())])))
+    rows.append((8000, " ".join(items[2] * 30 + [word() for _ in range(30_000)] + items[3])))  # long, and the item over and over
+    expected = {}
+    answers = [np.array(w[-4:]) for w in items]
+    for doc, text in rows[2:-1]:
+        words = np.array(text.split())
+        for i, item in enumerate(items):
+            width = decontam._width(len(item))[0]
+            held = np.concatenate([[0], np.cumsum(np.isin(words, item))])
+            starts = np.arange(max(1, len(words) - width + 1))
+            enough = held[np.minimum(starts + width, len(words))] - held[starts] >= decontam.LOOSE * len(item)
+            for s in starts[enough].tolist():
+                part = words[s : s + width]
+                share = decontam.common_order(np.array(item), part) / len(item)
+                if decontam._holds(len(item), share, decontam.common_order(answers[i], part) / 4):
+                    expected[doc, i] = max(share, expected.get((doc, i), 0.0))
+    got = {(r.doc_id, r.item_id): r for r in leaks(docs(rows), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert {i for d, i in got if d == 8000} >= {2, 3}
+    found = {k: r for k, r in got.items() if k[0] != 8000}
+    assert whole <= found.keys() <= expected.keys()
+    assert all(r.overlap <= expected[k] + 1e-9 for k, r in found.items())
+    assert len(found) >= 0.9 * len(expected) and len(expected) > 120
+
+
+def test_windows_that_share_enough():
+    """The bound on a window is the words that both have, as often as both have them."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        place, item = rng.integers(0, 12, 300), rng.integers(0, 10, rng.integers(1, 40))
+        times = np.bincount(item, minlength=13)
+        low = np.array([0, 70, 200])
+        high = np.array([60, 190, 300])
+        width, step = decontam._width(len(item))
+        need = max(1, len(item) // 2)
+        expected = set()
+        for r in range(3):
+            for s in range(low[r], max(low[r], high[r] - width) + step, step):
+                e = min(s + width, high[r])
+                both = int(np.minimum(np.bincount(place[s:e], minlength=13), times).sum())
+                assert decontam.common_order(item, place[s:e]) <= both
+                if both >= need:
+                    expected.add((r, s, e, both))
+        got = list(decontam._windows_sharing(low, high, place, times, len(item), need))
+        assert len(got) == len(set(got)) and {w[:3] for w in expected} - {w[:3] for w in got} == set()
+        assert set(got) == expected
+
+
 def test_common_order():
     rng = random.Random(4)
     for _ in range(200):
