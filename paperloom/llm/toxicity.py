@@ -8,7 +8,9 @@ dictionary, turns the savings into a score.
 
 Bounds: the dictionaries see at most ``DICTIONARY_ROWS`` labelled rows of each class and the
 calibration ``CALIBRATION_ROWS`` more, chosen by a hash of the id; of a text over ``FIT_CHARS``
-characters fitting takes evenly spaced pieces. Scoring reads every window of every text.
+characters fitting takes evenly spaced pieces. Of more than ``DICTIONARY_WINDOWS`` windows of
+ordinary rows the dictionary is trained on evenly spaced ones, from all of the rows. Scoring
+reads every window of every text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ WINDOW = 96
 DICTIONARY_ROWS = 2_000
 CALIBRATION_ROWS = 2_000
 FIT_CHARS = 64_000
+DICTIONARY_WINDOWS = 120_000
 ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 2_048
 #: Byte n-grams that mark toxic wording.
@@ -90,7 +93,8 @@ def fit(rows: list[tuple[str, int]], share: float) -> ToxicityModel:
     if not all(spare):
         odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return ToxicityModel(b"", b"", (float(odds),))
-    ordinary = _dictionary([w for t in trained[0] for w in windows(t)][:60_000], ORDINARY_BYTES)
+    seen = [w for t in trained[0] for w in windows(t)]
+    ordinary = _dictionary(seen[:: -(-len(seen) // DICTIONARY_WINDOWS) or 1], ORDINARY_BYTES)
     toxic = _dictionary(_toxic_wording(*trained), TOXIC_BYTES)
     model = ToxicityModel(ordinary, toxic, ())
     texts = spare[0] + spare[1]
