@@ -6,8 +6,14 @@ Seeds. Unrelated texts are all at distance 1 of each other, so pivots drawn from
 would tell none of them apart. Regions therefore start around shared rare shingles: sets that
 link share one of the first ``n - ceil(threshold * n) + 1`` shingles of either in any common
 order. The order puts shingles of locally frequent hash slots last, then follows the hash. The
-seeds of two sets also bound their distance from both sides, so whole sets are only compared
-where the seeds allow a link.
+first shingle that two linking sets share is, in the smaller one, even among the first
+``(1 - threshold) / (1 + threshold) * n + 1``: a set stays in a region only if it, or a smaller
+set of a fitting size, has the region's shingle that early. The seeds of two sets also bound
+their distance from both sides, so whole sets are only compared where the seeds allow a link.
+
+Clubs. One pivot for each region comes first. Sets that share many regions with their pivot are
+compared with it; what links forms clubs, across all regions. Regions within one club are done,
+and no pair of one club is looked at again.
 
 Large regions take pivots from their own sets, one for every ``PER_PIVOT``. A set's home is the
 nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot may be no further
@@ -51,6 +57,11 @@ TINY = 3
 #: Rounds of pivots before large regions are split into blocks, and before small ones list
 #: what is left; open pairs of a part that are listed at once.
 ROUNDS, FEW = 4, 500
+#: Rounds of one pivot a region, and the share of the smaller set's seeds that a set must have
+#: in regions of its pivot to be compared with it then. It orders the work and loses nothing.
+CLUB_ROUNDS, CLUB_SHARE = 2, 0.25
+#: Shingles whose owners are multiplied at a time.
+COLUMNS = 4_096
 SLACK = 1e-9
 
 
@@ -230,9 +241,14 @@ def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) ->
     _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
     met = times[token] > 1
     kept, token = np.unique(token[met], return_inverse=True)
-    held = np.zeros((len(seeds), len(kept)), dtype=np.float32)
-    held[owner[met], token] = 1
-    both = (held @ held.T).astype(np.int64)
+    owner, by_token = owner[met], np.argsort(token, kind="stable")
+    owner, token = owner[by_token], token[by_token]
+    both = np.zeros((len(seeds), len(seeds)), dtype=np.int64)
+    for start in range(0, len(kept), COLUMNS):
+        some = slice(*np.searchsorted(token, [start, start + COLUMNS]))
+        held = np.zeros((len(seeds), min(COLUMNS, len(kept) - start)), dtype=np.float32)
+        held[owner[some], token[some] - start] = 1
+        both += (held @ held.T).astype(np.int64)
     lasts = np.array([s[-1] for s in seeds])
     # all seeds of the first set of a pair come before the last one of the second
     before = np.array([np.searchsorted(s, lasts, "right") for s in seeds]).T
@@ -285,7 +301,7 @@ def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[i
 
 
 def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a, b`` within small regions (``region, node``)."""
+    """Links ``a, b`` between clubs within small regions (``region, node, club``)."""
 
     def work(list_all: bool):
         names = ["region", "part", "pivot", "node", "pivot_club", "club", "again"]
@@ -314,7 +330,7 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
         return one
 
     schema = "region bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
-    members = regions.select("region", "node", F.col("node").alias("club"), F.lit(None).cast("double").alias("d"))
+    members = regions.select("region", "node", "club", F.lit(None).cast("double").alias("d"))
     links = None
     for turn in range(ROUNDS + 1):
         filled = members.join(seeds.select("node", "n", "seeds"), "node")
@@ -336,9 +352,10 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
 
 
 def _join_tiny(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a, b`` within regions of ``TINY`` sets: three pairs at most, most of them shared."""
-    other = regions.select("region", F.col("node").alias("pivot"))
-    pairs = regions.select("region", "node", "n").join(other, "region").where(F.col("pivot") < F.col("node"))
+    """Links ``a, b`` between clubs in regions of ``TINY`` sets: three pairs at most, most shared."""
+    other = regions.select("region", F.col("node").alias("pivot"), F.col("club").alias("pivot_club"))
+    pairs = regions.select("region", "node", "n", "club").join(other, "region")
+    pairs = pairs.where((F.col("pivot") < F.col("node")) & (F.col("club") != F.col("pivot_club")))
     bounds = _seed_bounds(stored_once(pairs.select("pivot", "node", "n").distinct(), "met"), seeds, percent)
     least, total = F.col("least"), F.col("n") + F.col("n_pivot")
     possible = bounds.where((100 + percent) * least <= (100 - percent) * total).select("pivot", "node")
@@ -360,35 +377,84 @@ def _by_blocks(regions: DataFrame, percent: int) -> DataFrame:
         bands.join(size.select("region", "band", parts.alias("parts")), ["region", "band"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("region", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+        .select("region", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "club")
     )
 
 
 def _distinct_regions(regions: DataFrame) -> DataFrame:
-    """Regions of two sets or more; of those with the same sets, one: the shingles of a passage
+    """Regions of two clubs or more; of those with the same sets, one: the shingles of a passage
     that several texts share all start the same region."""
     sums = regions.groupBy("region").agg(
-        F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("sum")
+        F.count("*").alias("size"),
+        F.sum("n").alias("total"),
+        F.bit_xor(F.xxhash64("node")).alias("sum"),
+        F.min("club").alias("low"),
+        F.max("club").alias("high"),
     )
-    kept = sums.where(F.col("size") > 1).groupBy("size", "total", "sum").agg(F.min("region").alias("region"))
+    parted = sums.where(F.col("low") < F.col("high"))
+    kept = parted.groupBy("size", "total", "sum").agg(F.min("region").alias("region"))
     return regions.join(kept.select("region", "size"), "region")
 
 
+def _first_regions(seeded: DataFrame, percent: int) -> DataFrame:
+    """``region, node, n``: sets by the seeds that they share, where those may be the first ones."""
+    rows = seeded.where(F.col("n") > 0).select("node", "n", F.posexplode("seeds").alias("pos", "region"))
+    early = (100 + percent) * F.col("pos").cast("bigint") <= (100 - percent) * F.col("n")
+    shared = rows.groupBy("region").agg(
+        F.min("node").alias("low"),
+        F.max("node").alias("high"),
+        F.min(F.when(early, F.col("n"))).alias("least"),
+        F.max(F.when(early, F.col("n"))).alias("most"),
+    )
+    # without an early set, least and most are null
+    shared = shared.where((F.col("low") < F.col("high")) & F.col("least").isNotNull())
+    fits = (F.col("n") >= F.col("least")) & (percent * F.col("n") <= 100 * F.col("most"))
+    joined = rows.join(shared.select("region", "least", "most"), "region").where(early | fits)
+    return joined.select("region", "node", "n").distinct()
+
+
+def _club_links(members: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int, turn: int) -> DataFrame:
+    """Links ``a, b`` of sets with the pivot of many of their regions (``region, node, n, club``).
+
+    The pivot is from the club that comes first by a hash, the same in all regions it is in.
+    """
+    rank = F.struct(F.xxhash64("club", F.lit(turn)).alias("by"), F.xxhash64("node", F.lit(turn)).alias("and"), "node", "club")
+    pivots = members.groupBy("region").agg(F.min(rank).alias("first"))
+    pivots = pivots.select("region", F.col("first.node").alias("pivot"), F.col("first.club").alias("pivot_club"))
+    met = members.join(pivots, "region").where(F.col("club") != F.col("pivot_club"))
+    pairs = met.groupBy("pivot", "node").agg(F.min("n").alias("n"), F.count("*").alias("times"))
+    many = F.col("times") >= CLUB_SHARE * (100 - percent) / 100 * F.col("n")
+    pairs = stored_once(pairs.where(many).select("pivot", "node", "n"), "met")
+    bounds = _seed_bounds(pairs, seeds, percent)
+    least, total = F.col("least"), F.col("n") + F.col("n_pivot")
+    possible = bounds.where((100 + percent) * least <= (100 - percent) * total).select("pivot", "node")
+    exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
+    return exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
 def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``a, b`` that connect the same sets as all linking pairs do.
 
     ``seeded`` is the table of ``shingled``. Pairs that link to a common pivot are not listed.
     """
     far = 1 - percent / 100
-    rows = seeded.where(F.col("n") > 0).select("node", "n", F.explode("seeds").alias("region"))
-    shared = rows.groupBy("region").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where(F.col("low") < F.col("high")).select("region")
-    first = stored_once(rows.join(shared, "region").distinct(), "members")
-    members = stored_once(_distinct_regions(first), "regions")
+    first = _first_regions(seeded, percent)
+    members = stored_once(first.withColumn("club", F.col("node")), "members")
     seeds = seeded.join(members.select("node").distinct(), "node").dropDuplicates(["node"])
     seeds = stored_once(seeds.select("node", "n", "copy", "seeds"), "seeds")
+    club_links = None
+    for turn in range(CLUB_ROUNDS):
+        found = _club_links(members, seeds, texts, words, percent, turn)
+        club_links = found if club_links is None else club_links.unionByName(found)
+        clubs = connected_components(club_links).withColumnRenamed("label", "new")
+        named = members.join(clubs, "node", "left")
+        named = named.select("region", "node", "n", F.coalesce("new", "club").alias("club"))
+        parted = named.groupBy("region").agg(F.min("club").alias("low"), F.max("club").alias("high"))
+        parted = parted.where(F.col("low") < F.col("high")).select("region")
+        members = stored_once(named.join(parted, "region"), "clubs")
+    members = stored_once(_distinct_regions(members), "regions")
     total = F.col("n") + F.col("n_pivot")
-    links = _join_tiny(members.where(F.col("size") <= TINY), seeds, texts, words, percent)
+    links = club_links.unionByName(_join_tiny(members.where(F.col("size") <= TINY), seeds, texts, words, percent))
     small = members.where((F.col("size") > TINY) & (F.col("size") <= BLOCK))
     links = links.unionByName(_join_small(small, seeds, texts, words, percent))
     members = members.where(F.col("size") > BLOCK)
@@ -423,7 +489,7 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         outside = cells.where(~F.col("near")).groupBy("region", "pivot").agg(F.min("lower").alias("gap"))
         stay = cells.join(outside, ["region", "pivot"])
         stay = stay.where(~F.col("near") | (F.col("lower") >= F.col("gap") - far - SLACK))
-        next_regions = stored_once(stay.select(F.xxhash64("region", "pivot").alias("region"), "node", "n"), "cells")
+        next_regions = stored_once(stay.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "club"), "cells")
         members = stored_once(_distinct_regions(next_regions), "regions")
         links = links.unionByName(_join_small(members.where(F.col("size") <= BLOCK), seeds, texts, words, percent))
         members = members.where(F.col("size") > BLOCK)

@@ -77,10 +77,12 @@ def copies(seed, groups, members):
     return [(100 + i if i % 17 else None, t) for i, t in enumerate(texts)] + [(102, texts[2]), (102, texts[2]), (7, texts[5])]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_jaccard_components(docs, monkeypatch, small):
+@pytest.mark.parametrize(("small", "share"), [(False, 0.25), (True, 9), (True, 0)])
+def test_jaccard_components(docs, monkeypatch, small, share):
+    monkeypatch.setattr(jaccard, "CLUB_SHARE", share)  # 9: clubs find next to nothing, 0: all they meet
     if small:  # every way of joining on a few rows
-        for name, value in (("BLOCK", 4), ("TINY", 2), ("PER_PIVOT", 3), ("ROUNDS", 2), ("FREQUENT", 4)):
+        ways = (("BLOCK", 4), ("TINY", 2), ("PER_PIVOT", 3), ("ROUNDS", 2), ("FREQUENT", 4), ("COLUMNS", 7))
+        for name, value in ways:
             monkeypatch.setattr(jaccard, name, value)
     rows = copies(1, 12, 9)
     got = sorted(map(str, (tuple(r) for r in jaccard_components(docs(rows), 4, 85).drop("copy", "group").collect())))
