@@ -368,13 +368,15 @@ def drop_authors_parsed(spark, sf_dir):
 def feed_document(spark, sf_dir):
     kept = attach.attach_embeddings(v.articles(spark, sf_dir), v.vectors(spark, sf_dir), check=False)
     document = art.feed_document(kept).select(F.to_json(F.struct("id", "fields")).alias("d"))
-    first_value = F.get_json_object("d", "$.fields.abstract_embedding.values[0]")
+    values = F.from_json(F.get_json_object("d", "$.fields.abstract_embedding.values"), "array<float>")
+    categories = F.from_json(F.get_json_object("d", "$.fields.categories"), "array<string>")
+    units = F.transform(values, lambda x: F.floor(x.cast("double") * 100_000 + 0.5).cast("string"))
     return document.select(
         F.get_json_object("d", "$.id").alias("id"),
         F.get_json_object("d", "$.fields.link").alias("link"),
-        F.get_json_object("d", "$.fields.categories[0]").alias("first_category"),
+        F.array_join(categories, ",").alias("categories"),
         F.get_json_object("d", "$.fields.abstract").alias("abstract"),
-        F.round(first_value.cast("float").cast("double"), 5).alias("first_value"),
+        F.array_join(units, ",").alias("vector_units"),
     )
 
 

@@ -291,8 +291,8 @@ SELECT link AS id, array_to_string(categories, '|') AS categories,
     "drop_authors_parsed": f"""WITH {ARTICLES}
 SELECT *, 16 AS n_columns FROM ({flat('articles')})""",
     "feed_document": f"""WITH {ARTICLES}
-SELECT id, link, categories[1] AS first_category, abstract,
-  round(embedding[1]::DOUBLE, 5) AS first_value
+SELECT id, link, array_to_string(categories, ',') AS categories, abstract,
+  array_to_string([floor(x::DOUBLE * 100000 + 0.5)::BIGINT::VARCHAR for x in embedding], ',') AS vector_units
 FROM articles JOIN embeddings ON vec_id = doc_id""",
     "passage_prefix": f"""WITH {ARTICLES}
 SELECT id, abstract AS plain, '{PASSAGE_PREFIX}' || abstract AS prefixed FROM articles""",
