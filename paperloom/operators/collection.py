@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,17 @@ def union_origins(bulk: DataFrame, daily: DataFrame) -> DataFrame:
     return bulk.select(*columns).unionByName(daily.select(*columns))
 
 
-def latest_by_id(loads: DataFrame) -> DataFrame:
+def latest_by_id(loads: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One row per id: the one from the latest load.
 
     The filter on the first row lets every task drop all but its own best row per id
     before the shuffle, so an id with very many copies is no hot key. Rows of one load
     that share an id are ordered by update date, then by content, so a retried task
-    chooses the same row again.
+    chooses the same row again. Columns ``within`` follow from the id: rows that were brought
+    together by them are not shuffled again.
     """
-    columns = [c for c in loads.columns if c != "load_seq"]
-    latest = Window.partitionBy("id").orderBy(
+    columns = [c for c in loads.columns if c not in ("load_seq", *within)]
+    latest = Window.partitionBy(*within, "id").orderBy(
         F.col("load_seq").desc(),
         F.col("update_date_ts").desc_nulls_last(),
         F.col("origin").asc(),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,6 @@ from pyspark.sql import types as T
 from paperloom.constants import VECTOR_CHUNK_ROWS
 from paperloom.operators.collection import latest_by_id
 from paperloom.schemas import ARTICLE
-from paperloom.session import stored_once
 
 #: The stored collection: articles, the load each came from, and the storage partition.
 STORED = T.StructType(
@@ -25,6 +27,13 @@ STORED = T.StructType(
 #: Folders of the ids that have no month.
 OTHER_PARTS = 256
 
+#: Rows that are merged and written together, about 40 MB of them.
+ROWS_PER_PLACE = 20_000
+PLACE = "_place"
+
+#: Copies of one id in one load that still go through the shuffle.
+MAX_COPIES = 1_000
+
 
 def write_jsonl(articles: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line, with a key for every field, null or not."""
@@ -85,6 +94,11 @@ def upsert_articles(
     four-digit months and numbered parts, at most 10,256, so they are fetched and prune the scan.
     Repeating a load leaves the collection as it was. New files replace a folder only
     after all tasks are done; a lost executor costs a retry, not data.
+
+    The ids are looked through first, the rows then: whole rows are shuffled once, to the places
+    they are written from, which hold all copies of an id. An id with very many copies in
+    ``incoming`` is reduced to one before that. If ``incoming`` is another table the second
+    time, with rows of a folder that the first time did not name, the load fails.
     """
     load_seq = next_load(spark, path) if load_seq is None else load_seq
     new = incoming.select(
@@ -93,21 +107,48 @@ def upsert_articles(
         storage_part(F.col("id")).alias("part"),
     )
     stored = stored_collection(spark, path)
+    copies = new.groupBy("part", "id").agg(F.count("*").alias("copies"))
+    sizes = copies.groupBy("part").agg(
+        F.count("*").alias("n_rows"), F.max("copies").alias("copies")
+    ).collect()
+    n_rows = {row.part: row.n_rows for row in sizes}
+    if any(row.copies > MAX_COPIES for row in sizes):
+        new = latest_by_id(new)
     if stored is not None:
-        if not new.isStreaming:
-            new = stored_once(new, "incoming")  # looked through for its folders, and merged
-        touched = [row.part for row in new.select("part").distinct().collect()]
-        new = stored.where(F.col("part").isin(touched)).unionByName(new)
+        touched = stored.where(F.col("part").isin(list(n_rows)))
+        for row in touched.groupBy("part").agg(F.count("*").alias("n_rows")).collect():
+            n_rows[row.part] += row.n_rows
+        new = touched.unionByName(new)
     (
-        latest_by_id(new)
-        .hint("rebalance", "part")
+        latest_by_id(_placed(new, n_rows), [PLACE])
+        .drop(PLACE)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("part")
         .parquet(path)
     )
 
 
+def _placed(rows: DataFrame, n_rows: dict[str, int]) -> DataFrame:
+    """Rows brought together by folder, and by a hash of the id where a folder is large."""
+    spark = rows.sparkSession
+    places = [math.ceil(n / ROWS_PER_PLACE) for n in n_rows.values()]
+    known = spark.createDataFrame(
+        pa.table({"part": pa.array(n_rows, pa.string()), "_places": pa.array(places, pa.int32())})
+    )
+    place = F.concat_ws(
+        "/", "part", F.pmod(F.xxhash64("id"), F.coalesce("_places", _unknown(F.col("part"))))
+    )
+    placed = rows.join(F.broadcast(known), "part", "left").withColumn(PLACE, place)
+    return placed.select(*STORED.names, PLACE).repartition(PLACE)
+
+
+def _unknown(part: Column) -> Column:
+    message = F.concat(F.lit("the incoming articles changed: no id was in folder "), part)
+    return F.raise_error(message).cast("int")
+
+
 def next_load(spark: SparkSession, path: str) -> int:
     """The number of the next load into the stored collection, whichever ingest brings it."""
     stored = stored_collection(spark, path)

@@ -4,6 +4,7 @@ import gzip
 import json
 import subprocess
 import sys
+from pathlib import Path
 
 import pytest
 from support import plan_of, rows
@@ -182,6 +183,28 @@ def test_upsert(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "collection" / "part=2402").iterdir()) == untouched
 
 
+def test_upsert_shuffles_whole_rows_once(spark, tmp_path, monkeypatch):
+    loads = article(spark, "2401.1v1", "2401.1v1", "2401.2v1").withColumns(
+        {"load_seq": F.lit(1).cast("long"), "part": F.lit("2401")}
+    )
+    monkeypatch.setattr(sink, "ROWS_PER_PLACE", 1)
+    merged = latest_by_id(sink._placed(loads, {"2401": 2}), [sink.PLACE])
+    assert plan_of(merged).count("Exchange hashpartitioning") == 1
+    assert sorted(r.id for r in merged.collect()) == ["2401.1v1", "2401.2v1"]
+    with pytest.raises(Exception, match="articles changed"):
+        sink._placed(loads, {"2402": 1}).collect()
+    # one load holds very many copies of an id; nothing but the collection is written
+    monkeypatch.setattr(sink, "MAX_COPIES", 5)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = list(shared.iterdir())
+    path = str(tmp_path / "collection")
+    for title in ("old", "new"):
+        sink.upsert_articles(spark, path, article(spark, *["2401.1v1"] * 20, "2403.1v1", title=title))
+    stored = sink.stored_collection(spark, path)
+    assert rows(stored.select("id", "title", "load_seq")) == [("2401.1v1", "new", 1), ("2403.1v1", "new", 1)]
+    assert list(shared.iterdir()) == before
+
+
 def test_latest_row_drops_copies_before_the_shuffle(spark):
     loads = union_origins(
         article(spark, *["x"] * 500, "y").withColumn("load_seq", F.lit(1)),
