@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ MAX_BROADCAST_ROWS = 500_000
 #: Copies of the lookup table, and so the number of tasks one hot key is spread over.
 SALTS = 64
 
+#: Rows that a lookup join by article makes in one task, on average.
+ROWS_PER_TASK = 1_000_000
+
 
 def lookup_join(
     large: DataFrame,
@@ -35,3 +40,14 @@ def lookup_join(
         .join(small.withColumn("_salt", copies), [*on, "_salt"])
         .drop("_salt")
     )
+
+
+def by_article(rows: DataFrame, n_joined: int) -> DataFrame:
+    """``rows`` brought together by article id, for a join that makes ``n_joined`` rows of them.
+
+    A posting becomes a row for every request that has its term, so the size of what is shuffled
+    says little about what a task then holds. The tasks are counted by the rows that the join
+    makes; adaptive execution keeps a given number as it is. Whatever is grouped by id and
+    other columns after that needs no further shuffle.
+    """
+    return rows.repartition(max(1, math.ceil(n_joined / ROWS_PER_TASK)), "id")

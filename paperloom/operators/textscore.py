@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import SCORE_DIGITS
-from paperloom.operators.joins import lookup_join
+from paperloom.operators.joins import by_article, lookup_join
 from paperloom.operators.textindex import Matches, bm25
 from paperloom.operators.topk import top_k
 from paperloom.session import stored_once
@@ -66,11 +66,11 @@ def score_matches(asked: Asked) -> DataFrame:
     """Every article with any term of a request: ``query_id, id, text, n_matched, n_terms``.
 
     Postings are brought together by article and the terms are joined to them where they are, so
-    the sums need no further shuffle. The result has a row for nearly every request and article
+    the sums need no further shuffle, in as many tasks as the matches need. The result has a row for nearly every request and article
     where requests hold common words; the searches read it only to count ranks.
     """
-    by_article = asked.matches.postings.drop("categories").repartition("id")
-    return _by_pair(lookup_join(by_article, asked.terms, ["term"], ["id"], asked.bound))
+    postings = by_article(asked.matches.postings.drop("categories"), asked.cost)
+    return _by_pair(lookup_join(postings, asked.terms, ["term"], ["id"], asked.bound))
 
 
 def score_pairs(asked: Asked, pairs: DataFrame, n_pairs: int) -> DataFrame:
