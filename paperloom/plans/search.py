@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paperloom.constants import HITS, RRF_K, SCORE_DIGITS, SEARCH_PROFILES, TARGET_HITS
 from paperloom.functions.text import highlight, query_casefold, show_marks, tokens
 from paperloom.operators.filters import filter_blank_query
-from paperloom.operators.joins import MAX_BROADCAST_ROWS, lookup_join
+from paperloom.operators.joins import MAX_BROADCAST_ROWS, by_article, lookup_join
 from paperloom.operators.nearest import nearest
 from paperloom.operators.textindex import Matches, TextIndex, match_terms, weights
 from paperloom.operators.textscore import (
@@ -72,8 +72,15 @@ def matches_for(index: TextIndex, terms: Terms) -> Matches:
 
 
 def match_requests(matches: Matches, terms: Terms) -> DataFrame:
-    """A row per (request, article, term) that match, with the article's categories."""
-    return lookup_join(matches.postings, terms.rows, ["term"], ["id"], terms.bound)
+    """A row per (request, article, term) that match, with the article's categories.
+
+    They are many times the postings, so they are counted first: tasks get articles by the rows
+    that these make, which need not be spilled to be sorted, nor shuffled to be added up.
+    """
+    found = matches.postings.groupBy("term").agg(F.count("*").alias("df"))
+    n_rows = terms.rows.join(found, "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    postings = by_article(matches.postings, n_rows)
+    return lookup_join(postings, terms.rows, ["term"], ["id"], terms.bound)
 
 
 def ask(index: TextIndex, terms: Terms) -> Asked:

@@ -259,6 +259,25 @@ def test_unknown_profile_fails(spark, corpus):
         )
 
 
+def test_matched_rows_meet_by_article_in_counted_tasks(spark, corpus, monkeypatch):
+    index = textindex.index_articles(corpus["articles"])
+    terms = search.request_terms(corpus["requests"])
+    matches = search.matches_for(index, terms)
+    whole = rows(search.match_requests(matches, terms))
+    asked = search.ask(index, terms)
+    scores = rows(textscore.score_matches(asked))
+    assert asked.cost == len(whole) > 500
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 50)
+    n_tasks = math.ceil(len(whole) / 50)
+    matched = search.match_requests(matches, terms)
+    grouped = matched.groupBy("query_id", "id").agg(F.sum("tf").alias("tf"))
+    assert plan_of(grouped).count("Exchange hashpartitioning") == 1  # of postings, not of matches
+    scored = textscore.score_matches(asked)
+    for parts in (matched, grouped, scored):
+        assert parts.rdd.getNumPartitions() == n_tasks
+    assert (rows(matched), rows(scored)) == (whole, scores)
+
+
 def test_merge_candidates(spark):
     text = spark.createDataFrame([(1, "a", 2.0, 1)], "query_id long, id string, text double, text_rank int")
     near = spark.createDataFrame(
