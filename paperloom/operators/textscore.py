@@ -112,11 +112,12 @@ def candidate_pairs(asked: Asked, k: int, without: DataFrame | None = None) -> D
     The rarest terms are scored first, as many as have ``k`` postings: their k-th best sum is a
     first floor. It splits off the terms that are not looked for; the sums over the others give
     a higher floor. A pair stays if its sum and the largest contributions of the terms left out
-    reach it. ``without`` names pairs that are not wanted.
+    reach it. Postings meet by article for those sums, so nearly all matches are added up where
+    they are found. ``without`` names pairs that are not wanted.
     """
     postings = asked.matches.postings.drop("categories")
 
-    def part(terms: DataFrame) -> DataFrame:
+    def part(postings: DataFrame, terms: DataFrame) -> DataFrame:
         found = lookup_join(postings, terms, ["term"], ["id"], asked.bound)
         sums = found.groupBy(*PAIR).agg(F.sum(contribution()).alias("units"))
         sums = sums if without is None else sums.join(without.select(*PAIR), PAIR, "left_anti")
@@ -130,12 +131,14 @@ def candidate_pairs(asked: Asked, k: int, without: DataFrame | None = None) -> D
     before = F.sum("df").over(rarer.rowsBetween(Window.unboundedPreceding, -1))
     first = asked.terms.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
     smaller = Window.partitionBy("query_id").orderBy("most", "term")
-    split = asked.terms.join(floor_of(part(first)), "query_id", "left").withColumn(
+    split = asked.terms.join(floor_of(part(postings, first)), "query_id", "left").withColumn(
         "left_out", F.coalesce(F.sum("most").over(smaller) < F.col("floor"), F.lit(False))
     )
     split = stored_once(split, "split")
     rest = split.groupBy("query_id").agg(F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(0.0)).alias("rest"))
-    sums = stored_once(part(split.where(~F.col("left_out"))), "sums")
+    looked_for = split.where(~F.col("left_out"))
+    n_found = looked_for.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    sums = stored_once(part(by_article(postings, n_found), looked_for), "sums")
     reached = sums.join(rest, "query_id").join(floor_of(sums), "query_id", "left")
     return reached.where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).select(*PAIR)
 

@@ -249,7 +249,8 @@ def text_ranks(
 
     Ordering all matches of a request in one task would not scale. Instead every match is
     placed between the wanted rows of its request by binary search, matches are counted
-    per gap with partial sums, and the counts are added up over the few gaps.
+    per gap with partial sums, and the counts are added up over the few gaps. Matches behind
+    the last wanted row, mostly nearly all, are not placed.
     """
     key = F.struct((-F.col("text")).alias("worse"), F.col("id"))
     ladders = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(key)).alias("ladder"))
@@ -258,6 +259,7 @@ def text_ranks(
         lookup_join(
             scored, ladders, ["query_id"], ["id"], n_requests, MAX_BROADCAST_ROWS // per_request
         )
+        .where(key <= F.element_at("ladder", -1))
         .select("query_id", gap.alias("gap"))
         .groupBy("query_id", "gap")
         .agg(F.count("*").alias("n"))

@@ -259,6 +259,28 @@ def test_unknown_profile_fails(spark, corpus):
         )
 
 
+def test_fusion_adds_up_and_counts_matches_where_they_are(spark, long_tail, monkeypatch):
+    """Sums of candidates shuffle postings only, and ranks place only what can precede a row."""
+    plans = {}
+
+    def spy(df, label):
+        plans[label] = plan_of(df)
+        return df
+
+    with monkeypatch.context() as patched:
+        patched.setattr(textscore, "stored_once", spy)
+        patched.setattr(joins, "ROWS_PER_TASK", 20)
+        textscore.candidate_pairs(long_tail, 10)
+    assert plans["sums"].count("Exchange hashpartitioning(id#") == 1
+    assert "Exchange hashpartitioning(query_id#" not in plans["sums"].split("BroadcastExchange")[0]
+    scored = textscore.score_matches(long_tail).select("query_id", "id", "text")
+    best = topk.top_k(scored, 7, score="text", rank="text_rank").where("text_rank in (2, 7)")
+    ranked = search.text_ranks(scored, best.select("query_id", "id", "text"), 20, 2)
+    assert "element_at(ladder" in plan_of(ranked)
+    names = ("query_id", "id", "text_rank")
+    assert rows(ranked.select(*names)) == rows(best.select(*names))
+
+
 def test_matched_rows_meet_by_article_in_counted_tasks(spark, corpus, monkeypatch):
     index = textindex.index_articles(corpus["articles"])
     terms = search.request_terms(corpus["requests"])
