@@ -13,7 +13,8 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from paperloom.llm.encoding import encoder
+from paperloom.llm import encoding
+from paperloom.llm.encoding import Encoder, encoder
 from paperloom.llm.html_text import extract_pages, main_text
 from paperloom.llm.lengths import context_totals, length_histogram
 from paperloom.llm.pii import KINDS, detect, disguised, luhn, scan_pii
@@ -38,6 +39,31 @@ def test_words_encode_like_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == whole(texts)
 
 
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    class Counting:
+        def __init__(self):
+            self.library, self.texts = Tokenizer.from_file(PATH), 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+    used = Encoder(PATH)
+    used.tokenizer = Counting()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé,.%\\1") for _ in range(rng.randint(2, 9))) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 300]) + "\n" + "\n".join(words[i : i + 3]) for i in range(0, 6000, 300)]
+    texts += ["", "a\tb  c", " x", "y\n", "it's,it'll", "tab\t,", "\u1680wide \u1680,", "\n\nx\n\n"]
+    for _ in range(2):
+        ids, upto = used.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == whole(texts)
+        monkeypatch.setattr(encoding, "KEPT_WORDS", 50)  # most are dropped and come back
+    assert used.tokenizer.texts < 100
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "again"), (3, "again"), (50, None)]
     write_tokens(docs(rows), str(tmp_path / "t"))
