@@ -10,6 +10,8 @@ first shingle that two linking sets share is, in the smaller one, even among the
 ``(1 - threshold) / (1 + threshold) * n + 1``: a set stays in a region only if it, or a smaller
 set of a fitting size, has the region's shingle that early. The seeds of two sets also bound
 their distance from both sides, so whole sets are only compared where the seeds allow a link.
+A sketch bounds it too: it counts the shingles of the whole set in ``BINS`` bins by their hash,
+and two sets differ in at least as many shingles as their counts differ by.
 
 Clubs. One pivot for each region comes first. Sets that share many regions with their pivot are
 compared with it; what links forms clubs, across all regions. Regions within one club are done,
@@ -23,8 +25,8 @@ through it already; they stay only where a set outside that ball could still rea
 by the triangle inequality. What stays forms the next regions. Regions that do not get smaller
 are split into blocks within windows of the set size.
 
-Small regions are worked on in a task each, round by round: sets that may link by their seeds
-form parts, each part takes a pivot, the distances to it are measured, and the next round leaves
+Small regions are worked on in a task each, round by round: sets that may link by their sketches
+form parts (a pair that meets in several regions counts in the first of them), each part takes a pivot, the distances to it are measured, and the next round leaves
 out pairs that are connected through pivots or that the triangle inequality excludes. Nothing is
 capped or sampled.
 """
@@ -63,6 +65,8 @@ CLUB_ROUNDS, CLUB_SHARE = 2, 0.25
 #: Shingles whose owners are multiplied at a time.
 COLUMNS = 4_096
 SLACK = 1e-9
+#: Bins of a sketch, and pairs whose sketches are compared at a time.
+BINS, COMPARED = 256, 1 << 14
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -93,8 +97,27 @@ def frequent_slots(texts: DataFrame, words: int) -> np.ndarray:
     return classes
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles are in each bin, by hash bits that nothing else is chosen by; 255 is also more."""
+    bins = (shingles >> np.uint64(40)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(bins, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def unlike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shingles that are in one set only, at least, of pairs of sketches (places of rows)."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for k in range(0, len(i), COMPARED):
+        a, b = (sketches[x[k : k + COMPARED]].astype(np.int16) for x in (i, j))
+        out.append(np.abs(a - b).sum(1, dtype=np.int64))
+    return np.concatenate(out)
+
+
+def _rows(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, BINS)
+
+
 def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, copy, n, node, seeds``: set size, set hash and seed shingles of each text.
+    """``doc_id, copy, n, node, seeds, sketch``: set size, set hash, seed shingles and sketch of each text.
 
     A seed holds its frequency class in the top bits and its hash below; seeds are in order.
     """
@@ -102,7 +125,7 @@ def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, seeds, ends = [], [], [], [0]
+            sizes, nodes, seeds, ends, sketches = [], [], [], [0], []
             for s in shingle_sets(batch.column("text"), words):
                 n = len(s)
                 sizes.append(n)
@@ -111,6 +134,7 @@ def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 count = n + (percent * n) // -100 + 1 if n else 0
                 seeds.append(np.sort(np.partition(keys, count - 1)[:count]) if count < n else np.sort(keys))
                 ends.append(ends[-1] + len(seeds[-1]))
+                sketches.append(sketch(s))
             flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
             hashes = pa.array(nodes, pa.uint64())
             yield pa.RecordBatch.from_arrays(
@@ -120,12 +144,13 @@ def shingled(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     hashes.view(pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat))),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "copy", "n", "node", "seeds"],
+                ["doc_id", "copy", "n", "node", "seeds", "sketch"],
             )
 
     return texts.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(
-        scan, "doc_id bigint, copy bigint, n bigint, node bigint, seeds array<bigint>"
+        scan, "doc_id bigint, copy bigint, n bigint, node bigint, seeds array<bigint>, sketch binary"
     )
 
 
@@ -190,7 +215,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _seed_bounds(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
-    """``pivot, node, n_pivot, n, least, shared`` of distinct pairs, from their seeds.
+    """``pivot, node, n_pivot, n, least, shared`` of distinct pairs, from their seeds and sketches.
 
     At least ``least`` shingles are in one of the sets only, at least ``shared`` in both. Sets
     whose sizes alone forbid a link are not compared.
@@ -202,12 +227,15 @@ def _seed_bounds(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
             flat = [np.asarray(x.flatten()).view(np.uint64) for x in lists]
             ends = [np.asarray(x.offsets) - x.offsets[0].as_py() for x in lists]
             least, shared = [], []
+            drawn = _rows(batch.column("drawn").to_pylist() + batch.column("sketch").to_pylist())
+            at = np.arange(len(batch))
+            apart = unlike(drawn, at, at + len(batch)).tolist()
             for i in range(len(batch)):
                 a, b = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
                 upto = min(a[-1], b[-1])
                 both = len(np.intersect1d(a, b, assume_unique=False))
                 known = np.searchsorted(a, upto, "right") + np.searchsorted(b, upto, "right")
-                least.append(max(0, int(known) - 2 * both))
+                least.append(max(apart[i], int(known) - 2 * both))
                 shared.append(both)
             columns = [batch.column(c) for c in ("pivot", "node", "n_pivot", "n")]
             yield pa.RecordBatch.from_arrays(
@@ -218,58 +246,78 @@ def _seed_bounds(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
     sizes = seeds.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"))
     pairs = pairs.join(sizes, "pivot")
     alike = 100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot")
-    unlike = pairs.where(~alike).select(
+    differ = pairs.where(~alike).select(
         "pivot", "node", "n_pivot", "n", F.abs(F.col("n") - F.col("n_pivot")).alias("least"), F.lit(0).cast("bigint").alias("shared")
     )
-    theirs = seeds.select(F.col("node").alias("pivot"), F.col("seeds").alias("theirs"))
+    theirs = seeds.select(F.col("node").alias("pivot"), F.col("seeds").alias("theirs"), F.col("sketch").alias("drawn"))
     measured = (
         pairs.where(alike)
-        .join(seeds.select("node", "seeds"), "node")
+        .join(seeds.select("node", "seeds", "sketch"), "node")
         .join(theirs, "pivot")
-        .select("pivot", "node", "n_pivot", "n", "theirs", "seeds")
+        .select("pivot", "node", "n_pivot", "n", "theirs", "seeds", "drawn", "sketch")
         .mapInArrow(measure, "pivot bigint, node bigint, n_pivot bigint, n bigint, least bigint, shared bigint")
     )
-    return measured.unionByName(unlike)
+    return measured.unionByName(differ)
+
+
+def _sketched(pairs: DataFrame, seeds: DataFrame, percent: int) -> DataFrame:
+    """Those of distinct pairs (``pivot, node, n``) that sizes and sketches allow to link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = _rows(batch.column("drawn").to_pylist() + batch.column("sketch").to_pylist())
+            at = np.arange(len(batch))
+            total = np.asarray(batch.column("n")) + np.asarray(batch.column("n_pivot"))
+            near = (100 + percent) * unlike(drawn, at, at + len(batch)) <= (100 - percent) * total
+            yield batch.select(["pivot", "node"]).filter(pa.array(near))
+
+    pivots = seeds.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"), F.col("sketch").alias("drawn"))
+    alike = 100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot")
+    return (
+        pairs.join(pivots, "pivot")
+        .where(alike)
+        .join(seeds.select("node", "sketch"), "node")
+        .select("pivot", "node", "n", "n_pivot", "drawn", "sketch")
+        .mapInArrow(check, "pivot bigint, node bigint")
+    )
 
 
-def possible_pairs(sizes: np.ndarray, seeds: list[np.ndarray], percent: int) -> np.ndarray:
-    """All pairs (two columns) of a few sets that their sizes and seeds allow to link."""
-    order = np.argsort(np.array([s[-1] for s in seeds]), kind="stable")
-    sizes, seeds = sizes[order], [seeds[i] for i in order]
-    lengths = np.array([len(s) for s in seeds])
-    flat, owner = np.concatenate(seeds), np.repeat(np.arange(len(seeds)), lengths)
+def possible_pairs(sizes: np.ndarray, earlier: list[np.ndarray], sketches: np.ndarray, percent: int) -> np.ndarray:
+    """All pairs (two columns) of a few sets that their sizes and sketches allow to link.
+
+    Pairs that have met in an ``earlier`` region, one that both sets are in, are left to it.
+    """
+    flat, owner = np.concatenate(earlier), np.repeat(np.arange(len(earlier)), list(map(len, earlier)))
     _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
     met = times[token] > 1
     kept, token = np.unique(token[met], return_inverse=True)
     owner, by_token = owner[met], np.argsort(token, kind="stable")
     owner, token = owner[by_token], token[by_token]
-    both = np.zeros((len(seeds), len(seeds)), dtype=np.int64)
+    fits = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
     for start in range(0, len(kept), COLUMNS):
         some = slice(*np.searchsorted(token, [start, start + COLUMNS]))
-        held = np.zeros((len(seeds), min(COLUMNS, len(kept) - start)), dtype=np.float32)
+        held = np.zeros((len(sizes), min(COLUMNS, len(kept) - start)), dtype=np.float32)
         held[owner[some], token[some] - start] = 1
-        both += (held @ held.T).astype(np.int64)
-    lasts = np.array([s[-1] for s in seeds])
-    # all seeds of the first set of a pair come before the last one of the second
-    before = np.array([np.searchsorted(s, lasts, "right") for s in seeds]).T
-    least = np.maximum(0, lengths[:, None] + before - 2 * both)
-    total = sizes[:, None] + sizes
-    alike = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
-    fits = (both > 0) & alike & ((100 + percent) * least <= (100 - percent) * total)
-    return order[np.argwhere(np.triu(fits, 1))]
+        fits &= held @ held.T == 0
+    pairs = np.argwhere(np.triu(fits, 1))
+    i, j = pairs[:, 0], pairs[:, 1]
+    return pairs[(100 + percent) * unlike(sketches, i, j) <= (100 - percent) * (sizes[i] + sizes[j])]
 
 
 def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[int, int, int, int]]:
     """(part, position, position, leader) of the pairs of a region to measure in this round.
 
     ``club`` names sets that are connected through pivots, ``d`` is the distance to the pivot
-    of the last round, if known. Pairs of a part with few open pairs are all listed, else those
+    of the last round, if known; ``own`` lists the regions of a set, of which ``origin`` is this
+    one, and a pair is worked on in the first that both are in. Pairs of a part with few open pairs are all listed, else those
     with the part's pivot only.
     """
     far = 1 - percent / 100
     club, d = rows["club"].to_numpy(), rows["d"].to_numpy(dtype=float)
-    own = [np.asarray(s).view(np.uint64) for s in rows["seeds"]]
-    found = possible_pairs(rows["n"].to_numpy(), own, percent)
+    origin = rows["origin"].iloc[0]
+    earlier = [np.asarray(o, dtype=np.int64) for o in rows["own"]]
+    earlier = [o[o < origin] for o in earlier]
+    found = possible_pairs(rows["n"].to_numpy(), earlier, _rows(rows["sketch"]), percent)
     i, j = found[:, 0], found[:, 1]
     apart = np.abs(d[i] - d[j]) > far + SLACK  # false where a distance is not known
     pairs = found[(club[i] != club[j]) & ~apart].tolist()
@@ -300,11 +348,16 @@ def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[i
     return out
 
 
-def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a, b`` between clubs within small regions (``region, node, club``)."""
+def _join_small(
+    regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int, blocks: bool = False
+) -> DataFrame:
+    """Links ``a, b`` between clubs within small regions (``region, node, club``).
+
+    A set is in fewer regions than it has seeds, but in very many blocks; those are not listed.
+    """
 
     def work(list_all: bool):
-        names = ["region", "part", "pivot", "node", "pivot_club", "club", "again"]
+        names = ["region", "origin", "part", "pivot", "node", "pivot_club", "club", "again"]
         nothing = pd.DataFrame({c: np.zeros(0, dtype=bool if c == "again" else np.int64) for c in names})
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -318,6 +371,7 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
             return pd.DataFrame(
                 {
                     "region": int(rows["region"].iloc[0]),
+                    "origin": int(rows["origin"].iloc[0]),
                     "part": nodes[table[:, 0]],
                     "pivot": nodes[table[:, 1]],
                     "node": nodes[table[:, 2]],
@@ -329,11 +383,17 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
 
         return one
 
-    schema = "region bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
-    members = regions.select("region", "node", "club", F.lit(None).cast("double").alias("d"))
+    schema = "region bigint, origin bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
+    members = regions.select("region", F.col("region").alias("origin"), "node", "club", F.lit(None).cast("double").alias("d"))
+    if blocks:
+        drawn = seeds.select("node", "n", "sketch", F.array().cast("array<bigint>").alias("own"))
+    else:
+        listed = regions.groupBy("node").agg(F.collect_set("region").alias("own"))
+        drawn = seeds.select("node", "n", "sketch").join(listed, "node")
+    drawn = stored_once(drawn, "drawn")
     links = None
     for turn in range(ROUNDS + 1):
-        filled = members.join(seeds.select("node", "n", "seeds"), "node")
+        filled = members.join(drawn, "node")
         asked = stored_once(filled.groupBy("region").applyInPandas(work(turn == ROUNDS), schema), "asked")
         pairs = asked.where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct()
         exact = stored_once(exact_distances(pairs, seeds, texts, words, percent), "exact")
@@ -346,7 +406,7 @@ def _join_small(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
         # sets near the pivot join its club; the pivot itself has met all it can link to
         club = F.when(F.col("near"), F.col("pivot_club")).otherwise(F.col("club"))
         members = stored_once(
-            measured.select(F.xxhash64("region", "part").alias("region"), "node", club.alias("club"), "d"), "open"
+            measured.select(F.xxhash64("region", "part").alias("region"), "origin", "node", club.alias("club"), "d"), "open"
         )
     return links
 
@@ -356,9 +416,7 @@ def _join_tiny(regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: in
     other = regions.select("region", F.col("node").alias("pivot"), F.col("club").alias("pivot_club"))
     pairs = regions.select("region", "node", "n", "club").join(other, "region")
     pairs = pairs.where((F.col("pivot") < F.col("node")) & (F.col("club") != F.col("pivot_club")))
-    bounds = _seed_bounds(stored_once(pairs.select("pivot", "node", "n").distinct(), "met"), seeds, percent)
-    least, total = F.col("least"), F.col("n") + F.col("n_pivot")
-    possible = bounds.where((100 + percent) * least <= (100 - percent) * total).select("pivot", "node")
+    possible = _sketched(stored_once(pairs.select("pivot", "node", "n").distinct(), "met"), seeds, percent)
     exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
     return exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
@@ -425,9 +483,7 @@ def _club_links(members: DataFrame, seeds: DataFrame, texts: DataFrame, words: i
     pairs = met.groupBy("pivot", "node").agg(F.min("n").alias("n"), F.count("*").alias("times"))
     many = F.col("times") >= CLUB_SHARE * (100 - percent) / 100 * F.col("n")
     pairs = stored_once(pairs.where(many).select("pivot", "node", "n"), "met")
-    bounds = _seed_bounds(pairs, seeds, percent)
-    least, total = F.col("least"), F.col("n") + F.col("n_pivot")
-    possible = bounds.where((100 + percent) * least <= (100 - percent) * total).select("pivot", "node")
+    possible = _sketched(pairs, seeds, percent)
     exact = stored_once(exact_distances(possible, seeds, texts, words, percent), "exact")
     return exact.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
@@ -441,7 +497,7 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     first = _first_regions(seeded, percent)
     members = stored_once(first.withColumn("club", F.col("node")), "members")
     seeds = seeded.join(members.select("node").distinct(), "node").dropDuplicates(["node"])
-    seeds = stored_once(seeds.select("node", "n", "copy", "seeds"), "seeds")
+    seeds = stored_once(seeds.select("node", "n", "copy", "seeds", "sketch"), "seeds")
     club_links = None
     for turn in range(CLUB_ROUNDS):
         found = _club_links(members, seeds, texts, words, percent, turn)
@@ -494,7 +550,7 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         links = links.unionByName(_join_small(members.where(F.col("size") <= BLOCK), seeds, texts, words, percent))
         members = members.where(F.col("size") > BLOCK)
     blocks = _by_blocks(members, percent).withColumn("region", F.xxhash64("region", "band", "i", "j"))
-    return links.unionByName(_join_small(blocks, seeds, texts, words, percent))
+    return links.unionByName(_join_small(blocks, seeds, texts, words, percent, blocks=True))
 
 
 def exact_distances(pairs: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,38 @@ def test_jaccard_components(docs, monkeypatch, small, share):
     assert got == sorted(map(str, components_by_force(rows, 4, 85)))
 
 
+def test_a_pair_of_sets_is_worked_on_in_one_region():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (0, 10, 20, 130, 390)]
+    regions = [[1, 5, 9], [1, 5, 9], [5, 9], [1, 5, 9], [1, 5, 9]]  # of each set
+    asked = []
+    for region in (1, 5, 9):
+        inside = [i for i, own in enumerate(regions) if region in own]
+        rows = pd.DataFrame(
+            {
+                "origin": region,
+                "n": [len(sets[i]) for i in inside],
+                "club": inside,
+                "d": np.nan,
+                "own": [regions[i] for i in inside],
+                "sketch": [jaccard.sketch(sets[i]) for i in inside],
+            }
+        )
+        asked += [(inside[i], inside[j]) for _, i, j, _ in jaccard.open_pairs(rows, 85, False)]
+    # once each, and none that is far apart
+    assert sorted(asked) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**20, n).astype(np.uint64) << np.uint64(rng.integers(0, 44))) for n in rng.integers(1, 90_000, 40)]
+    rows = np.stack([np.frombuffer(jaccard.sketch(x), dtype=np.uint8) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    least = jaccard.unlike(rows, i, j)
+    assert (least <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)]).all() and least.max() > 1000
+
+
 def test_empty_tables(spark, docs):
     none = docs([(1, "x")]).limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
