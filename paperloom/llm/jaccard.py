@@ -517,6 +517,8 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     for turn in range(ROUNDS):
         if not members.limit(1).count():
             return links
+        if not turn:  # few sets are in large regions
+            seeds = stored_once(seeds.join(members.select("node").distinct(), "node", "left_semi"), "large")
         count = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / PER_PIVOT)).cast("int")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), count)
         pivots = members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
