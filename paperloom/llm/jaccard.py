@@ -22,8 +22,8 @@ nearest pivot (its Voronoi cell). A set also goes to every cell whose pivot may
 than its home plus the link distance: of two partners, the one further from its home is then, by
 the triangle inequality, in the home cell of the other. Sets that link to a pivot are connected
 through it already; they stay only where a set outside that ball could still reach them, again
-by the triangle inequality. What stays forms the next regions. Regions that do not get smaller
-are split into blocks within windows of the set size.
+by the triangle inequality. What stays forms the next regions, as long as that leaves clearly
+less to do. Regions that do not get smaller are split into blocks within windows of the set size.
 
 Small regions are worked on in a task each, round by round: sets that may link by their sketches
 form parts (a pair that meets in several regions counts in the first of them), each part takes a pivot, the distances to it are measured, and the next round leaves
@@ -59,14 +59,18 @@ TINY = 3
 #: Rounds of pivots before large regions are split into blocks, and before small ones list
 #: what is left; open pairs of a part that are listed at once.
 ROUNDS, FEW = 4, 500
+#: Large regions are split into blocks when a round of pivots leaves more than this share of rows.
+SHRINK = 0.75
 #: Rounds of one pivot a region, and the share of the smaller set's seeds that a set must have
 #: in regions of its pivot to be compared with it then. It orders the work and loses nothing.
 CLUB_ROUNDS, CLUB_SHARE = 2, 0.25
 #: Shingles whose owners are multiplied at a time.
 COLUMNS = 4_096
 SLACK = 1e-9
-#: Bins of a sketch, and pairs whose sketches are compared at a time.
-BINS, COMPARED = 256, 1 << 14
+#: Bins of a sketch and of its coarse form, and pairs whose sketches are compared at a time.
+BINS, COARSE, COMPARED = 256, 32, 1 << 14
+#: Marks of shared seeds: those without a mark are in one set only and are not shuffled again.
+MARKS = 1 << 26
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -112,6 +116,15 @@ def unlike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def near_pairs(sizes: np.ndarray, sketches: np.ndarray, pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the pairs (two columns) whose sketches allow a link; sums of bins tell most apart."""
+    coarse = sketches.reshape(len(sketches), COARSE, -1).sum(2, dtype=np.int16)
+    for drawn in (coarse, sketches):
+        i, j = pairs[:, 0], pairs[:, 1]
+        pairs = pairs[(100 + percent) * unlike(drawn, i, j) <= (100 - percent) * (sizes[i] + sizes[j])]
+    return pairs
+
+
 def _rows(sketches) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, BINS)
 
@@ -287,21 +300,26 @@ def possible_pairs(sizes: np.ndarray, earlier: list[np.ndarray], sketches: np.nd
 
     Pairs that have met in an ``earlier`` region, one that both sets are in, are left to it.
     """
+    fits = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    pairs = near_pairs(sizes, sketches, np.argwhere(np.triu(fits, 1)), percent)
+    if not len(pairs):
+        return pairs
+    left, place = np.unique(pairs, return_inverse=True)
+    place = place.reshape(pairs.shape)
+    earlier = [earlier[k] for k in left]
     flat, owner = np.concatenate(earlier), np.repeat(np.arange(len(earlier)), list(map(len, earlier)))
     _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
     met = times[token] > 1
     kept, token = np.unique(token[met], return_inverse=True)
     owner, by_token = owner[met], np.argsort(token, kind="stable")
     owner, token = owner[by_token], token[by_token]
-    fits = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    apart = np.ones((len(left), len(left)), dtype=bool)
     for start in range(0, len(kept), COLUMNS):
         some = slice(*np.searchsorted(token, [start, start + COLUMNS]))
-        held = np.zeros((len(sizes), min(COLUMNS, len(kept) - start)), dtype=np.float32)
+        held = np.zeros((len(left), min(COLUMNS, len(kept) - start)), dtype=np.float32)
         held[owner[some], token[some] - start] = 1
-        fits &= held @ held.T == 0
-    pairs = np.argwhere(np.triu(fits, 1))
-    i, j = pairs[:, 0], pairs[:, 1]
-    return pairs[(100 + percent) * unlike(sketches, i, j) <= (100 - percent) * (sizes[i] + sizes[j])]
+        apart &= held @ held.T == 0
+    return pairs[apart[place[:, 0], place[:, 1]]]
 
 
 def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[int, int, int, int]]:
@@ -454,9 +472,29 @@ def _distinct_regions(regions: DataFrame) -> DataFrame:
     return regions.join(kept.select("region", "size"), "region")
 
 
+def marked(shared: DataFrame) -> np.ndarray:
+    """A bit for every value of the low bits of a region, set for those of ``shared``."""
+    slot = F.col("region").bitwiseAND(F.lit(MARKS - 1))
+    bit = F.expr("shiftleft(1L, cast(region & 63 as int))")
+    found = (
+        shared.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(MARKS // 64, dtype=np.int64)
+    bits[found["word"]] = found["bits"]
+    return bits.view(np.uint64)
+
+
 def _first_regions(seeded: DataFrame, percent: int) -> DataFrame:
-    """``region, node, n``: sets by the seeds that they share, where those may be the first ones."""
-    rows = seeded.where(F.col("n") > 0).select("node", "n", F.posexplode("seeds").alias("pos", "region"))
+    """``region, node, n``: sets by the seeds that they share, where those may be the first ones.
+
+    Most seeds are in one set only. Those of the others are marked, so that few rows are shuffled
+    a second time; a seed that has its mark by chance goes in the join.
+    """
+    seeded = seeded.where(F.col("n") > 0).select("node", "n", "seeds")
+    rows = seeded.select("node", "n", F.posexplode("seeds").alias("pos", "region"))
     early = (100 + percent) * F.col("pos").cast("bigint") <= (100 - percent) * F.col("n")
     shared = rows.groupBy("region").agg(
         F.min("node").alias("low"),
@@ -466,9 +504,30 @@ def _first_regions(seeded: DataFrame, percent: int) -> DataFrame:
     )
     # without an early set, least and most are null
     shared = shared.where((F.col("low") < F.col("high")) & F.col("least").isNotNull())
+    shared = stored_once(shared.select("region", "least", "most"), "shared")
+    bits = marked(shared)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                some = batch.slice(k, 512)
+                seeds = some.column("seeds")
+                ends = np.asarray(seeds.offsets).astype(np.int64)
+                flat, counts = np.asarray(seeds.flatten()), np.diff(ends)
+                slots = flat.view(np.uint64) & np.uint64(MARKS - 1)
+                held = (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) > 0
+                at = np.flatnonzero(held)
+                owner = np.repeat(np.arange(len(some)), counts)[at]
+                n = np.asarray(some.column("n"))[owner]
+                early = (100 + percent) * (at - (ends[:-1] - ends[0])[owner]) <= (100 - percent) * n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[at]), pa.array(np.asarray(some.column("node"))[owner]), pa.array(n), pa.array(early)],
+                    ["region", "node", "n", "early"],
+                )
+
+    found = seeded.mapInArrow(scan, "region bigint, node bigint, n bigint, early boolean")
     fits = (F.col("n") >= F.col("least")) & (percent * F.col("n") <= 100 * F.col("most"))
-    joined = rows.join(shared.select("region", "least", "most"), "region").where(early | fits)
-    return joined.select("region", "node", "n").distinct()
+    return found.join(shared, "region").where(F.col("early") | fits).select("region", "node", "n").distinct()
 
 
 def _club_links(members: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int, turn: int) -> DataFrame:
@@ -514,11 +573,13 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     small = members.where((F.col("size") > TINY) & (F.col("size") <= BLOCK))
     links = links.unionByName(_join_small(small, seeds, texts, words, percent))
     members = members.where(F.col("size") > BLOCK)
+    rows = members.count()
     for turn in range(ROUNDS):
-        if not members.limit(1).count():
+        if not rows:
             return links
         if not turn:  # few sets are in large regions
-            seeds = stored_once(seeds.join(members.select("node").distinct(), "node", "left_semi"), "large")
+            large = stored_once(members.select("node").distinct(), "large-nodes")
+            seeds = stored_once(lookup_join(seeds, large, ["node"], ["copy"], large.count()), "large")
         count = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / PER_PIVOT)).cast("int")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), count)
         pivots = members.groupBy("region", slot.alias("slot")).agg(F.min("node").alias("pivot"))
@@ -551,6 +612,11 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         members = stored_once(_distinct_regions(next_regions), "regions")
         links = links.unionByName(_join_small(members.where(F.col("size") <= BLOCK), seeds, texts, words, percent))
         members = members.where(F.col("size") > BLOCK)
+        before, rows = rows, members.count()
+        if rows > SHRINK * before:
+            break
+    if not rows:
+        return links
     blocks = _by_blocks(members, percent).withColumn("region", F.xxhash64("region", "band", "i", "j"))
     return links.unionByName(_join_small(blocks, seeds, texts, words, percent, blocks=True))
 

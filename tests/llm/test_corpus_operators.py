@@ -122,6 +122,37 @@ def test_sketches_never_differ_more_than_sets():
     assert (least <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)]).all() and least.max() > 1000
 
 
+@pytest.mark.parametrize("marks", [64, 1 << 12])
+def test_regions_that_pivots_do_not_part_are_not_tried_again(docs, monkeypatch, marks):
+    """Texts around one passage: a round of pivots takes out nothing but the pivots."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(20)]) for _ in range(30)]
+    rows = list(enumerate(texts + [texts[3] + " end", texts[9] + " end"]))
+    tried = []
+    bounds = jaccard._seed_bounds
+    monkeypatch.setattr(jaccard, "_seed_bounds", lambda *a: tried.append(1) or bounds(*a))
+    for name, value in (("BLOCK", 8), ("MARKS", marks), ("CLUB_SHARE", 9)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = sorted(map(str, (tuple(r) for r in jaccard_components(docs(rows), 4, 85).drop("copy", "group").collect())))
+    assert got == sorted(map(str, components_by_force(rows, 4, 85)))
+    assert len(tried) == 1
+
+
+def test_coarse_sketches_leave_out_no_pair_that_sketches_allow():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 600).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, 600, 6)]
+    rows = np.stack([np.frombuffer(jaccard.sketch(x), dtype=np.uint8) for x in sets])
+    sizes = np.array(list(map(len, sets)))
+    pairs = np.argwhere(np.triu(np.ones((len(sets),) * 2, dtype=bool), 1))
+    i, j = pairs.T
+    fine = 185 * jaccard.unlike(rows, i, j) <= 15 * (sizes[i] + sizes[j])
+    assert jaccard.near_pairs(sizes, rows, pairs, 85).tolist() == pairs[fine].tolist()
+    assert 0 < fine.sum() < len(fine)
+
+
 def test_empty_tables(spark, docs):
     none = docs([(1, "x")]).limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
