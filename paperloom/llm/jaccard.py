@@ -67,6 +67,8 @@ CLUB_ROUNDS, CLUB_SHARE = 2, 0.25
 #: Shingles whose owners are multiplied at a time.
 COLUMNS = 4_096
 SLACK = 1e-9
+#: Less than all regions, as good as surely: names for the sides of blocks among a set's regions.
+LOWEST = -(1 << 63)
 #: Bins of a sketch and of its coarse form, and pairs whose sketches are compared at a time.
 BINS, COARSE, COMPARED = 256, 32, 1 << 14
 #: Marks of shared seeds: those without a mark are in one set only and are not shuffled again.
@@ -367,20 +369,27 @@ def open_pairs(rows: pd.DataFrame, percent: int, list_all: bool) -> list[tuple[i
 
 
 def _join_small(
-    regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int, blocks: bool = False
+    regions: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int, split: DataFrame | None = None
 ) -> DataFrame:
     """Links ``a, b`` between clubs within small regions (``region, node, club``).
 
-    A set is in fewer regions than it has seeds, but in very many blocks; those are not listed.
+    A set is in fewer regions than it has seeds, but in very many blocks; of those the regions
+    that were ``split`` are listed. Blocks have ``origin``, such a region, and ``sides``: sets
+    that have a bit of it in common are worked on in another block.
     """
 
     def work(list_all: bool):
-        names = ["region", "origin", "part", "pivot", "node", "pivot_club", "club", "again"]
+        names = ["region", "origin", "sides", "part", "pivot", "node", "pivot_club", "club", "again"]
         nothing = pd.DataFrame({c: np.zeros(0, dtype=bool if c == "again" else np.int64) for c in names})
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
             if not rows["node"].is_unique:
                 rows = rows.drop_duplicates("node")
+            sides = rows["sides"].to_numpy()
+            if sides.any():
+                also = [[LOWEST + bit for bit in range(3) if side >> bit & 1] for side in sides.tolist()]
+                own = [np.append(np.asarray(o, dtype=np.int64), np.array(x, dtype=np.int64)) for o, x in zip(rows["own"], also)]
+                rows = rows.assign(own=own)
             out = open_pairs(rows, percent, list_all) if len(rows) > 1 else []
             if not out:
                 return nothing
@@ -390,6 +399,7 @@ def _join_small(
                 {
                     "region": int(rows["region"].iloc[0]),
                     "origin": int(rows["origin"].iloc[0]),
+                    "sides": sides[table[:, 2]],
                     "part": nodes[table[:, 0]],
                     "pivot": nodes[table[:, 1]],
                     "node": nodes[table[:, 2]],
@@ -401,13 +411,13 @@ def _join_small(
 
         return one
 
-    schema = "region bigint, origin bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
-    members = regions.select("region", F.col("region").alias("origin"), "node", "club", F.lit(None).cast("double").alias("d"))
-    if blocks:
-        drawn = seeds.select("node", "n", "sketch", F.array().cast("array<bigint>").alias("own"))
-    else:
-        listed = regions.groupBy("node").agg(F.collect_set("region").alias("own"))
-        drawn = seeds.select("node", "n", "sketch").join(listed, "node")
+    schema = "region bigint, origin bigint, sides bigint, part bigint, pivot bigint, node bigint, pivot_club bigint, club bigint, again boolean"
+    if split is None:
+        split = regions
+        regions = regions.withColumn("origin", F.col("region")).withColumn("sides", F.lit(0).cast("bigint"))
+    members = regions.select("region", "origin", "sides", "node", "club", F.lit(None).cast("double").alias("d"))
+    listed = split.groupBy("node").agg(F.collect_set("region").alias("own"))
+    drawn = seeds.select("node", "n", "sketch").join(listed, "node")
     drawn = stored_once(drawn, "drawn")
     links = None
     for turn in range(ROUNDS + 1):
@@ -424,7 +434,7 @@ def _join_small(
         # sets near the pivot join its club; the pivot itself has met all it can link to
         club = F.when(F.col("near"), F.col("pivot_club")).otherwise(F.col("club"))
         members = stored_once(
-            measured.select(F.xxhash64("region", "part").alias("region"), "origin", "node", club.alias("club"), "d"), "open"
+            measured.select(F.xxhash64("region", "part").alias("region"), "origin", "sides", "node", club.alias("club"), "d"), "open"
         )
     return links
 
@@ -443,17 +453,29 @@ def _by_blocks(regions: DataFrame, percent: int) -> DataFrame:
     """Regions that pivots do not part, as pairs of blocks of similar set size.
 
     Sets that link differ in size by a factor of ``100 / percent`` at most, so each belongs to
-    its own band of sizes and the one above it; a band is compared block against block.
+    its own band of sizes and the one above it; a band is compared block against block. ``sides``
+    has a bit for sets from the band below, which meet in that one, and, where two blocks meet,
+    one for the sets of either block, which meet in the block by itself.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
-    bands = regions.withColumn("band", F.explode(F.array(band, band + 1)))
+    home = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("long")
+    bands = regions.withColumn("home", home).withColumn("band", F.explode(F.array("home", F.col("home") + 1)))
     parts = F.ceil(F.col("sets") / (BLOCK // 2)).cast("int")
     size = bands.groupBy("region", "band").agg(F.count("*").alias("sets"))
+    below = F.when(F.col("band") > F.col("home"), 1).otherwise(0)
+    half = F.when(F.col("own") < F.col("other"), 2).when(F.col("own") > F.col("other"), 4).otherwise(0)
     return (
         bands.join(size.select("region", "band", parts.alias("parts")), ["region", "band"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("region", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "club")
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .select(
+            F.xxhash64("region", "band", "i", "j").alias("region"),
+            F.col("region").alias("origin"),
+            (below + half).cast("bigint").alias("sides"),
+            "node",
+            "club",
+        )
     )
 
 
@@ -617,8 +639,7 @@ def links_of(seeded: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             break
     if not rows:
         return links
-    blocks = _by_blocks(members, percent).withColumn("region", F.xxhash64("region", "band", "i", "j"))
-    return links.unionByName(_join_small(blocks, seeds, texts, words, percent, blocks=True))
+    return links.unionByName(_join_small(_by_blocks(members, percent), seeds, texts, words, percent, split=members))
 
 
 def exact_distances(pairs: DataFrame, seeds: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

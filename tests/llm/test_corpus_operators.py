@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -153,6 +154,19 @@ def test_coarse_sketches_leave_out_no_pair_that_sketches_allow():
     assert 0 < fine.sum() < len(fine)
 
 
+def test_a_pair_of_a_large_region_is_worked_on_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sizes = [20 + k % 30 for k in range(60)]
+    regions = spark.createDataFrame([(5, k, n, k) for k, n in enumerate(sizes)], "region long, node long, n long, club long")
+    met = Counter()
+    for _, rows in jaccard._by_blocks(regions, 85).toPandas().groupby("region"):
+        rows = rows.drop_duplicates("node").sort_values("node")
+        for a, b in itertools.combinations(zip(rows["node"], rows["sides"]), 2):
+            met[a[0], b[0]] += not a[1] & b[1]
+    fit = [(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])]
+    assert {met[pair] for pair in fit} == {1}
+
+
 def test_empty_tables(spark, docs):
     none = docs([(1, "x")]).limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
