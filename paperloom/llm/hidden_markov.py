@@ -60,7 +60,9 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     filled = np.asarray(pc.greater(pc.binary_length(words), 0).cast(pa.int8())).astype(bool)
     owner = np.repeat(np.arange(len(texts)), size)[filled]
     coded = words.filter(pa.array(filled)).dictionary_encode()
-    return np.asarray(coded.indices), np.bincount(owner, minlength=len(texts)), coded.dictionary.to_pylist()
+    # as objects at once: to_pylist() makes a scalar of every word first
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return np.asarray(coded.indices), np.bincount(owner, minlength=len(texts)), distinct
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -298,23 +300,27 @@ class Lanes:
                 scale[:n] += np.log10(top)
         return product, scale
 
-    def backward(self, model: Model, emits: np.ndarray, seen: np.ndarray, entry: np.ndarray, behind: np.ndarray, move_first: bool):
+    def backward(
+        self, model: Model, emits: np.ndarray, seen: np.ndarray, scale: np.ndarray, entry: np.ndarray, behind: np.ndarray, move_first: bool
+    ) -> np.ndarray:
         """Turns ``seen`` into the expected states of every token; returns expected transitions
-        before the model's own, given the states before each stretch and the weights behind it."""
+        before the model's own, given the states before each stretch and the weights behind it.
+
+        Divided by the scales of the forward recursion, weights stay such that the expected
+        states of a token sum to one, once they do for a stretch's last.
+        """
         k = len(model.start)
-        moves, one, back_moves = np.zeros((k, k)), np.ones(k), np.ascontiguousarray(model.moves.T)
+        moves, back_moves = np.zeros((k, k)), np.ascontiguousarray(model.moves.T)
+        behind /= np.einsum("nk,nk->n", seen[self.last], behind)[:, None]
         for t, n, at in reversed(list(self.steps())):
             ahead = emits[at] * behind[:n]
-            both = seen[at]
-            both *= behind[:n]
-            both /= (both @ one)[:, None]
+            seen[at] *= behind[:n]
             if not (t or move_first):
                 break
+            ahead /= scale[at][:, None]
             before = seen[int(self.upto[t - 1]) :][:n] if t else entry[:n]
-            back = ahead @ back_moves
-            ahead /= ((before * back) @ one)[:, None]
             moves += before.T @ ahead
-            np.divide(back, (back @ one)[:, None], out=behind[:n])
+            np.matmul(ahead, back_moves, out=behind[:n])
         return moves
 
 
@@ -340,12 +346,12 @@ class Work:
         """The forward recursion over first stretches and, by matrices, over the ends of the others."""
         emits = model.emits[self.first.symbols]
         start = np.broadcast_to(model.start, (self.texts, len(model.start)))
-        seen, scale = self.first.forward(model, emits, start, False)
+        seen, firsts = self.first.forward(model, emits, start, False)
         score = np.zeros(self.texts)
-        lane = np.arange(len(scale)) - np.repeat(self.first.upto[:-1], self.first.active)
-        score[self.first.text] = np.bincount(lane, weights=np.log10(scale), minlength=self.texts)
+        lane = np.arange(len(firsts)) - np.repeat(self.first.upto[:-1], self.first.active)
+        score[self.first.text] = np.bincount(lane, weights=np.log10(firsts), minlength=self.texts)
         if not self.rounds:
-            return score, (emits, seen), None
+            return score, (emits, seen, firsts), None
         state = np.empty((self.texts, len(model.start)))
         state[self.first.text] = seen[self.first.last]
         chained = model.emits[self.rest.symbols]
@@ -358,7 +364,7 @@ class Work:
             total = after.sum(1)
             score[owner] += np.log10(total) + scale[lanes]
             state[owner] = after / total[:, None]
-        return score, (emits, seen), (chained, product, entry)
+        return score, (emits, seen, firsts), (chained, product, entry)
 
     def score(self, model: Model) -> np.ndarray:
         """log10 likelihood of each text."""
@@ -367,7 +373,7 @@ class Work:
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected first states, transitions and states by symbol, and the log10 likelihood."""
         k = len(model.start)
-        score, (emits, seen), chained = self._along(model)
+        score, (emits, seen, scale), chained = self._along(model)
         later = np.ones((self.texts, k))
         moves, by_symbol = np.zeros((k, k)), np.zeros(model.emits.shape)
         if chained:
@@ -379,10 +385,10 @@ class Work:
                 before = np.einsum("nij,nj->ni", product[lanes], later[owner])
                 later[owner] = before / before.sum(1)[:, None]
             del product
-            inside, _ = self.rest.forward(model, of_rest, entry, True)
-            moves += self.rest.backward(model, of_rest, inside, entry, behind, True)
+            inside, inner = self.rest.forward(model, of_rest, entry, True)
+            moves += self.rest.backward(model, of_rest, inside, inner, entry, behind, True)
             by_symbol += _by_symbol(self.rest.symbols, inside, len(by_symbol))
-        moves += self.first.backward(model, emits, seen, seen[:0], later[self.first.text], False)
+        moves += self.first.backward(model, emits, seen, scale, seen[:0], later[self.first.text], False)
         by_symbol += _by_symbol(self.first.symbols, seen, len(by_symbol))
         return seen[: self.texts].sum(0), moves * model.moves, by_symbol, float(score.sum())
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import timeit
 import zlib
 from collections import Counter
 
@@ -206,6 +207,26 @@ def test_stretches_change_nothing(monkeypatch):
     assert found[0][2].sum() == pytest.approx(sizes.sum()) and found[0][1].sum() == pytest.approx(sizes.sum() - 40)
 
 
+def test_expected_states_of_a_token_sum_to_one(monkeypatch):
+    monkeypatch.setattr(hmm, "STRETCH", 300)
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([0.01] * 3, size=3), rng.dirichlet([0.1] * 9, size=3).T + 1e-9)
+    lanes = hmm.Work(rng.integers(0, 9, size=900), np.array([300, 1, 299, 300])).first
+    emits = model.emits[lanes.symbols]
+    seen, scale = lanes.forward(model, emits, np.tile(model.start, (4, 1)), False)
+    lanes.backward(model, emits, seen, scale, seen[:0], np.ones((4, 3)), False)
+    assert seen.sum(1) == pytest.approx(np.ones(900))
+
+
+def test_words_are_not_made_one_by_one():
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(2_000)) for i in range(60)], pa.large_string())
+    index, _, distinct = hmm.words_of(texts)
+    assert len(distinct) == len(index) == 120_000
+    given = pa.array(distinct, pa.large_string())
+    whole, single = (min(timeit.repeat(f, number=1, repeat=3)) for f in (lambda: hmm.words_of(texts), given.to_pylist))
+    assert whole < single
+
+
 def test_runs_of_texts(monkeypatch):
     texts = ["", "a" * 9, None, "ä B", "", "c" * 3, " "] * 3
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "n": pa.array(range(len(texts)))})
