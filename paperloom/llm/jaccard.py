@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import connected_components
 from paperloom.llm.words import shingle_sets
 from paperloom.operators.joins import lookup_join
-from paperloom.session import stored_once
+from paperloom.session import bound_batches, stored_once
 
 #: Hash slots whose frequency orders shingles; the table of the frequent ones has no more rows.
 SLOTS = 1 << 20
@@ -95,11 +95,10 @@ def frequent_slots(texts: DataFrame, words: int) -> np.ndarray:
         .mapInArrow(count, "slot bigint, n bigint")
         .groupBy("slot")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
     classes = np.zeros(SLOTS, dtype=np.uint8)
-    if len(found):
-        classes[found["slot"]] = 1 + np.log2(found["n"].to_numpy(dtype=float)).astype(np.uint8)
+    classes[found.column("slot").to_numpy()] = 1 + np.log2(found.column("n").to_numpy().astype(float)).astype(np.uint8)
     return classes
 
 
@@ -502,10 +501,10 @@ def marked(shared: DataFrame) -> np.ndarray:
         shared.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()  # up to 2^20 rows, which as Python objects take the driver many times their bytes
     )
     bits = np.zeros(MARKS // 64, dtype=np.int64)
-    bits[found["word"]] = found["bits"]
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
@@ -666,6 +665,7 @@ def jaccard_components(documents: DataFrame, words: int, percent: int) -> DataFr
     with nothing, so they keep their own id. Equal texts, repeated rows included, link. A null
     id does not count as smallest; a group of nothing else has none. Other columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seeded = stored_once(shingled(texts, words, percent), "shingled")
     links = stored_once(links_of(seeded, texts, words, percent), "links")

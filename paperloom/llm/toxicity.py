@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import bound_batches
+
 WINDOW = 96
 DICTIONARY_ROWS = 2_000
 CALIBRATION_ROWS = 2_000
@@ -53,6 +55,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     Labels that are null or have no document teach nothing; a row labelled twice counts once.
     Without rows of both classes the model gives every text the share of toxic labels.
     """
+    bound_batches(documents.sparkSession)
     key = F.col("doc_id").cast("string")
     taught = (
         labels.where(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0))
@@ -69,10 +72,11 @@ def train_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
         .select("doc_id", "toxic", "text")
         .dropDuplicates(["doc_id"])
         .orderBy(*order)
-        .collect()
+        .toArrow()
     )
     share = taught.agg(F.avg("toxic")).first()[0]
-    return fit([(r.text, r.toxic) for r in found], 0.5 if share is None else float(share))
+    rows = list(zip(found.column("text").to_pylist(), found.column("toxic").to_pylist(), strict=True))
+    return fit(rows, 0.5 if share is None else float(share))
 
 
 def _pieces(text: Column) -> Column:

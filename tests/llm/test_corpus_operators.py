@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +475,23 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and 0 < got.count()
     assert got.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == got.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_whole_texts_come_in_small_batches(spark, docs):
+    given = docs([(i, f"{i} " + "word " * 4_000) for i in range(400)]).coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    jaccard_components(given, 4, 85)
+    sizes = given.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint")
+    assert sizes.agg(F.max("n")).first()[0] < 2 << 20
+    spark.conf.set(key, "3m")
+    jaccard_components(given.limit(1), 4, 85)
+    assert spark.conf.get(key) == "3m"
+    spark.conf.unset(key)
+
+
+def test_marks_reach_the_driver_as_arrow(spark, monkeypatch):
+    rows = spark.createDataFrame([(5,), (69,), (-1,)], "region bigint")
+    monkeypatch.setattr(type(rows), "collect", None)  # toPandas() makes an object of every row by it
+    bits = jaccard.marked(rows)
+    assert {i * 64 + b for i in np.flatnonzero(bits).tolist() for b in range(64) if int(bits[i]) >> b & 1} == {5, 69, jaccard.MARKS - 1}
