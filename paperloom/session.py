@@ -30,9 +30,8 @@ def build_session(app_name: str = "paperloom", **conf: str) -> SparkSession:
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES``, unless the session says otherwise.
 
-    Spark fills a batch with 10,000 rows or 64 MB. Of whole texts or sets that is 64 MB, which the
-    executor holds up to three times while the batch grows, and its Python worker as often, for
-    every core. Rows and results are the same.
+    Spark fills a batch with 10,000 rows or 64 MB, which the executor and the Python worker of every
+    core hold beside what they make of it. Rows and results are the same.
     """
     if not spark.conf.get(ARROW_BYTES, None):
         spark.conf.set(ARROW_BYTES, BATCH_BYTES)
